@@ -18,7 +18,7 @@ FORMULAS = (
 )
 WEIGHT_STEPS = 20
 TINY = 1e-12
-DIGITS = 6
+DIGITS = 9  # scores are rounded before any comparison, so that ties do not hang on summation order
 
 
 def literal_rows(columns: list[str], rows: list[tuple]) -> Column:
@@ -96,7 +96,7 @@ def formula_scores(clean, single, combined, models, conditions) -> DataFrame:
     f = F.coalesce("single_f1", "clean_f1")
     columns = formula_columns(F.col("clean_f1"), f)
     wide = parts.groupBy("dataset", "condition", "seed", "model", "model_ord", "clean_f1").agg(
-        *[c.alias(f"f{i}") for i, c in enumerate(columns.values())])
+        *[c.alias(f"f{i}") for i, c in enumerate(columns.values(), start=1)])
     cells = [F.struct(F.lit(i).alias("formula_ord"), F.lit(name).alias("formula"), F.col(f"f{i}").alias("aggregate"))
              for i, name in enumerate(columns, start=1)]
     return wide.select("dataset", "condition", "seed", "model", "model_ord", "clean_f1", F.inline(F.array(*cells)))
@@ -106,7 +106,7 @@ def blended(formulas: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Mean over seeds of w * aggregate + (1 - w) * clean for every weight step.
 
     Both parts are averaged over the seeds first; the blend is linear, so weights never multiply the rows of
-    the shuffle. Estimates are rounded before any comparison, so ties do not hang on summation order.
+    the shuffle.
     """
     means = formulas.groupBy("dataset", "condition", "model", "model_ord", "formula_ord", "formula").agg(
         F.avg("aggregate").alias("aggregate"), F.avg("clean_f1").alias("clean_f1"))
