@@ -11,6 +11,8 @@ HASH_SPACE = 1 << 128
 HASH_DIGITS = 32
 NO_ROW = ""  # every hash is greater
 EVERY_ROW = "g"  # every hash is smaller
+DIGEST_CHARS = 64  # a tagged SHA-256 text has 65
+MAX_CELLS = 32
 
 
 def null_tagged(c: Column) -> Column:
@@ -58,10 +60,19 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
 
 
 def row_identity(df: DataFrame, columns: list[str]) -> list[Column]:
-    """Grouping columns that stand for the whole row: the cells when few, else a 32-byte digest.
+    """Grouping columns cell0, cell1, ... that stand for the whole row.
 
-    The digest keeps the shuffle at 32 bytes a row however wide the table is.
+    Cells group as they are, except that text beyond DIGEST_CHARS is replaced by its digest, which is longer than any
+    text kept; very wide tables use one digest of the row. Either way the shuffle moves few bytes per cell.
     """
-    if len(columns) <= 3:
-        return [F.col(f"`{c}`").alias(f"cell{i}") for i, c in enumerate(columns)]
-    return [row_digest(df, columns).alias("cell0")]
+    if len(columns) > MAX_CELLS:
+        return [row_digest(df, columns).alias("cell0")]
+    out = []
+    for i, name in enumerate(columns):
+        field = df.schema[name]
+        c = F.col(f"`{name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            c = cell_text(field) if not isinstance(field.dataType, T.BinaryType) else F.hex(c)
+            c = F.when(F.length(c) > DIGEST_CHARS, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+        out.append(c.alias(f"cell{i}"))
+    return out

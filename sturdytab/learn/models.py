@@ -30,6 +30,7 @@ class Settings:
     """Model sizes; the defaults are the published ones. Depth 30 is the most Spark allows."""
 
     iterations: int = 2000
+    svm_iterations: int = 100
     trees: int = 200
     tree_depth: int = 30
     rounds: int = 200
@@ -40,7 +41,7 @@ class Settings:
 
 
 # Smaller models for trial runs over whole tables.
-LIGHT = Settings(iterations=100, trees=20, tree_depth=10, rounds=10, round_depth=4, fourier=64)
+LIGHT = Settings(iterations=100, svm_iterations=20, trees=20, tree_depth=10, rounds=10, round_depth=4, fourier=64)
 
 
 def estimator(name: str, classes: int, rows: int, settings: Settings):
@@ -61,7 +62,8 @@ def estimator(name: str, classes: int, rows: int, settings: Settings):
             featureSubsetStrategy="sqrt", seed=settings.seed)
     if name == "SVM":
         columns["featuresCol"] = FOURIER
-        svc = LinearSVC(**columns, maxIter=200, regParam=1.0 / max(rows, 1), standardization=False)
+        svc = LinearSVC(**columns, maxIter=settings.svm_iterations, regParam=1.0 / max(rows, 1),
+                        standardization=False)
         return svc if classes <= 2 else OneVsRest(**columns, classifier=svc, parallelism=settings.parallelism)
     if name == "XGBoost":
         boosted = GBTClassifier(

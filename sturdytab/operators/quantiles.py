@@ -132,24 +132,30 @@ def _large(part, profiles, probabilities):
 def _narrow(part, filled, spans, wanted, keys, values, with_varied):
     """Sketch new bounds inside each open bracket, then count around them. Returns the keys that shrank."""
     slack = 2 / SKETCH_ACCURACY
-    guesses = []
+    keys = sorted(keys)
+    sketches = {}  # quantiles of a column that still share a bracket share one sketch
     for i, q in keys:
         low, high, below, inside = spans[i, q]
-        c = F.col(f"c{i}")
         base = below or 0
-        within = c if below is None else F.when((c > F.lit(low)) & (c < F.lit(high)), c)
         ranks = sorted(wanted[i, q])
-        lo_share = max(0.0, (ranks[0] - base) / inside - slack)
-        hi_share = min(1.0, (ranks[-1] + 1 - base) / inside + slack)
-        shares = F.array(F.lit(lo_share), F.lit(hi_share))
-        guesses.append(F.percentile_approx(within, shares, SKETCH_ACCURACY).alias(f"g{len(guesses)}"))
-    keys = list(keys)
-    sketch = part.agg(*guesses).first()
+        shares = sketches.setdefault((i, low, high, below), [])
+        shares.append(max(0.0, (ranks[0] - base) / inside - slack))
+        shares.append(min(1.0, (ranks[-1] + 1 - base) / inside + slack))
+    aggregates = []
+    for at, ((i, low, high, below), shares) in enumerate(sketches.items()):
+        c = F.col(f"c{i}")
+        within = c if below is None else F.when((c > F.lit(low)) & (c < F.lit(high)), c)
+        aggregates.append(F.percentile_approx(within, F.array(*map(F.lit, shares)), SKETCH_ACCURACY).alias(f"g{at}"))
+    sketch = part.agg(*aggregates).first()
+    guesses = {}
+    for at, (i, low, high, below) in enumerate(sketches):
+        mine = [key for key in keys if key[0] == i and tuple(spans[key][:3]) == (low, high, below)]
+        for j, key in enumerate(mine):
+            guesses[key] = sketch[f"g{at}"][2 * j: 2 * j + 2]
     counts = [_between(i, p) for i, p in filled.items()] if with_varied else []
     bounds = {}
     for j, (i, q) in enumerate(keys):
-        lo, hi = sketch[f"g{j}"]
-        bounds[i, q] = (lo, hi)
+        lo, hi = bounds[i, q] = guesses[i, q]
         c = F.col(f"c{i}")
         counts += [
             F.count_if(c < F.lit(lo)).alias(f"under{j}"), F.count_if(c == F.lit(lo)).alias(f"at_lo{j}"),
@@ -174,13 +180,19 @@ def _narrow(part, filled, spans, wanted, keys, values, with_varied):
             else:
                 left.add(r)
         wanted[key] = left
-        if left and all(under + at_lo <= r < under + at_lo + inside for r in left):
-            if inside < spans[key][3] / 2:
-                shrunk.add(key)
-            spans[key] = [lo, hi, under + at_lo, inside]
-        elif left and spans[key][2] is None:
-            # the sketch missed: everything between the extremes stays open and is counted exactly
-            spans[key] = [-math.inf, math.inf, 0, spans[key][3]]
+        if not left:
+            continue
+        # the sketch promises "inside"; a rank it missed keeps the part of the old bracket it lies in
+        old_low, old_high, old_below, old_inside = spans[key]
+        if old_below is None:
+            old_low, old_high, old_below = -math.inf, math.inf, 0
+        starts = (old_below, under + at_lo, under + at_lo + inside + at_hi)
+        ends = (under, under + at_lo + inside, old_below + old_inside)
+        regions = [0 if r < under else 1 if r < ends[1] else 2 for r in left]
+        first, last = min(regions), max(regions)
+        spans[key] = [(old_low, lo, hi)[first], (lo, hi, old_high)[last], starts[first], ends[last] - starts[first]]
+        if spans[key][3] < old_inside:
+            shrunk.add(key)
     return shrunk
 
 
@@ -191,9 +203,7 @@ def _pick(part, spans, wanted, keys, values):
     for j, (i, q) in enumerate(keys):
         low, high, _, _ = spans[i, q]
         c = F.col(f"c{i}")
-        test = c.isNotNull()
-        if low > -math.inf:
-            test = (c > F.lit(low)) & (c < F.lit(high))
+        test = (c > F.lit(low)) & (c < F.lit(high))
         tests.append(test)
         cells.append(F.when(test, F.struct(F.lit(j).alias("bracket"), c.alias("value"))))
     anywhere = tests[0]

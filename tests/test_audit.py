@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sturdytab import LabelledTable
+from sturdytab.functions import hashing
 from sturdytab.operators import audit, meta
 from sturdytab.table import drop_empty_columns, drop_index_columns, normalise_missing, require_classes
 
@@ -48,7 +49,10 @@ def test_meta_features(f1):
     assert (a["avg_numeric_cardinality"], a["avg_categorical_cardinality"]) == (4.0, 3.0)
 
 
-def test_wide_rows_use_a_digest_with_equal_groups(spark):
+@pytest.mark.parametrize("cells", [32, 2])
+def test_rows_group_by_content(spark, monkeypatch, cells):
+    """By cells and, for very wide tables, by digest: the same groups."""
+    monkeypatch.setattr(hashing, "MAX_CELLS", cells)
     rows = [("a||b", "c", None, 0.0, 1), ("a", "b||c", None, 0.0, 1), ("a", "b||c", None, -0.0, 2), (None, "x", "", 1.0, 1),
             (None, "x", None, 1.0, 1), (None, "x", None, 1.0, 1)]
     df = spark.createDataFrame(rows, "a string, b string, c string, d double, y int")
@@ -102,3 +106,13 @@ def test_conflict_flags_with_a_hot_feature_row(spark):
     got = audit.conflict_flags(table).groupBy("f").agg(F.count("*").alias("n"), F.max("labels").alias("l"))
     want = df.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct("y").alias("l"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_long_texts_group_by_digest(spark):
+    """Texts that differ only at the end stay apart, and a text that looks like a digest is not taken for one."""
+    import hashlib
+
+    long_a, long_b = "x" * 500 + "a", "x" * 500 + "b"
+    fake = "#" + hashlib.sha256(long_a.encode()).hexdigest()
+    df = spark.createDataFrame([(t, "l") for t in (long_a, long_a, long_b, fake, None, None)], "t string, y string")
+    assert audit.surplus_rows(df, ["t"]).first()["duplicate_rows"] == 2
