@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sturdytab.functions.hashing import row_identity
+from sturdytab.functions.hashing import row_digest, row_identity
 from sturdytab.functions.scalars import clamp, safe_ratio, side_by_side
 from sturdytab.operators.quantiles import ColumnProfile, profile_columns
+from sturdytab.operators.sampling import attach_by_key, is_hot
+from sturdytab.session import settle
 from sturdytab.table import LabelledTable, class_counts, normalise_missing
 
 FENCE = 1.5
@@ -132,7 +134,7 @@ def report_audit(table: LabelledTable) -> DataFrame:
     df = normalise_missing(table.df)
     features, numeric = table.features, table.numeric
     columns = [*features, table.target]
-    profiles = profile_columns(df, numeric, (0.25, 0.75))
+    profiles = profile_columns(df, numeric, (0.25, 0.75), table.rows())
     scan = df.agg(
         F.count("*").alias("n"),
         null_cells(columns).alias("missing_cells"),
@@ -187,7 +189,7 @@ def fraction_audit(table: LabelledTable) -> DataFrame:
     """The audit in fractions that impurity detection reads, one row. NULL labels count as a class."""
     df = normalise_missing(table.df)
     features, numeric, categorical = table.features, table.numeric, table.categorical
-    profiles = profile_columns(df, numeric, (0.25, 0.75))
+    profiles = profile_columns(df, numeric, (0.25, 0.75), table.rows())
     scan = df.agg(
         F.count("*").alias("n_rows"),
         null_cells(features).alias("missing_cells"),
@@ -265,18 +267,19 @@ def audit_many(tables: list) -> tuple[DataFrame | None, dict[str, str]]:
 
 
 def conflict_flags(table: LabelledTable) -> DataFrame:
-    """The rows with `labels`, the number of distinct known labels of their feature row."""
-    from sturdytab.operators.sampling import attach_by_key
+    """The rows with `labels`, the number of distinct known labels of their feature row.
 
-    df = table.df
-    identity = "feature_row"
-    keyed = df.withColumn(identity, _one_identity(df, table.features))
-    per_label = keyed.groupBy(identity, F.col(f"`{table.target}`").alias("label")).agg(F.count("*").alias("n"))
-    lookup = per_label.groupBy(identity).agg(F.sum("n").alias("group_rows"), F.count("label").alias("labels"))
-    return attach_by_key(keyed, lookup, identity, "group_rows", table.rows()).drop(identity)
-
-
-def _one_identity(df, columns):
-    from sturdytab.functions.hashing import row_digest
-
-    return row_digest(df, columns)
+    Only feature rows whose count does not follow from the row's own label are looked up.
+    """
+    df, total = table.df, table.rows()
+    label = F.col(f"`{table.target}`")
+    rows = df.withColumn("feature_row", row_digest(df, table.features))
+    groups = (
+        rows.groupBy("feature_row", label.alias("label")).agg(F.count("*").alias("n"))
+        .groupBy("feature_row").agg(
+            F.sum("n").alias("group_rows"), F.count("label").alias("labels"), F.count("*").alias("kinds"))
+    )
+    special = settle(groups.where((F.col("kinds") > 1) | is_hot("group_rows", total)).drop("kinds"), "conflicts")
+    found = attach_by_key(rows, special, "feature_row", "group_rows", total)
+    labels = F.coalesce("labels", label.isNotNull().cast("bigint")).alias("labels")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], labels)

@@ -242,12 +242,12 @@ def inject_outliers(table: LabelledTable, rate, seed: int = 42, preset: Preset =
     levels, many = _levels(rate)
     _check_rates(levels, preset)
     made = keyed(table)
-    profiles = {c: p for c, p in profile_columns(made.df, made.numeric).items() if p.varied}
+    n = made.rows()
+    profiles = {c: p for c, p in profile_columns(made.df, made.numeric, rows=n).items() if p.varied}
     if not profiles:
         if preset.strict:
             raise ValueError("no suitable numeric feature columns found")
         return table
-    n = made.rows()
     ks = [_touched(preset, n, r) for r in levels]
     h = _row_hash(made, seed, "row")
     found = kth_hash(made.df.select(h.alias("h")), n, ks)

@@ -57,7 +57,7 @@ class FittedPrep:
 
 def fit_prep(table: LabelledTable) -> FittedPrep:
     """Exact medians, modes, means and population deviations of the imputed training features."""
-    profiles = profile_columns(table.df, table.numeric, (0.5,))
+    profiles = profile_columns(table.df, table.numeric, (0.5,), table.rows())
     numeric = [c for c, p in profiles.items() if p.n]
     top = modes(table.df, table.categorical)
     categorical = [c for c, value in top.items() if value is not None]

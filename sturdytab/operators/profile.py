@@ -14,7 +14,7 @@ SCORE_NAMES = ("accuracy", "balanced_accuracy", "macro_f1")
 
 
 def with_clean_scores(results: DataFrame, clean: DataFrame) -> DataFrame:
-    """Left join of the clean scores of (dataset, model) as clean_*; the last row of a repeated key counts once."""
+    """Left join of the clean scores of (dataset, model) as clean_*; of a repeated key the best row counts."""
     base = clean.groupBy("dataset", "model").agg(*[F.max_by(c, F.struct(*SCORE_NAMES)).alias(f"clean_{c}")
                                                    for c in SCORE_NAMES])
     return results.join(base, ["dataset", "model"], "left")

@@ -36,12 +36,20 @@ class ColumnProfile:
 
 
 def profile_columns(
-    df: DataFrame, columns: list[str], probabilities=(0.25, 0.5, 0.75), small_cells: int = SMALL_CELLS
+    df: DataFrame, columns: list[str], probabilities=(0.25, 0.5, 0.75), rows: int | None = None,
+    small_cells: int = SMALL_CELLS,
 ) -> dict[str, ColumnProfile]:
-    """Count, range, sample deviation and exact quantiles per column: two scans when small, four when large."""
+    """Count, range, sample deviation and exact quantiles per column: two scans when small, three when large.
+
+    `rows` is the row count of the table; without it a count decides which way to go.
+    """
     if not columns:
         return {}
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = df.count() if rows is None else rows
+    large = rows * len(columns) > small_cells
+    slack = 2 / SKETCH_ACCURACY
+    shares = F.array(*[F.lit(x) for q in probabilities for x in (max(0.0, q - slack), min(1.0, q + slack))])
     out: dict[str, ColumnProfile] = {}
     for start in range(0, len(columns), COLUMNS_PER_JOB):
         ids = list(range(start, min(start + COLUMNS_PER_JOB, len(columns))))
@@ -50,15 +58,20 @@ def profile_columns(
             a for i in ids for a in (
                 F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"),
                 F.max(f"c{i}").alias(f"hi{i}"), F.stddev_samp(f"c{i}").alias(f"sd{i}"),
+                *([F.percentile_approx(f"c{i}", shares, SKETCH_ACCURACY).alias(f"g{i}")] if large else []),
             )
         ]).first()
         for i in ids:
             out[columns[i]] = ColumnProfile(first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"], first[f"sd{i}"])
         profiles = {i: out[columns[i]] for i in ids}
-        if sum(p.n for p in profiles.values()) <= small_cells:
-            _small(part, profiles, probabilities)
+        if large:
+            sketched = {
+                (i, q): first[f"g{i}"][2 * j: 2 * j + 2] if first[f"g{i}"] else None
+                for i in ids for j, q in enumerate(probabilities)
+            }
+            _large(part, profiles, probabilities, sketched)
         else:
-            _large(part, profiles, probabilities)
+            _small(part, profiles, probabilities)
     return out
 
 
@@ -91,7 +104,7 @@ def _ranks(n: int, q: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
-def _large(part, profiles, probabilities):
+def _large(part, profiles, probabilities, sketched):
     filled = {i: p for i, p in profiles.items() if p.n}
     for p in profiles.values():
         p.quantiles = {q: None for q in probabilities}
@@ -113,7 +126,8 @@ def _large(part, profiles, probabilities):
     first = True
     shrinking = set(wanted)
     while shrinking:
-        narrowed = _narrow(part, filled, spans, wanted, shrinking, values, with_varied=first)
+        guesses = sketched if first else _sketch(part, spans, wanted, shrinking)
+        narrowed = _count_around(part, filled, spans, wanted, shrinking, values, guesses, with_varied=first)
         first = False
         shrinking = {
             key for key in wanted
@@ -129,29 +143,33 @@ def _large(part, profiles, probabilities):
             p.quantiles[q] = a + (b - a) * share
 
 
-def _narrow(part, filled, spans, wanted, keys, values, with_varied):
-    """Sketch new bounds inside each open bracket, then count around them. Returns the keys that shrank."""
+def _sketch(part, spans, wanted, keys):
+    """New bounds inside each open bracket."""
     slack = 2 / SKETCH_ACCURACY
-    keys = sorted(keys)
     sketches = {}  # quantiles of a column that still share a bracket share one sketch
-    for i, q in keys:
+    for i, q in sorted(keys):
         low, high, below, inside = spans[i, q]
-        base = below or 0
         ranks = sorted(wanted[i, q])
         shares = sketches.setdefault((i, low, high, below), [])
-        shares.append(max(0.0, (ranks[0] - base) / inside - slack))
-        shares.append(min(1.0, (ranks[-1] + 1 - base) / inside + slack))
+        shares.append(max(0.0, (ranks[0] - below) / inside - slack))
+        shares.append(min(1.0, (ranks[-1] + 1 - below) / inside + slack))
     aggregates = []
-    for at, ((i, low, high, below), shares) in enumerate(sketches.items()):
+    for at, ((i, low, high, _), shares) in enumerate(sketches.items()):
         c = F.col(f"c{i}")
-        within = c if below is None else F.when((c > F.lit(low)) & (c < F.lit(high)), c)
+        within = F.when((c > F.lit(low)) & (c < F.lit(high)), c)
         aggregates.append(F.percentile_approx(within, F.array(*map(F.lit, shares)), SKETCH_ACCURACY).alias(f"g{at}"))
     sketch = part.agg(*aggregates).first()
     guesses = {}
     for at, (i, low, high, below) in enumerate(sketches):
-        mine = [key for key in keys if key[0] == i and tuple(spans[key][:3]) == (low, high, below)]
+        mine = [key for key in sorted(keys) if key[0] == i and tuple(spans[key][:3]) == (low, high, below)]
         for j, key in enumerate(mine):
             guesses[key] = sketch[f"g{at}"][2 * j: 2 * j + 2]
+    return guesses
+
+
+def _count_around(part, filled, spans, wanted, keys, values, guesses, with_varied):
+    """Count around the new bounds and settle every rank that lies on one. Returns the keys that shrank."""
+    keys = sorted(keys)
     counts = [_between(i, p) for i, p in filled.items()] if with_varied else []
     bounds = {}
     for j, (i, q) in enumerate(keys):

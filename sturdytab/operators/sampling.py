@@ -19,6 +19,7 @@ INLINE_CLASSES = 64
 ROWS_PER_BUCKET = 100_000
 COPIES_PER_CHUNK = 100_000
 HOT_SHARE = 1_000
+BROADCAST_ROWS = 200_000
 
 
 def by_class(df: DataFrame, label: str, values: dict, names: list[str], kinds: list[str]) -> DataFrame:
@@ -150,19 +151,70 @@ def prefix_sums(df: DataFrame, groups: list[str], h: str, weight: Column, rows:
     )
 
 
+def is_hot(size: str, total: int) -> Column:
+    """Keys that own more than 1 / HOT_SHARE of the rows; there are fewer than HOT_SHARE of them."""
+    return F.col(size) * HOT_SHARE > total
+
+
 def attach_by_key(rows: DataFrame, lookup: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Join a lookup with one row per key to the rows, where one key may own much of the table.
+    """Left join of a lookup with one row per key, which must hold every hot key.
 
-    `size` counts the rows of a key. At most HOT_SHARE keys can own more than total / HOT_SHARE rows, so that
-    part of the lookup is broadcast; only rows of the other keys are shuffled.
+    A lookup of at most BROADCAST_ROWS rows is broadcast. Beyond that only its hot part is, which is below
+    HOT_SHARE rows, and just the rows of other keys are shuffled, so no task gets a hot key.
     """
-    hot = lookup.where(F.col(size) * HOT_SHARE > total)
-    cold = lookup.where(F.col(size) * HOT_SHARE <= total)
+    if lookup.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup), key, "left")
+    hot = lookup.where(is_hot(size, total))
     hot_rows = rows.join(F.broadcast(hot), key)
-    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
+        lookup.where(~is_hot(size, total)), key, "left")
     return hot_rows.unionByName(cold_rows)
 
 
+def weight_cuts(df: DataFrame, parts: int, rows: int) -> dict:
+    """Cut rows (label, h, weight) of each label into parts of equal weight in hash order.
+
+    Returns {label: [first hash of part 1, part 2, ...]}: a row belongs to part p when exactly p of them are <= h.
+    Sums per hash bucket tell which bucket a cut lies in; only rows of those buckets are ordered.
+    """
+    digits = max(1, math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET + 1, 16)))
+    keyed = df.select("label", "h", "weight", F.substring("h", 1, digits).alias("bucket"))
+    whole = Window.partitionBy("label")
+    ahead = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("label", "bucket").agg(F.sum("weight").alias("w")).select(
+        "label", "bucket", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("offset"),
+        F.sum("w").over(whole).alias("total"))
+    cuts = range(1, parts)
+
+    def reached(before, p):
+        return before * parts >= F.col("total") * p
+
+    # the last bucket that starts before the cut
+    at = sums.groupBy("label").agg(F.first("total").alias("total"), *[
+        F.max(F.when(~reached(F.col("offset"), p), F.struct("bucket", "offset"))).alias(f"at{p}") for p in cuts])
+    found = {r["label"]: r for r in at.collect()}  # one row per label
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
+    names = ["total"] + [f"{n}{p}" for p in cuts for n in ("bucket", "offset")]
+    kinds = ["bigint"] + ["string", "bigint"] * (parts - 1)
+    values = {g: [r["total"], *[r[f"at{p}"][n] for p in cuts for n in ("bucket", "offset")]] for g, r in found.items()}
+    near = by_class(keyed, "label", values, names, kinds)
+    near = near.where(F.col("bucket").isin(*[F.col(f"bucket{p}") for p in cuts]))
+    inside = Window.partitionBy("label", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("sofar", F.coalesce(F.sum("weight").over(inside), F.lit(0)))
+    first = near.groupBy("label").agg(*[
+        F.min(F.when((F.col("bucket") == F.col(f"bucket{p}")) & reached(F.col(f"offset{p}") + F.col("sofar"), p),
+                     F.col("h"))).alias(f"h{p}") for p in cuts])
+    hits = {r["label"]: r for r in first.collect()}
+    # no row of the bucket reaches the cut: the part starts right behind the bucket
+    return {g: [hits[g][f"h{p}"] or r[f"at{p}"]["bucket"] + EVERY_ROW for p in cuts] for g, r in found.items()}
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """Rows in a seeded random order. Only for output: no operator here depends on row order."""
+    return df.orderBy(seeded_hash(seed, "shuffle", *[F.col(f"`{k}`") for k in keys]))
+
+
 def number_copies(df: DataFrame, ordinal: str = "copy_no") -> DataFrame:
     """Number the copies of identical rows from 1.
 

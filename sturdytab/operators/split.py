@@ -8,31 +8,38 @@ from pyspark.sql import DataFrame, functions as F
 
 from sturdytab.functions.hashing import group_key_text, seeded_hash
 from sturdytab.operators.corrupt import keyed
-from sturdytab.operators.sampling import attach_by_key, by_class, kth_hashes, prefix_sums
-from sturdytab.table import LabelledTable, class_counts, known_target, require_classes
+from sturdytab.operators.sampling import attach_by_key, by_class, is_hot, kth_hashes, weight_cuts
+from sturdytab.session import settle
+from sturdytab.table import MAX_CLASSES, LabelledTable, class_counts, known_target, require_classes
 
 
 def group_split(table: LabelledTable, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add `fold`: rows with equal features share a fold, and folds hold similar shares of each label.
 
-    Groups are counted first, so only one row per group is ordered; groups belong to their most frequent label
-    (lowest on a tie) and are cut into folds of equal rows in hash order. Fold 0 serves as the test part.
+    A group belongs to its most frequent label (lowest on a tie) and has a seeded hash of its features; the hash
+    order of each label is cut into folds of equal rows. Fold 0 serves as the test part. A row finds its fold from
+    its own hash and the cuts; only groups of mixed labels need a lookup for the label they belong to.
     """
-    df = known_target(table.df, table.target)
-    total = df.count()
-    group = F.md5(group_key_text(*[F.col(f"`{c}`") for c in table.features]))
-    rows = df.withColumn("feature_group", group)
-    per_label = rows.groupBy("feature_group", F.col(f"`{table.target}`").alias("label")).agg(
-        F.count("*").alias("n"))
-    groups = per_label.groupBy("feature_group").agg(
-        F.sum("n").alias("group_rows"),
-        F.min(F.struct((-F.col("n")).alias("less"), F.col("label"))).alias("top"),
-    ).select("feature_group", "group_rows", F.col("top.label").alias("dominant"),
-             seeded_hash(seed, "group", F.col("feature_group")).alias("h"))
-    placed = prefix_sums(groups, ["dominant"], "h", F.col("group_rows"), total)
-    fold = F.floor(F.lit(folds) * F.col("before") / F.col("total")).cast("int")
-    lookup = placed.select("feature_group", "group_rows", fold.alias("fold"))
-    return attach_by_key(rows, lookup, "feature_group", "group_rows", total).drop("feature_group", "group_rows")
+    counts = {c: n for c, n in class_counts(table.df, table.target).items() if c is not None}
+    classes, total = sorted(counts), sum(counts.values())
+    coded = by_class(known_target(table.df, table.target), table.target,
+                     {c: (i,) for i, c in enumerate(classes)}, ["own_label"], ["bigint"])
+    group = seeded_hash(seed, "group", group_key_text(*[F.col(f"`{c}`") for c in table.features]))
+    rows = coded.withColumn("h", group)
+    per_label = rows.groupBy("h", "own_label").agg(F.count("*").alias("n"))
+    # the most rows first, then the lowest label, as one number that hash aggregation can keep
+    rank = F.max(F.col("n") * MAX_CLASSES + (MAX_CLASSES - 1 - F.col("own_label")))
+    groups = settle(per_label.groupBy("h").agg(
+        F.sum("n").alias("weight"), F.count("*").alias("labels"),
+        (MAX_CLASSES - 1 - rank % MAX_CLASSES).alias("label")), "groups")
+    cuts = weight_cuts(groups, folds, total)
+    special = groups.where((F.col("labels") > 1) | is_hot("weight", total)).select("h", "weight", "label")
+    placed = attach_by_key(rows, special, "h", "weight", total).withColumn(
+        "label_", F.coalesce("label", "own_label"))
+    names = [f"cut{i}_" for i in range(folds - 1)]
+    placed = by_class(placed, "label_", cuts, names, ["string"] * (folds - 1))
+    fold = sum(((F.col("h") >= F.col(name)).cast("int") for name in names), F.lit(0))
+    return placed.select(*[F.col(f"`{c}`") for c in table.df.columns], fold.alias("fold"))
 
 
 def train_test(table: LabelledTable, fold_frame: DataFrame) -> tuple[LabelledTable, LabelledTable]:

@@ -17,6 +17,7 @@ from sturdytab.operators.metrics import SCORES, confusion, scores
 from sturdytab.operators.profile import with_clean_scores, with_drops
 from sturdytab.operators.split import stratified_folds, stratified_subset
 from sturdytab.plans.grid import SINGLE_CONDITIONS
+from sturdytab.session import shared_folder
 from sturdytab.table import LabelledTable, class_counts
 
 # Seeds and the reduced grid of the published experiments.
@@ -40,6 +41,7 @@ def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, mod
                   failures: list | None = None) -> tuple[list[dict], dict[str, FittedModel]]:
     """Scores of each model on the test rows. A model that fails does not stop the others."""
     spark = train.df.sparkSession
+    shared_folder(spark)  # boosting cuts its lineage there
     features = fit_features(train, settings, classes)
     unknown = set(c for c in class_counts(test, train.target) if c is not None) - set(features.classes)
     if unknown:
@@ -148,7 +150,7 @@ def probe_scores(table: LabelledTable, impurities: list[tuple[str, float]], seed
     for kinds, split_seed in (([(None, None)], seed), (impurities, seed + 100)):
         if not kinds:
             continue
-        split = stratified_folds(base, folds, split_seed).persist()
+        split = stratified_folds(base, folds, split_seed)  # a narrow plan, cheap to run again
         numbers = sorted(r[0] for r in split.select("fold").distinct().collect())  # at most `folds` rows
         classes = sorted(c for c in class_counts(split, base.target) if c is not None)
         for fold in numbers:
@@ -161,7 +163,6 @@ def probe_scores(table: LabelledTable, impurities: list[tuple[str, float]], seed
                 if errors:
                     raise RuntimeError(f"probe failed: {errors}")
                 rows += [(r["model"], models.index(r["model"]), corruption, fold, r["macro_f1"]) for r in got]
-        split.unpersist()
     return base.df.sparkSession.createDataFrame(rows, PROBE_SCHEMA)
 
 

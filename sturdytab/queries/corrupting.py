@@ -368,10 +368,10 @@ def distinct_classes(spark, sf):
 def _group_split_sql(name, seed=42, folds=5):
     table, (key,), features, target = DATASETS[name]
     text = ", ".join(f"coalesce(cast({c} as varchar), 'nan')" for c in features)
-    return f"""with r as (select {key}, {target} as label, md5(concat_ws('||', {text})) as g from {table}),
+    group = sql_hash(seed, "group", f"concat_ws('||', {text})")
+    return f"""with r as (select {key}, {target} as label, {group} as g from {table}),
       gl as (select g, label, count(*) as n from r group by 1, 2),
-      gr as (select g, sum(n) as size, first(label order by n desc, label) as dominant,
-        {sql_hash(seed, 'group', 'g')} as h from gl group by g),
+      gr as (select g, g as h, sum(n) as size, first(label order by n desc, label) as dominant from gl group by g),
       f as (select g, cast(floor({folds} * (sum(size) over (partition by dominant order by h) - size)
         / sum(size) over (partition by dominant)) as integer) as fold from gr)
       select r.{key}, r.label, f.fold from r join f using (g)"""

@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="sturdytab-")
         spark.conf.set(CHECKPOINT_SETTING, folder)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder)  # boosted trees cut their own lineage there
     return folder
 
 
@@ -45,7 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Cut the lineage: write the frame below the shared folder and go on from the files.
+
+    Later passes read only the columns they need, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

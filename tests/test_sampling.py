@@ -107,7 +107,8 @@ def test_quantiles_match_numpy(spark, monkeypatch, small_cells, bracket_rows):
     df = spark.createDataFrame(data).repartition(5)
     from sturdytab.table import normalise_missing
 
-    got = profile_columns(normalise_missing(df), list(COLUMNS), (0.0, 0.25, 0.5, 0.75, 0.999), small_cells)
+    got = profile_columns(normalise_missing(df), list(COLUMNS), (0.0, 0.25, 0.5, 0.75, 0.999),
+                          small_cells=small_cells)
     for name in COLUMNS:
         values = data[name].dropna()
         assert got[name].n == len(values)
@@ -117,3 +118,30 @@ def test_quantiles_match_numpy(spark, monkeypatch, small_cells, bracket_rows):
                 assert value == pytest.approx(float(values.quantile(q)), rel=1e-12), (name, q)
             else:
                 assert value is None
+
+
+def test_weight_cuts(spark):
+    """Parts of equal weight per label, with one row that outweighs all others."""
+    random.seed(4)
+    rows = [(random.randrange(2), format(random.getrandbits(128), "032x"), random.randrange(1, 9)) for _ in range(3000)]
+    rows.append((0, format(2**127, "032x"), 5000))
+    df = spark.createDataFrame(rows, "label long, h string, weight long")
+    for hint in (1, 10**8):
+        cuts = S.weight_cuts(df, 5, hint)
+        for g in (0, 1):
+            mine = sorted((h, n) for x, h, n in rows if x == g)
+            before, total = 0, sum(n for _, n in mine)
+            for h, n in mine:
+                assert sum(h >= c for c in cuts[g]) == 5 * before // total
+                before += n
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_lookup_joins_agree(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(S, "HOT_SHARE", 5)
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 400, -1).otherwise(F.col("id") % 50).alias("k"))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("size")).where("k = -1 or k < 20").withColumn("v", F.col("k") * 2)
+    got = S.attach_by_key(rows, lookup, "k", "size", 1000).select("id", "k", "v").collect()
+    assert sorted(got, key=lambda r: r["id"]) == [
+        (i, k, k * 2 if k < 20 else None) for i in range(1000) for k in [-1 if i < 400 else i % 50]]
