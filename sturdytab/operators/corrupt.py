@@ -17,7 +17,7 @@ from sturdytab.functions.hashing import hash_choice, seeded_hash
 from sturdytab.functions.scalars import floor_count, half_even_count
 from sturdytab.operators.quantiles import ColumnProfile, profile_columns
 from sturdytab.operators.sampling import (
-    by_class, draws_with_replacement, kth_hash, kth_hashes, prefix_sums, with_row_key,
+    arrivals, by_class, kth_arrival, kth_hash, kth_hashes, with_row_key,
 )
 from sturdytab.session import settle
 from sturdytab.table import INTEGER_TYPES, LabelledTable, class_counts
@@ -136,7 +136,10 @@ def inject_missing(table: LabelledTable, rate, seed: int = 42, preset: Preset =
 
 
 def inject_duplicates(table: LabelledTable, rate, seed: int = 42, preset: Preset = LIBRARY) -> LabelledTable:
-    """Append copies of drawn rows. `copy_no` is 0 for the original and joins the key."""
+    """Append copies of drawn rows. `copy_no` is 0 for the original and joins the key.
+
+    With replacement a row counts its own arrivals before the k-th of all rows, without it the k smallest hashes win.
+    """
     levels, many = _levels(rate)
     _check_rates(levels, preset)
     made = keyed(table)
@@ -145,13 +148,12 @@ def inject_duplicates(table: LabelledTable, rate, seed: int = 42, preset: Preset
     while copy_no in made.df.columns:
         copy_no += "_"
     if preset.replacement:
-        parts = [_copies_with_replacement(made, max(0, preset.count(n, r)), n, seed, copy_no) for r in levels]
-        out = parts[0]
-        if many:
-            out = parts[0].withColumn("severity", F.lit(levels[0]))
-            for part, s in zip(parts[1:], levels[1:]):
-                out = out.unionByName(part.withColumn("severity", F.lit(s)))
         added = [max(0, preset.count(n, r)) for r in levels]
+        ends = [kth_arrival(made.df, list(made.keys), n, k, seed) if k else 0.0 for k in added]
+        times = arrivals(seed, [F.col(f"`{k}`") for k in made.keys], max(ends))
+        marked, end = _fan_out(made.df.withColumn("times_", times), levels, many, ends)
+        hits = F.size(F.filter("times_", lambda t: t <= end))
+        out = marked.withColumn(copy_no, F.explode(F.sequence(F.lit(0), hits))).drop("times_")
     else:
         added = [_touched(preset, n, r) for r in levels]
         h = _row_hash(made, seed, "copy")
@@ -163,24 +165,6 @@ def inject_duplicates(table: LabelledTable, rate, seed: int = 42, preset: Preset
     return result if table.keys else unkeyed(result)
 
 
-def _copies_with_replacement(table, k, n, seed, copy_no):
-    """Every row once plus as often as its rank in hash order is drawn. Ranks are found on the keys alone."""
-    if k <= 0 or n <= 0:
-        return table.df.withColumn(copy_no, F.lit(0))
-    keys = list(table.keys)
-    ranked = prefix_sums(
-        table.df.select(*[F.col(f"`{c}`") for c in keys], _row_hash(table, seed, "rank").alias("h")),
-        [], "h", F.lit(1), n,
-    )
-    hits = (
-        ranked.withColumnRenamed("before", "position")
-        .join(draws_with_replacement(table.df.sparkSession, n, k, seed), "position")
-        .select(*keys, F.col("hits").cast("int").alias("hits"))
-    )
-    again = F.sequence(F.lit(0), F.coalesce("hits", F.lit(0)))
-    return table.df.join(hits, keys, "left").withColumn(copy_no, F.explode(again)).drop("hits")
-
-
 def inject_label_noise(table: LabelledTable, rate, seed: int = 42, preset: Preset = LIBRARY) -> LabelledTable:
     """Give an exact number of rows another label, uniform over the other classes. Features are never touched."""
     levels, many = _levels(rate)

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from sturdytab.functions.hashing import EVERY_ROW, NO_ROW, hash_choice, hex_point, row_digest, seeded_hash
+from sturdytab.functions.hashing import (
+    EVERY_ROW, FIXED_WIDTH, MAX_CELLS, NO_ROW, hex_point, row_digest, seeded_hash,
+)
+from sturdytab.session import settle
 from sturdytab.table import MAX_CLASSES
 
 INLINE_CLASSES = 64
@@ -20,6 +23,7 @@ ROWS_PER_BUCKET = 100_000
 COPIES_PER_CHUNK = 100_000
 HOT_SHARE = 1_000
 BROADCAST_ROWS = 200_000
+NARROW_CHARS = 64
 
 
 def by_class(df: DataFrame, label: str, values: dict, names: list[str], kinds: list[str]) -> DataFrame:
@@ -231,17 +235,104 @@ def number_copies(df: DataFrame, ordinal: str = "copy_no") -> DataFrame:
     return spread.withColumn(ordinal, F.explode(F.sequence(first, last))).drop("copies", "chunk")
 
 
+def _is_narrow(df: DataFrame) -> bool:
+    """Few cells and, on average, little text: one scan of the text columns."""
+    texts = [f for f in df.schema if not isinstance(f.dataType, FIXED_WIDTH)]
+    if len(df.columns) > MAX_CELLS or any(not isinstance(f.dataType, T.StringType) for f in texts):
+        return False
+    if not texts:
+        return True
+    chars = sum((F.coalesce(F.length(f"`{f.name}`"), F.lit(0)) for f in texts), F.lit(0))
+    return (df.agg(F.avg(chars)).first()[0] or 0) <= NARROW_CHARS
+
+
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A unique key for a table that has none: digest of the row plus its copy number."""
-    numbered = number_copies(df)
-    key = F.md5(F.concat_ws("|", F.lower(F.hex(row_digest(df, df.columns))), F.col("copy_no").cast("string")))
-    return numbered.withColumn(name, key).drop("copy_no")
+    """A unique key for a table that has none: digest of the row plus its copy number.
 
+    Narrow rows are counted and numbered as they are. Of wide rows only digests are shuffled to find the repeated
+    ones; rows without a copy then get their key on the spot, and only the repeated rows are numbered.
+    """
+    marked = df.withColumn("digest_", row_digest(df, df.columns))
+    columns = [F.col(f"`{c}`") for c in df.columns]
 
-def draws_with_replacement(spark, n: int, k: int, seed: int) -> DataFrame:
-    """How often each 0-based position of n is hit by k seeded draws: (position, hits)."""
-    draw = seeded_hash(seed, "draw", F.col("id"))
-    return (
-        spark.range(k).select(hash_choice(draw, n).alias("position"))
-        .groupBy("position").agg(F.count("*").alias("hits"))
-    )
+    def key(copy_no: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lower(F.hex("digest_")), copy_no.cast("string"))).alias(name)
+
+    if _is_narrow(df):
+        return number_copies(marked).select(*columns, key(F.col("copy_no")))
+    repeated = settle(
+        marked.groupBy("digest_").agg(F.count("*").alias("n")).where("n > 1").select("digest_"), "repeated")
+    if repeated.count() > BROADCAST_ROWS:
+        return number_copies(marked).select(*columns, key(F.col("copy_no")))
+    single = marked.join(F.broadcast(repeated), "digest_", "left_anti").select(*columns, key(F.lit(1)))
+    copies = number_copies(marked.join(F.broadcast(repeated), "digest_", "left_semi"))
+    return single.unionByName(copies.select(*columns, key(F.col("copy_no"))))
+
+
+# ---- drawing with replacement -------------------------------------------------------------------
+
+NO_CHANCE = 1e-40
+
+
+def most_arrivals(until: float) -> int:
+    """A number of arrivals that one row in 10^40 reaches by then."""
+    most, chance = 1, until
+    while chance > NO_CHANCE:
+        most += 1
+        chance *= until / most
+    return most
+
+
+def _gap(seed: int, step: Column, keys: list[Column]) -> Column:
+    """An exponential waiting time from a hash."""
+    whole = F.conv(F.substring(seeded_hash(seed, "arrival", step, *keys), 1, 15), 16, 10).cast("bigint")
+    return -F.log((whole + F.lit(0.5)) / F.lit(float(1 << 60)))
+
+
+def arrivals(seed: int, keys: list[Column], until: float) -> Column:
+    """The arrival times of a row's own seeded Poisson process, up to `until`, as an array.
+
+    Merged over all rows, each next arrival falls on any row with equal chance, whatever came before: the
+    first k arrivals are k draws with replacement. A row needs no other row to know its times, and most rows
+    hash only once. The search stops at a number of arrivals no row has in practice; one that did would be an
+    error, not a loss.
+    """
+    first = _gap(seed, F.lit(1), keys)
+    steps = F.sequence(F.lit(2), F.lit(most_arrivals(until) + 2))
+    until = F.lit(float(until))
+
+    def step(state, at):
+        last = F.element_at(state, -1)
+        later = F.concat(state, F.array(last + _gap(seed, at, keys)))
+        return F.when(last > until, state).otherwise(later)
+
+    times = F.aggregate(steps, F.array(first), step)
+    checked = F.when(F.element_at(times, -1) > until, times).otherwise(
+        F.raise_error(F.lit("more arrivals than expected: draw fewer rows at once")).cast("array<double>"))
+    return F.when(first > until, F.array().cast("array<double>")).otherwise(
+        F.filter(checked, lambda t: t <= until))
+
+
+def kth_arrival(df: DataFrame, keys: list[str], n: int, k: int, seed: int) -> float:
+    """Time of the k-th arrival over all n rows, from one scan: arrivals before the bracket are only counted."""
+    columns = [F.col(f"`{c}`") for c in keys]
+    spread = 8.0
+    while True:
+        half = spread * (math.sqrt(k) + 8) / n
+        low, high = max(0.0, k / n - half), k / n + half
+        times = df.select(F.explode(arrivals(seed, columns, high)).alias("t"))
+        counted = times.groupBy(F.when(F.col("t") >= low, F.col("t")).alias("t")).agg(F.count("*").alias("n"))
+        upto = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first("t")).rowsBetween(Window.unboundedPreceding, 0)
+        at = counted.select("t", F.sum("n").over(upto).alias("upto")).agg(
+            F.min("upto").alias("least"), F.max("upto").alias("most"),
+            F.min(F.when(F.col("upto") >= k, F.col("t"))).alias("t"),
+            F.max(F.when(F.col("t").isNull(), F.col("upto"))).alias("below"),
+        ).first()
+        if at["t"] is not None and (at["below"] or 0) < k:
+            return at["t"]
+        spread *= 4
+
+
+def draws(seed: int, keys: list[str], until: float) -> Column:
+    """How often a row is drawn when the draws end at time `until`."""
+    return F.size(arrivals(seed, [F.col(f"`{c}`") for c in keys], until))

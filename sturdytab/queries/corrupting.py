@@ -70,12 +70,16 @@ class SqlTable:
         return self
 
     def duplicates_with_replacement(self, rate, seed):
-        out = ", ".join(self.columns)
-        n = f"(select count(*) from {self.last})"
-        draw = sql_choice(sql_hash(seed, "draw", "id"), n)
+        """The first k arrivals over all rows; no row has 12 of them this early."""
+        out, keys = ", ".join(f"t.{c}" for c in self.columns), ", ".join(self.keys)
+        whole = f"cast('0x' || substr({sql_hash(seed, 'arrival', 'step', *self.keys)}, 1, 15) as bigint)"
+        times = f"""select {keys}, sum(-ln(({whole} + 0.5e0) / 1152921504606846976e0)) over (
+          partition by {keys} order by step) as time from {self.last}, range(1, 13) s(step)"""
+        on = " and ".join(f"t.{k} = d.{k}" for k in self.keys)
         text = f"""select {out}, cast(unnest(range(0, coalesce(hits, 0) + 1)) as integer) as copy_no
-          from {self.ranked('rank', seed)} t left join (select {draw} as position, count(*) as hits
-            from range({self.count(rate, 'floor')}) d(id) group by 1) d on d.position = t.r_ - 1"""
+          from {self.last} t left join (select {keys}, count(*) as hits from (select *,
+            row_number() over (order by time) as r from ({times})) where r <= {self.count(rate, 'floor')}
+            group by {keys}) d on {on}"""
         self.step(text)
         self.keys = [*self.keys, "copy_no"]
         return self
@@ -175,6 +179,9 @@ corruption_query("corrupt_missing_half_even", "part_brand",
 corruption_query("corrupt_duplicates_with_replacement", "orders",
                  SqlTable("orders").duplicates_with_replacement(0.1, 42).sql(),
                  partial(C.inject_duplicates, rate=0.1))
+corruption_query("corrupt_duplicates_with_replacement_levels", "events",
+                 levels_sql("events", C.RATES, lambda t, s: t.duplicates_with_replacement(s, 42)),
+                 partial(C.inject_duplicates, rate=list(C.RATES)))
 corruption_query("corrupt_duplicates_distinct", "orders",
                  SqlTable("orders").duplicates(0.1, 342).sql(),
                  partial(C.inject_duplicates, rate=0.1, seed=342, preset=C.EXPERIMENT))

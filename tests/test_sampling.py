@@ -72,15 +72,41 @@ def test_copies_of_a_hot_row_are_numbered_in_chunks(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in got} == {"hot": (1234, 1234, 1234), "cold": (1, 1, 1), None: (2, 2, 2)}
 
 
-def test_draws_do_not_depend_on_partitions(spark):
-    one = S.draws_with_replacement(spark, 50, 400, 9).orderBy("position").collect()
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    try:
-        assert S.draws_with_replacement(spark, 50, 400, 9).orderBy("position").collect() == one
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert sum(r["hits"] for r in one) == 400
+@pytest.mark.parametrize("n,k", [(50, 1), (50, 50), (400, 3), (20_000, 2000)])
+def test_draws_with_replacement_are_exact(spark, n, k):
+    df = spark.range(n).withColumn("pad", F.lit("x"))
+    end = S.kth_arrival(df, ["id"], n, k, 9)
+    hits = [r[0] for r in df.repartition(5).select(S.draws(9, ["id"], end)).collect()]
+    assert sum(hits) == k
+    if k >= 50:
+        assert max(hits) > 1  # a row can be drawn again
+
+
+def test_draws_with_replacement_are_uniform(spark):
+    """Over many seeds every row is drawn about equally often, and pairs are as frequent as chance has it."""
+    n, k, seeds = 20, 20, 150
+    df = spark.range(n)
+    total, squares = np.zeros(n), 0
+    for seed in range(0, seeds):
+        end = S.kth_arrival(df, ["id"], n, k, seed) if seed < 12 else None
+        if end is None:
+            break
+        hits = np.array([r[1] for r in df.select("id", S.draws(seed, ["id"], end)).orderBy("id").collect()])
+        total += hits
+        squares += (hits * (hits - 1)).sum()
+    assert total.sum() == 12 * k
+    expected_pairs = 12 * k * (k - 1) / n
+    assert 0.5 * expected_pairs < squares < 1.6 * expected_pairs
+
+
+def test_row_keys_are_unique_and_equal_on_all_paths(spark, monkeypatch):
+    df = spark.createDataFrame([("hot", 1)] * 300 + [("pair", 2)] * 2 + [(f"s{i}", i) for i in range(100)], "s string, i int")
+    keys = sorted(r["row_key"] for r in S.with_row_key(df).collect())
+    assert len(set(keys)) == 402
+    monkeypatch.setattr(S, "NARROW_CHARS", -1)  # through digests
+    assert sorted(r["row_key"] for r in S.with_row_key(df).collect()) == keys
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)  # too many repeated digests to broadcast
+    assert sorted(r["row_key"] for r in S.with_row_key(df).collect()) == keys
 
 
 COLUMNS = {
