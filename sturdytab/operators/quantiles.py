@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SMALL_CELLS = 2_000_000
+SMALL_CELLS = 5_000_000
 BRACKET_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 COLUMNS_PER_JOB = 8
