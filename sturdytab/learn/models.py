@@ -37,11 +37,13 @@ class Settings:
     round_depth: int = 6
     fourier: int = 256
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 4  # models fitted side by side
+    cells: int = 2  # grid cells run side by side, each with its own cached training table
 
 
 # Smaller models for trial runs over whole tables.
-LIGHT = Settings(iterations=100, svm_iterations=20, trees=20, tree_depth=10, rounds=10, round_depth=4, fourier=64)
+LIGHT = Settings(iterations=100, svm_iterations=20, trees=20, tree_depth=10, rounds=10, round_depth=4, fourier=64,
+                 cells=4)
 
 
 def estimator(name: str, classes: int, rows: int, settings: Settings):

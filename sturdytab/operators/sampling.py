@@ -19,7 +19,7 @@ from sturdytab.session import settle
 from sturdytab.table import MAX_CLASSES
 
 INLINE_CLASSES = 64
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000_000
 COPIES_PER_CHUNK = 100_000
 HOT_SHARE = 1_000
 BROADCAST_ROWS = 200_000

@@ -76,17 +76,20 @@ def _frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 def _grid(train, test, conditions, settings, models, failures):
     """conditions: (seed, condition, corruption, severity, callable giving the training table)."""
+    spark = train.df.sparkSession
     classes = sorted(c for c in class_counts(train.df, train.target) if c is not None)
-    rows = []
-    for seed, condition, corruption, severity, make in conditions:
-        corrupted = make()
-        here: list = []
-        for row in fit_and_score(corrupted, test.df, settings, models, classes, here)[0]:
-            rows.append({"dataset": train.name, "seed": seed, "condition": condition, "corruption": corruption,
-                         "severity": severity, **row})
-        if failures is not None:
-            failures += [(condition, name, error) for name, error in here]
-    return _frame(train.df.sparkSession, rows)
+
+    def cell(item):
+        seed, condition, corruption, severity, make = item
+        errors: list = []
+        got, _ = fit_and_score(make(), test.df, settings, models, classes, errors)
+        return [{"dataset": train.name, "seed": seed, "condition": condition, "corruption": corruption,
+                 "severity": severity, **row} for row in got], [(condition, name, error) for name, error in errors]
+
+    done = _side_by_side(spark, settings.cells, cell, conditions)
+    if failures is not None:
+        failures += [f for _, errors in done for f in errors]
+    return _frame(spark, [row for rows, _ in done for row in rows])
 
 
 def run_clean(train: LabelledTable, test: LabelledTable, settings: Settings = Settings(), models=MODELS,
@@ -146,7 +149,8 @@ def probe_scores(table: LabelledTable, impurities: list[tuple[str, float]], seed
     made once for all models.
     """
     base = keyed(table)
-    rows = []
+    spark = base.df.sparkSession
+    cells = []
     for kinds, split_seed in (([(None, None)], seed), (impurities, seed + 100)):
         if not kinds:
             continue
@@ -156,15 +160,17 @@ def probe_scores(table: LabelledTable, impurities: list[tuple[str, float]], seed
         for fold in numbers:
             train = base.with_df(split.where(F.col("fold") != fold).drop("fold"))
             validation = split.where(F.col("fold") == fold).drop("fold")
-            for corruption, severity in kinds:
-                used = train if corruption is None else _probe(train, corruption, severity, split_seed + fold + 1)
-                errors: list = []
-                got, _ = fit_and_score(used, validation, settings, models, classes, errors)
-                if errors:
-                    raise RuntimeError(f"probe failed: {errors}")
-                rows += [(r["model"], models.index(r["model"]), corruption, fold, r["macro_f1"]) for r in got]
-    return base.df.sparkSession.createDataFrame(rows, PROBE_SCHEMA)
-
-
-def _probe(train, corruption, severity, seed):
-    return corrupt(train, corruption, severity, seed, PROBE, offset=False)
+            cells += [(train, validation, classes, fold, split_seed + fold + 1, *kind) for kind in kinds]
+
+    def probe(cell):
+        train, validation, classes, fold, corruption_seed, corruption, severity = cell
+        if corruption is not None:
+            train = corrupt(train, corruption, severity, corruption_seed, PROBE, offset=False)
+        errors: list = []
+        got, _ = fit_and_score(train, validation, settings, models, classes, errors)
+        if errors:
+            raise RuntimeError(f"probe failed: {errors}")
+        return [(r["model"], models.index(r["model"]), corruption, fold, r["macro_f1"]) for r in got]
+
+    done = _side_by_side(spark, settings.cells, probe, cells)
+    return spark.createDataFrame([row for rows in done for row in rows], PROBE_SCHEMA)

@@ -15,6 +15,7 @@ from sturdytab.table import (
 )
 
 AUDITED = ("orders", "part", "events", "customer", "lineitem")
+REPEATED = ("events_user", "lineitem_terms", "part_brand")  # projections with duplicates and conflicts
 
 
 def rounded(df, digits, *columns):
@@ -97,7 +98,7 @@ def _fractions(spark, sf, name):
     return rounded(audit.fraction_audit(dataset(spark, sf, name)), 9, *FRACTIONS)
 
 
-for _name in AUDITED:
+for _name in (*AUDITED, *REPEATED):
     query(f"audit_{_name}", report_sql(_name))(
         lambda spark, sf, name=_name: audit.report_audit(dataset(spark, sf, name)))
     query(f"audit_fractions_{_name}", fraction_sql(_name))(partial(_fractions, name=_name))
@@ -366,6 +367,36 @@ def missing_normalised(spark, sf):
     return normalise_missing(events_with_holes(spark, sf), MISSING_TOKENS)
 
 
+# Audits of the table with holes: missing cells, NULL labels and, without the key, repeated rows.
+DATASETS["events_holes"] = (f"({HOLES_NORMAL_SQL})", (), ("user_id", "value", "props"), "event_type")
+NUMERIC["events_holes"] = ["user_id", "value"]
+
+
+def _holes_table(spark, sf):
+    return LabelledTable(missing_normalised(spark, sf).drop("event_id"), "event_type", (), "events_holes")
+
+
+@query("audit_events_holes", report_sql("events_holes"))
+def audit_events_holes(spark, sf):
+    return audit.report_audit(_holes_table(spark, sf))
+
+
+@query("audit_fractions_events_holes", fraction_sql("events_holes"))
+def audit_fractions_events_holes(spark, sf):
+    return rounded(audit.fraction_audit(_holes_table(spark, sf)), 9, *FRACTIONS)
+
+
+@query("impurities_events_holes", _impurity_sql("events_holes"))
+def impurities_events_holes(spark, sf):
+    return rounded(audit.detect_impurities(audit.fraction_audit(_holes_table(spark, sf))), 6, "severity")
+
+
+@query("meta_features_events_holes", _meta_sql("events_holes"))
+def meta_features_events_holes(spark, sf):
+    return rounded(meta.meta_features(_holes_table(spark, sf)), 9, "numeric_ratio", "categorical_ratio",
+                   "imbalance_ratio", "class_entropy", "avg_numeric_cardinality", "avg_categorical_cardinality")
+
+
 @query("null_cells_events", f"""with e as ({HOLES_NORMAL_SQL}) select cast(count(*) as bigint) as n,
   cast(5 * count(*) - count(event_id) - count(user_id) - count(value) - count(props) - count(event_type) as bigint)
     as missing_cells, round((5 * count(*) - count(event_id) - count(user_id) - count(value) - count(props)
