@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sturdytab.operators import profile as P, selector as S
 from sturdytab.queries.auditing import rounded
 from sturdytab.queries.base import query, raw
+from sturdytab.session import settle
 
 SINGLE = {1: "missing", 2: "label_noise", 3: "duplicates", 4: "outliers"}
 COMBINED = {5: "missing_noise", 6: "missing_noise_duplicates", 7: "missing_noise_outliers"}
@@ -50,8 +51,12 @@ def score_base(spark, sf):
 
 
 def score_tables(spark, sf):
-    """(clean, single, combined, models); the model list is the few part types in name order."""
-    base = score_base(spark, sf)
+    """(clean, single, combined, models); the model list is the few part types in name order.
+
+    The large tables are read once: sums per (dataset, seed, model, line number) are kept, all scores follow from them.
+    """
+    sums = settle(score_base(spark, sf).groupBy("dataset", "seed", "model", "ln").agg(
+        F.sum("d").alias("d"), F.sum("x").alias("x"), F.count("*").alias("n")), "scores")
 
     def label(names):
         out = F.lit(None)
@@ -60,14 +65,14 @@ def score_tables(spark, sf):
         return out
 
     def mean(value, over):
-        return F.sum(value).cast("double") / F.count("*") / over
+        return F.sum(value).cast("double") / F.sum("n") / over
 
-    clean = base.groupBy("dataset", "model").agg(F.round(mean("d", 10) + 0.1, 6).alias("clean_f1"))
-    single = base.where("ln <= 4").groupBy("dataset", "seed", "model", label(SINGLE).alias("corruption")).agg(
+    clean = sums.groupBy("dataset", "model").agg(F.round(mean("d", 10) + 0.1, 6).alias("clean_f1"))
+    single = sums.where("ln <= 4").groupBy("dataset", "seed", "model", label(SINGLE).alias("corruption")).agg(
         F.round(mean("d", 10), 6).alias("macro_f1")).withColumn("severity", F.lit(SEVERITY))
-    combined = base.where("ln >= 5").groupBy("dataset", "seed", "model", label(COMBINED).alias("condition")).agg(
+    combined = sums.where("ln >= 5").groupBy("dataset", "seed", "model", label(COMBINED).alias("condition")).agg(
         F.round(mean("x", 8), 6).alias("macro_f1"))
-    models = sorted(r[0] for r in raw(spark, sf, "part").select("p_type").distinct().take(1000))
+    models = sorted(r[0] for r in sums.select("model").distinct().collect())  # a handful of part types
     return clean, single, combined, models
 
 

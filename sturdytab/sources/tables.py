@@ -101,9 +101,10 @@ def summary(table: LabelledTable) -> DataFrame:
              F.struct(F.lit("columns").alias("item"), F.lit("").alias("name"), F.lit(float(len(df.columns))).alias("value"))]
     for kind, n in sorted(dtype_histogram(df, table.target).items()):
         sized.append(F.struct(F.lit("type").alias("item"), F.lit(kind).alias("name"), F.lit(float(n)).alias("value")))
-    counts = df.where(F.col(table.target).isNotNull()).groupBy(table.target).agg(F.count("*").alias("n"))
-    total = df.agg(F.count(table.target).alias("n"))
-    label = F.col(table.target).cast("string")
+    target = F.col(f"`{table.target}`")
+    counts = df.where(target.isNotNull()).groupBy(target.alias("label")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count(target).alias("n"))
+    label = F.col("label").cast("string")
     classes = counts.select(F.inline(F.array(
         F.struct(F.lit("class").alias("item"), label.alias("name"), F.col("n").cast("double").alias("value")),
         F.struct(F.lit("class_percent").alias("item"), label.alias("name"),

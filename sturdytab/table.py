@@ -93,12 +93,12 @@ def drop_empty_columns(df: DataFrame, target: str) -> DataFrame:
 
 
 def known_target(df: DataFrame, target: str) -> DataFrame:
-    return df.where(F.col(target).isNotNull())
+    return df.where(F.col(f"`{target}`").isNotNull())
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
     """Rows per class (NULL is a class) on the driver; an identifier-like target is refused."""
-    rows = df.groupBy(F.col(target).alias("label")).agg(F.count("*").alias("n")).take(MAX_CLASSES + 1)
+    rows = df.groupBy(F.col(f"`{target}`").alias("label")).agg(F.count("*").alias("n")).take(MAX_CLASSES + 1)
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     return {r["label"]: r["n"] for r in rows}
