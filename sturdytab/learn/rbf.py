@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -14,37 +15,34 @@ from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
-_MATRICES: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # per Python worker
-
-
-def _matrix(width: int, outputs: int, gamma: float, seed: int):
-    key = (width, outputs, gamma, seed)
-    if key not in _MATRICES:
-        rng = np.random.default_rng(seed)
-        weights = rng.normal(0.0, math.sqrt(2 * gamma), (width, outputs))
-        _MATRICES[key] = weights, rng.uniform(0.0, 2 * math.pi, outputs)
-    return _MATRICES[key]
-
 
 def fourier_udf(numeric_width: int, sizes: list[int], outputs: int, gamma: float, seed: int):
     """Arrow-batched map of (numeric array, category index array) to cosine features.
 
-    One-hot columns never become dense: each category index picks its row of the weight matrix.
+    One-hot columns never become dense: each category index picks its row of the weight matrix, which every task
+    makes once from the seed. The function carries all it needs, so executors do not import this package.
     """
-    offsets = np.cumsum([numeric_width, *sizes])[:-1] if sizes else np.array([], int)
+    offsets = [int(x) for x in np.cumsum([numeric_width, *sizes])[:-1]]
+    width = numeric_width + sum(sizes)
 
     @F.pandas_udf("array<double>")
-    def project(numbers: pd.Series, codes: pd.Series) -> pd.Series:
-        weights, shift = _matrix(numeric_width + sum(sizes), outputs, gamma, seed)
-        total = np.tile(shift, (len(numbers), 1))
-        if numeric_width:
-            total += np.stack(numbers.to_numpy()) @ weights[:numeric_width]
-        if sizes:
-            index = np.stack(codes.to_numpy()).astype(int)
-            for j, size in enumerate(sizes):
-                known = index[:, j] < size  # an unseen category adds nothing
-                total[known] += weights[offsets[j] + index[known, j]]
-        return pd.Series(list(math.sqrt(2.0 / outputs) * np.cos(total)))
+    def project(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        rng = np.random.default_rng(seed)
+        weights = rng.normal(0.0, math.sqrt(2 * gamma), (width, outputs))
+        shift = rng.uniform(0.0, 2 * math.pi, outputs)
+        for numbers, codes in batches:
+            if not len(numbers):
+                yield pd.Series([], dtype=object)
+                continue
+            total = np.tile(shift, (len(numbers), 1))
+            if numeric_width:
+                total += np.stack(numbers.to_numpy()) @ weights[:numeric_width]
+            if sizes:
+                index = np.stack(codes.to_numpy()).astype(int)
+                for j, size in enumerate(sizes):
+                    known = index[:, j] < size  # an unseen category adds nothing
+                    total[known] += weights[offsets[j] + index[known, j]]
+            yield pd.Series(list(math.sqrt(2.0 / outputs) * np.cos(total)))
 
     return project
 
