@@ -7,8 +7,8 @@ count as one document and get the same result. A null text has no words. Texts s
 
 How it runs. A task hashes its documents with numpy. Per chunk of documents only the first window of each hash is
 shuffled, as (bucket, packed arrays): a passage that every document holds costs one entry a chunk, not one a row. Each
-bucket finds hashes with several entries and tells every document which of its windows are not the first. These
-positions meet the texts in one join on the document.
+bucket finds hashes with several entries and deals the windows that are not the first, packed again, by document. One
+row a document then meets the texts in a join.
 
 Exactness. Windows are equal if the 64-bit hash and the bucket, which comes from a second polynomial, agree. With b
 windows in each of n buckets the chance of any false match is below n * b^2 / 2^65, 1e-5 for 10^8 windows.
@@ -30,7 +30,7 @@ from sturdytab.llm.common import need, no_clash, partitions, raw_texts, slices
 
 WINDOW = 20
 CHUNK_WORDS = 1_000_000
-BUCKET_BYTES = 12_000_000  # text whose windows fill one bucket: about two million
+BUCKET_BYTES = 16_000_000  # text whose windows fill one bucket: about two and a half million
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so powers never vanish
 NO_ID = -(2**63)  # stands for a null doc_id while sorting
 
@@ -39,7 +39,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -100,7 +100,8 @@ def pack_rows(bucket: np.ndarray, keys: np.ndarray | None, doc: np.ndarray, star
         gaps[head] = s[head]
         low, far = pack_gaps(gaps)
         counts = np.diff(head, append=len(d)).astype(np.uint32)
-        rows.append((int(bucket[part[0]]), b"" if keys is None else keys[part].tobytes(), ids[d[head]].tobytes(),
+        rows.append((int(bucket[part[0]]), b"" if keys is None else keys[part].tobytes(),
+                     np.diff(ids[d[head]], prepend=np.int64(0)).tobytes(),  # steps, which compress well
                      sums[d[head]].astype(np.uint32).tobytes(), counts.tobytes(), low, far))
     return rows
 
@@ -111,9 +112,9 @@ def unpack_row(row: dict) -> tuple[np.ndarray, ...]:
     gaps = unpack_gaps(row["gaps"], row["far"])
     run = np.cumsum(gaps)
     head = np.cumsum(counts) - counts
-    start = run - np.repeat(run[head] - gaps[head], counts)
-    return (np.frombuffer(row["keys"], np.uint64), np.repeat(np.frombuffer(row["docs"], np.int64), counts),
-            np.repeat(np.frombuffer(row["sums"], np.uint32).astype(np.int64), counts), start)
+    start = (run - np.repeat(run[head] - gaps[head], counts)).astype(np.int32)
+    return (np.frombuffer(row["keys"], np.uint64), np.repeat(np.cumsum(np.frombuffer(row["docs"], np.int64)), counts),
+            np.repeat(np.frombuffer(row["sums"], np.uint32), counts), start)
 
 
 def windows_of(buckets: int, width: int):
@@ -153,46 +154,66 @@ def windows_of(buckets: int, width: int):
                              np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
                 n += len(words)
                 if n >= CHUNK_WORDS:
-                    yield pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True))
-                                                      for r in chunk_rows(held)], PACKED)
+                    yield packed_batch(chunk_rows(held))
                     held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in chunk_rows(held)],
-                                             PACKED)
+            yield packed_batch(chunk_rows(held))
 
     return run
 
 
-def later_windows(table: pa.Table) -> pa.Table:
-    """Reduce side, one bucket: the windows of each document that are not the first of their hash."""
-    keys, ids, sums, starts, decided = [], [], [], [], []
-    for row in table.to_pylist():
-        k, i, c, s = unpack_row(row)
-        if len(k):
-            keys.append(k), ids.append(i), sums.append(c), starts.append(s)
-        else:
-            decided.append((i, c, s))
-    found = list(decided)
-    if keys:
-        k, i, c, s = (np.concatenate(x) for x in (keys, ids, sums, starts))
-        order = np.argsort(k, kind="stable")
-        same = k[order[1:]] == k[order[:-1]]
-        often = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        o = order[often]
-        o = o[np.lexsort((s[o], c[o], i[o], k[o]))]
-        if len(o):
-            fresh = np.concatenate(([True], k[o[1:]] != k[o[:-1]]))
-            first = o[np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))]
-            o = o[(i[o] != i[first]) | (c[o] != c[first]) | (s[o] != s[first])]
-            found.append((i[o], c[o], s[o]))
-    if not found:
-        return LATER.empty_table()
-    i, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in rows], PACKED)
+
+
+def later_windows(buckets: int):
+    """Reduce side, one bucket: the windows that are not the first of their hash, packed and dealt by document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, found = [], []
+        decided = []
+        for row in table.to_pylist():
+            k, *place = unpack_row(row)
+            if len(k):
+                keys.append(k), found.append(place)
+            else:
+                decided.append(place)
+        if keys:
+            k = np.concatenate(keys)
+            i, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(k, kind="stable")
+            same = k[order[1:]] == k[order[:-1]]
+            often = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            o = order[often]
+            o = o[np.lexsort((s[o], c[o], i[o], k[o]))]
+            if len(o):
+                fresh = np.concatenate(([True], k[o[1:]] != k[o[:-1]]))
+                first = o[np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))]
+                o = o[(i[o] != i[first]) | (c[o] != c[first]) | (s[o] != s[first])]
+                decided.append([i[o], c[o], s[o]])
+        if not decided:
+            return PACKED.empty_table()
+        i, c, s, doc, head = by_document(decided)
+        to = (i.astype(np.uint64) * BASES[0] >> np.uint64(40)) % np.uint64(buckets)
+        return pa.Table.from_batches([packed_batch(pack_rows(to.astype(np.int32), None, doc, s, i[head], c[head]))])
+
+    return run
+
+
+def by_document(places: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Windows (id, sum, start) in that order, the number of each one's document, and where documents begin."""
+    i, c, s = (np.concatenate(x) for x in zip(*places, strict=True))
     order = np.lexsort((s, c, i))
-    i, c, s = i[order], c[order], s[order].astype(np.int32)
-    head = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])))) if len(i) else []
+    i, c, s = i[order], c[order], s[order]
+    new = np.concatenate(([True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])))[:len(i)]
+    return i, c, s, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def per_document(table: pa.Table) -> pa.Table:
+    """One row a document: the starts of its windows that are not the first."""
+    i, c, s, _, head = by_document([unpack_row(row)[1:] for row in table.to_pylist()])
     lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(i)).astype(np.int32)), pa.array(s))
-    return pa.table([pa.array(i[head]), pa.array(c[head]), lists], schema=LATER)
+    return pa.table([pa.array(i[head]), pa.array(c[head].astype(np.int64)), lists], schema=LATER)
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -218,7 +239,7 @@ def removal(width: int, joined: bool, schema: pa.Schema):
                     n_removed.append(0), spans.append([])
                     kept.append(b" ".join(words) if joined else text)
                     continue
-                starts = np.concatenate([np.asarray(x, np.int64) for x in later])
+                starts = np.array(later, np.int64)
                 depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, starts, 1)
                 np.add.at(depth, starts + width, -1)
@@ -254,8 +275,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     packed = texts.select("id", "text").mapInArrow(windows_of(buckets, window), PACKED_DDL)
-    later = packed.groupBy("bucket").applyInArrow(later_windows, LATER_DDL)
-    later = later.groupBy("id", "sum").agg(F.collect_list("starts").alias("later"))
+    later = packed.groupBy("bucket").applyInArrow(later_windows(buckets), PACKED_DDL)
+    later = later.groupBy("bucket").applyInArrow(per_document, LATER_DDL).withColumnRenamed("starts", "later")
     place = F.coalesce(F.col("id"), F.lit(NO_ID))
     met = texts.withColumns({"at": place, "sum": F.coalesce(F.crc32("text"), F.lit(0).cast("long"))}).join(
         later.withColumnRenamed("id", "at"), ["at", "sum"], "left").drop("at", "sum")
