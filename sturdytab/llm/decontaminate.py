@@ -84,18 +84,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     room = F.greatest(F.size("words") - width + 1, F.lit(1))
     bound = F.greatest(F.lit(-(2**63)), *(F.when(room >= b["least"], F.lit(b["top"])) for b in bounds)) \
         if bounds else F.lit(-(2**63))
-    met = sketched.select("id", room.alias("room"), bound.alias("bound"),
-                          F.explode(shingle_hashes(F.col("words"), width)).alias("hash"))
-    met = met.where(F.col("hash") <= F.col("bound")).select("id", "room", "hash")
+    sketched = sketched.select("id", room.alias("room"), bound.alias("bound"),
+                               shingle_hashes(F.col("words"), width).alias("hashes"))
+    # no words beside the rows; explode_outer, as explode's inferred filter would compute the hashes from the text again
+    met = sketched.select("id", "room", "bound", F.explode_outer("hashes").alias("hash"))
+    met = met.where("hash <= bound").select("id", "room", "hash")
     pairs = met.join(F.broadcast(minima) if small else minima, "hash").where("room >= needed")
     pairs = pairs.groupBy("id", "item_key").agg(F.lit(1).alias("one")).select("id", "item_key")
 
     wanted = signed.select("item_key", "item", "n_shingles", "needed", F.col("shingles").alias("item_shingles"))
     found = pairs.withColumnRenamed("id", "pair_id").join(F.broadcast(wanted) if small else wanted, "item_key")
-    checked = texts.join(found, F.col("id").eqNullSafe(F.col("pair_id")))
-    shared = F.size(F.array_intersect(shingles(words_of(F.col("text")), width), F.col("item_shingles")))
-    checked = checked.select("id", "item", "n_shingles", "needed", shared.alias("n_shared")).where("n_shared >= needed")
+    checked = texts.join(found, F.col("id").eqNullSafe(F.col("pair_id"))).withColumn("words", words_of(F.col("text")))
+    shared = F.size(F.array_intersect(shingles(F.col("words"), width), F.col("item_shingles")))
+    checked = checked.select("id", "item", "n_shingles", "needed", shared.alias("n_shared"))
     best = checked.groupBy("id", "item").agg(
-        F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_shingles", "b.n_shared",
+        F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared", "needed"))
+        .alias("b"))
+    return best.where("b.n_shared >= b.needed").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_shingles", "b.n_shared",
                        "b.containment")
