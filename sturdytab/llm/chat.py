@@ -2,7 +2,7 @@
 
 A message names its tree, itself and its parent (null, or absent from the tree: a root). Ancestors are found by
 doubling: round r joins the messages with themselves on the ancestor 2^r steps up and adds path lengths and scores, so
-a path of n turns takes log2(n) rounds. A leaf's path has the mean score of its messages (null: 0); the `best` highest
+a path of n turns takes log2(n) rounds; messages that have reached their root leave the rounds. A leaf's path has the mean score of its messages (null: 0); the `best` highest
 paths of a tree are formatted, ties to the smaller leaf.
 
 Template: `<|im_start|>role<|im_sep|>text<|im_end|>` and a line feed per turn. Inside roles and texts a backslash is
@@ -52,24 +52,24 @@ def chosen_paths(messages: DataFrame, best: int) -> DataFrame:
     leaves = nodes.select("tree", "node").join(
         nodes.where("parent is not null and parent <> node").select(F.col("tree").alias("t"), "parent"),
         F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("parent")), "left_anti")
-    jumps = [step.select("tree", "node", "above")]
+    jumps, done, active = [], step.where("above is null"), step.where("above is not null")
     rounds = math.ceil(math.log2(max(2, nodes.count()))) + 1
-    while len(jumps) <= rounds and step.where("above is not null").limit(1).count():
-        high = step.select(F.col("tree").alias("t"), F.col("node").alias("via"), F.col("above").alias("top"),
-                           F.col("n").alias("more"), F.col("total").alias("plus"))
-        step = settle(step.join(high, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("via")), "left")
-                      .select("tree", "node", F.col("top").alias("above"),
-                              (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
-                              (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), "jumps")
-        jumps.append(step.select("tree", "node", "above"))
-    rooted = step.where("above is null").withColumnRenamed("tree", "t").withColumnRenamed("node", "leaf")
+    while len(jumps) <= rounds and active.limit(1).count():
+        jumps.append(active.select("tree", "node", "above"))
+        high = done.union(active).select(F.col("tree").alias("t"), F.col("node").alias("via"), F.col("above").alias("top"),
+                                         F.col("n").alias("more"), F.col("total").alias("plus"))
+        met = active.join(high, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("via")))
+        met = settle(met.select("tree", "node", F.col("top").alias("above"), (F.col("n") + F.col("more")).alias("n"),
+                                (F.col("total") + F.col("plus")).alias("total")), "jumps")
+        done, active = done.union(met.where("above is null")), met.where("above is not null")
+    rooted = done.withColumnRenamed("tree", "t").withColumnRenamed("node", "leaf")
     ends = leaves.join(rooted, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("leaf")))
     ranked = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     ends = ends.select("tree", "leaf", (F.col("total") / F.col("n")).alias("score")).withColumn(
         "rank", F.row_number().over(ranked)).where(F.col("rank") <= best)
     paths = ends.select("tree", "leaf", "score", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
     for r, jump in enumerate(jumps):
-        link = jump.where("above is not null").select(F.col("tree").alias("t"), F.col("node").alias("via"), "above")
+        link = jump.select(F.col("tree").alias("t"), F.col("node").alias("via"), "above")
         more = paths.join(link, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("via")))
         more = more.select("tree", "leaf", "score", F.col("above").alias("node"), (F.col("depth") + 2**r).alias("depth"))
         paths = settle(paths.union(more), "paths")
