@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 8_000_000  # text handled at once inside a task; a single longer text is handled alone
+BATCH_BYTES = 1_000_000  # text handled at once inside a task; a single longer text is handled alone
+ARROW_ROWS, ARROW_BYTES = 1_000, 4_000_000  # what Spark hands to a Python worker at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep a Python worker's memory small: record batches of texts hold few rows and few bytes in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def no_clash(carried: list[str], made: list[str]) -> None:
     both = sorted(set(carried) & set(made))
     if both:

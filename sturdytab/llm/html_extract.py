@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, slices
+from sturdytab.llm.common import bounded_batches, need, slices
 
 BLOCK = 3
 SURGE = 86
@@ -175,6 +175,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per page: id, the carried columns, text. Repeated rows and null ids are pages like any other; a carried
     column named `text` is refused; other columns are ignored."""
     need(pages, id_col, html_col, *carry)
+    bounded_batches(pages.sparkSession)
     if "text" in carry:
         raise ValueError("a carried column has the name of the result: text")
 

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, no_clash, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, slices
 
 FIT_ROWS = 4_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 SWITCH = 10.0
 SPREAD = 8.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # First and last code point of the main Unicode blocks of each script.
@@ -128,8 +128,8 @@ class Words(dict):
             self.clear()
             self.scores = self.scores[:0]
         new = list(set(words).difference(self))
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
+        for i in range(0, len(new), 20_000):
+            part = new[i:i + 20_000]
             self.update(zip(part, range(len(self), len(self) + len(part)), strict=True))
             self.scores = np.concatenate((self.scores, self.model.word_scores(part)))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -178,6 +178,7 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from the rows with text and language, about `rows` of each language at most."""
     need(docs, text_col, lang_col)
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}  # a row a language
@@ -226,6 +227,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: id, lang_pred, score, spans (lang, first word, after), then the carried columns."""
     need(docs, id_col, text_col, *carry)
+    bounded_batches(docs.sparkSession)
     no_clash([id_col, *carry], ["lang_pred", "score", "spans"])
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("after", pa.int32())]))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.writes))
@@ -234,7 +236,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         own = LanguageModel(*shared.value)
         known = Words(own)
         names = np.array(own.languages, object)
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text"):
             texts = [LETTERS.findall(x.lower()) if x else [] for x in batch.column("text").to_pylist()]
             lengths = np.array([len(x) for x in texts])
             words = [w for x in texts for w in x]

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, slices
+from sturdytab.llm.common import bounded_batches, need, slices
 
 GAP = 3
 SHORT = 16
@@ -191,6 +191,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per found license text: id, license, first_line, after_line, saved (share of the compressed size that
     the template saves), n_differences, differences."""
     need(docs, id_col, text_col)
+    bounded_batches(docs.sparkSession)
     names = ["key", "license", "first_line", "after_line", "saved", "n_differences", "differences"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.string())]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, no_clash, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, slices
 
 POWER = 1.0
 UNIT = 64
@@ -35,7 +35,7 @@ SEED = 17
 SPACE = "▁"
 PER_CODE_POINT = 100.0  # keeps products of a unit inside the range of doubles
 BYTE_WEIGHT = 1e-6
-CACHED_ARCS = 4_000_000
+CACHED_ARCS = 2_500_000
 UNITS = re.compile(r"\n| [^ \n]*|[^ \n]+")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -168,8 +168,8 @@ class Lattices(dict):
         if len(self.ids) > CACHED_ARCS:
             self.reset()
         new = list(set(units).difference(self))
-        for i in range(0, len(new), 50_000):
-            self.add(new[i:i + 50_000])
+        for i in range(0, len(new), 15_000):
+            self.add(new[i:i + 15_000])
         node = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         live, counts, drawn, step = np.arange(len(units)), np.zeros(len(units), np.int64), [], 0
         while len(live):
@@ -221,12 +221,13 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
            seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: id, pieces (array of ids), then the carried columns."""
     need(docs, id_col, text_col, *carry)
+    bounded_batches(docs.sparkSession)
     no_clash([id_col, *carry], ["pieces"])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's own size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(Pieces(shared.value))
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             keys = np.array([-1 if k is None else k for k in batch.column("key").to_pylist()], np.int64)
             split = [units_of(x) if x else [] for x in texts]
@@ -258,6 +259,7 @@ def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], pieces_
            into: str = "decoded") -> DataFrame:
     """All columns of `encoded` and the text of its pieces. Control pieces stand for nothing."""
     need(encoded, pieces_col)
+    bounded_batches(encoded.sparkSession)
     no_clash(encoded.columns, [into])
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 

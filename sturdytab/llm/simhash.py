@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, partitions, raw_texts, slices
+from sturdytab.llm.common import bounded_batches, need, partitions, raw_texts, slices
 from sturdytab.llm.components import components, local_roots
 from sturdytab.session import settle
 
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     need(docs, id_col, text_col)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, fp long")
 

@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, no_clash, partitions, raw_texts, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, partitions, raw_texts, slices
 
 WINDOW = 20
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 600_000
 BUCKET_BYTES = 16_000_000  # text whose windows fill one bucket: about two and a half million
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so powers never vanish
 NO_ID = -(2**63)  # stands for a null doc_id while sorting
@@ -39,7 +39,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -268,6 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty result. See the module for nulls, ties and repeated rows.
     """
     need(docs, id_col, text_col, *carry)
+    bounded_batches(docs.sparkSession)
     no_clash(list(carry), ["n_words", "n_removed", "spans", "kept_text"])
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),

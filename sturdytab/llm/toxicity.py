@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need, no_clash, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, slices
 
 FIT_ROWS = 60_000
 BUCKETS = 1 << 20
@@ -40,7 +40,7 @@ L2 = 0.5
 SWAP = 1.0
 STEPS = 400
 THRESHOLD = 0.3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # Groups of identity terms that may stand for each other; the first term of each is neutral.
@@ -150,6 +150,7 @@ def minimise(row: np.ndarray, column: np.ndarray, label: np.ndarray, width: int,
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS,
                  swap: float = SWAP) -> ToxicModel:
     need(labelled, text_col, label_col)
+    bounded_batches(labelled.sparkSession)
     given = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(
         "text is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
@@ -205,6 +206,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
                    carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: id, score, then the carried columns."""
     need(docs, id_col, text_col, *carry)
+    bounded_batches(docs.sparkSession)
     no_clash([id_col, *carry], ["score"])
     weights, intercept = dict(model.weights), model.intercept  # at most SELECTED + the identity terms
 
