@@ -22,7 +22,6 @@ from sturdytab.table import LabelledTable
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "SVM", "XGBoost")
 CODE, FEATURES, FOURIER, PREDICTION = "label_code", "model_features", "fourier_features", "predicted_code"
 MAX_CATEGORIES = 100_000
-LEAF_SHARE = 100_000  # a tree gets at most about this many leaves, however many rows there are
 
 
 @dataclass(frozen=True)
@@ -35,6 +34,7 @@ class Settings:
     tree_depth: int = 30
     rounds: int = 200
     round_depth: int = 6
+    leaf_rows: int = 1  # rows a leaf needs at least, whatever the size of the table
     fourier: int = 256
     seed: int = 42
     parallelism: int = 4  # models fitted side by side
@@ -49,7 +49,7 @@ LIGHT = Settings(iterations=100, svm_iterations=20, trees=20, tree_depth=10, rou
 def estimator(name: str, classes: int, rows: int, settings: Settings):
     """A spark.ml classifier by model name."""
     columns = {"featuresCol": FEATURES, "labelCol": CODE, "predictionCol": PREDICTION}
-    leaf = max(1, rows // LEAF_SHARE)
+    leaf = settings.leaf_rows
     if name == "Logistic Regression":
         # regParam 1/n gives the objective of C = 1
         return LogisticRegression(

@@ -80,7 +80,12 @@ def component_scores(clean: DataFrame, single: DataFrame, combined: DataFrame, m
     cases = with_models(combined.select("dataset", "condition", "seed").distinct(), models)
     clean = last_of(clean, ["dataset", "model"], "clean_f1")
     single = last_of(single, ["dataset", "seed", "model", "corruption", "severity"], "macro_f1")
-    parts = condition_components(cases, conditions).join(clean, ["dataset", "model"])
+    known = F.array(*[F.lit(c) for c in conditions]).cast("array<string>")
+    unknown = F.concat(F.lit("unknown condition: "), F.coalesce("condition", F.lit("null")))
+    cases = cases.where(F.when(F.array_contains(known, F.col("condition")), True).otherwise(F.raise_error(unknown).cast("boolean")))
+    absent = F.concat(F.lit("no clean score: "), F.col("dataset"), F.lit(", "), F.col("model"))
+    parts = condition_components(cases, conditions).join(clean, ["dataset", "model"], "left").withColumn(
+        "clean_f1", F.coalesce("clean_f1", F.raise_error(absent).cast("double")))
     return parts.join(single, ["dataset", "seed", "model", "corruption", "severity"], "left").select(
         "dataset", "condition", "seed", "model", "model_ord", "clean_f1", "corruption", "severity",
         F.col("macro_f1").alias("single_f1"),
