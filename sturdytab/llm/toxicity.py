@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sturdytab.llm.common import bounded_batches, need, no_clash, slices
+from sturdytab.session import settle
 
 FIT_ROWS = 60_000
 BUCKETS = 1 << 20
@@ -153,6 +154,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     bounded_batches(labelled.sparkSession)
     given = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(
         "text is not null and label in (0, 1)")
+    given = settle(given, "labelled")  # what joins texts and labels runs once, not once a pass
     sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     n = sum(sizes.values())
     if len(sizes) < 2:
