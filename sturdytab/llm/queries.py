@@ -110,7 +110,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
     known = table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(docs.where(~held).select("doc_id", "text").join(known, "doc_id"))
+    labelled = toxicity.sample_labelled(docs.where(~held), known)
+    model = toxicity.fit_toxicity(labelled, label_col="label", times_col="times")
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

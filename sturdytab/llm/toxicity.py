@@ -4,9 +4,12 @@ Features of a text: its distinct words (letter runs, lower-cased) and word begin
 `BUCKETS`; identity terms have a feature of their own and no beginnings. Only presence counts, so a long text is
 judged by what it says, not by its length.
 
-Fit. On labelled rows, about `FIT_ROWS` of them at most, chosen by the hash of their text. Feature counts per label are
-summed in Spark: first those of the toxic rows, then, for features that at least `LEAST` of them hold, those of the
-others. The `SELECTED` features with the highest signed chi-square are kept; only these come to the driver, per row.
+Fit. On labelled rows, about `FIT_ROWS` of them at most. `sample_labelled` chooses ids by their hash before texts are
+joined, so what it broadcasts is of that size whatever the tables hold and no text is shuffled; `fit_toxicity` chooses
+by the hash of the text where it is given more. Equal label rows of one id are one row with a weight. Feature counts per
+label are summed in Spark: first those of the toxic rows, then, for features that at least `LEAST` of them hold, those of the
+others. The `SELECTED` features with the highest signed chi-square are kept; only these come to the driver, per row,
+equal rows as one with a weight.
 The loss is the log loss + L2 * |w|^2 + SWAP * the mean squared change of the linear score when an identity term of a
 labelled text is swapped for each other term of its group (an implicit counterfactual copy). It is minimised by
 accelerated gradient descent. The swaps pull the weights of a group's terms together, neutral ones included, so that
@@ -27,7 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sturdytab.llm.common import bounded_batches, need, no_clash, slices
@@ -42,6 +45,7 @@ SWAP = 1.0
 STEPS = 400
 THRESHOLD = 0.3
 CACHED_WORDS = 100_000
+HASHES = 1 << 62
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # Groups of identity terms that may stand for each other; the first term of each is neutral.
@@ -95,12 +99,12 @@ class ToxicModel:
 
 
 def counted(rows: DataFrame, wanted: np.ndarray | None) -> np.ndarray:
-    """Texts that hold each feature, over all rows; of the wanted features only, if they are given."""
+    """Weight of the texts that hold each feature, over all rows; of the wanted features only, if they are given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Features(), np.zeros(BUCKETS, np.int64)
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                total[text_features(text, known)] += 1
+            for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                total[text_features(text, known)] += times
         at = np.flatnonzero(total if wanted is None else total * wanted)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["feature", "n"])
 
@@ -125,20 +129,21 @@ def swap_matrix(mentions: np.ndarray, terms: list[str]) -> np.ndarray:
     return form
 
 
-def minimise(row: np.ndarray, column: np.ndarray, label: np.ndarray, width: int, form: np.ndarray,
+def minimise(row: np.ndarray, column: np.ndarray, label: np.ndarray, times: np.ndarray, width: int, form: np.ndarray,
              swap: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the penalised log loss; the first len(form) columns are the identity terms."""
+    """Weights and intercept of the penalised log loss; row i counts times[i] times, the first len(form) columns are the
+    identity terms."""
     n = len(label)
-    share = label.mean()
+    share = np.average(label, weights=times)
     w, b = np.zeros(width), float(np.log(share / (1 - share)))
     ahead, ahead_b, pace = w.copy(), b, 1.0
     per_row = np.bincount(row, minlength=n)
-    steepness = 0.25 * (np.bincount(column, per_row[row], width).max(initial=0) + n) + 2 * L2
+    steepness = 0.25 * (np.bincount(column, (times * per_row)[row], width).max(initial=0) + times.sum()) + 2 * L2
     if len(form):
         steepness += 2 * swap * np.abs(form).sum(axis=1).max()
     for _ in range(STEPS):
         linear = np.bincount(row, ahead[column], n) + ahead_b
-        error = 1 / (1 + np.exp(-np.clip(linear, -500, 500))) - label
+        error = times * (1 / (1 + np.exp(-np.clip(linear, -500, 500))) - label)
         slope = np.bincount(column, error[row], width) + 2 * L2 * ahead
         slope[:len(form)] += 2 * swap * (form @ ahead[:len(form)])
         new, new_b = ahead - slope / steepness, ahead_b - error.sum() / steepness
@@ -148,23 +153,46 @@ def minimise(row: np.ndarray, column: np.ndarray, label: np.ndarray, width: int,
     return w, b
 
 
+def hash_below(key: Column, share: float) -> Column:
+    """True for that share of all keys."""
+    return F.pmod(F.xxhash64(key), F.lit(HASHES)) < F.lit(int(min(1.0, share) * HASHES))
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
+    """(text, label, times) of the labelled documents, of about `rows` (id, label) pairs at most. Null ids never match."""
+    need(docs, id_col, text_col)
+    need(labels, id_col, label_col)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
+        "id is not null and label in (0, 1)")
+    known = settle(known.groupBy("id", "label").agg(F.count("*").alias("times")), "labels")
+    n = known.count()
+    drawn = known.where(hash_below(F.col("id"), rows / n if n else 1.0))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(drawn), "id").select("text", "label", "times")  # about `rows` pairs are broadcast
+
+
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS,
-                 swap: float = SWAP) -> ToxicModel:
-    need(labelled, text_col, label_col)
+                 swap: float = SWAP, times_col: str | None = None) -> ToxicModel:
+    need(labelled, text_col, label_col, *([times_col] if times_col else []))
     bounded_batches(labelled.sparkSession)
-    given = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(
-        "text is not null and label in (0, 1)")
+    given = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"),
+                            (F.col(times_col) if times_col else F.lit(1)).cast("long").alias("times")).where(
+        "text is not null and label in (0, 1) and times > 0")
     given = settle(given, "labelled")  # what joins texts and labels runs once, not once a pass
-    sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
-    n = sum(sizes.values())
+
+    def weights_of(df: DataFrame) -> tuple[dict[int, int], int]:
+        got = df.groupBy("label").agg(F.sum("times").alias("times"), F.count("*").alias("n")).collect()
+        return {r["label"]: r["times"] for r in got}, sum(r["n"] for r in got)
+
+    sizes, n = weights_of(given)
     if len(sizes) < 2:
         share = 0.5 if not n else 0.999 if 1 in sizes else 0.001
         return ToxicModel({}, float(np.log(share / (1 - share))))
-    chance = int(min(1.0, rows / n) * (1 << 20))
-    sample = given.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance)
-    toxic = counted(sample.where("label = 1").select("text"), None)
-    clean = counted(sample.where("label = 0").select("text"), toxic > 0)
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sample = given.where(hash_below(F.col("text"), rows / n))
+    toxic = counted(sample.where("label = 1").select("text", "times"), None)
+    clean = counted(sample.where("label = 0").select("text", "times"), toxic > 0)
+    sizes, _ = weights_of(sample)
     yes, no = sizes.get(1, 0), sizes.get(0, 0)
     held = (toxic + clean).astype(float)
     expected = held * yes / max(1, yes + no)
@@ -181,22 +209,21 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
         for batch in slices(batches, "text"):
             lists = [sorted({place[f] for f in text_features(t, known).tolist() if f in place})
                      for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column("label")],
-                                             names=["features", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lists, pa.list_(pa.int32())), batch.column("label"), batch.column("times")],
+                names=["features", "label", "times"])
 
-    got = sample.mapInArrow(reduced, "features array<int>, label int").groupBy("features", "label").count().toArrow()
+    got = sample.mapInArrow(reduced, "features array<int>, label int, times long").groupBy("features", "label").agg(
+        F.sum("times").alias("times")).orderBy("features", "label").toArrow()  # ordered: every run fits alike
     lists = got.column("features").combine_chunks()
-    times = got.column("count").to_numpy()
-    # rows without a known feature are one group a label, so few rows are really repeated
-    sizes_of = np.diff(lists.offsets.to_numpy())
-    again = np.repeat(np.arange(len(lists)), times)
-    flat = np.split(lists.flatten().to_numpy(), np.cumsum(sizes_of)[:-1])
-    row = np.repeat(np.arange(len(again)), sizes_of[again])
-    column = np.concatenate([flat[k] for k in again]) if len(again) else np.zeros(0, np.int64)
-    label = got.column("label").to_numpy()[again].astype(float)
-    order = np.lexsort((column, row))
-    mentions = np.bincount(column, minlength=len(chosen))[:len(terms)]
-    w, b = minimise(row[order], column[order].astype(np.int64), label, len(chosen), swap_matrix(mentions, terms), swap)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    column = lists.flatten().to_numpy().astype(np.int64)
+    label, times = (got.column(c).to_numpy().astype(float) for c in ("label", "times"))
+    if len(set(label.tolist())) < 2:  # the drawn rows have one label only
+        share = 0.999 if yes else 0.001
+        return ToxicModel({}, float(np.log(share / (1 - share))))
+    mentions = np.bincount(column, times[row], len(chosen))[:len(terms)]
+    w, b = minimise(row, column, label, times, len(chosen), swap_matrix(mentions, terms), swap)
     weights: dict[int, float] = {}
     for f, x in zip(chosen.tolist(), w.tolist(), strict=True):
         if x:

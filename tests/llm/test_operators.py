@@ -210,6 +210,24 @@ def test_toxicity(spark):
     assert not toxicity.score_toxicity(asked.limit(0), one).collect()
 
 
+def test_toxicity_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(2000)] + [(None, "no id", "x"), (5, None, "y")],
+                                 "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(2000)] + [(7, 1, 1), (None, 1, 1), (8, None, 0)],
+                                   "doc_id long, toxic int, times int")
+    every = {(r.text, r.label): r.times for r in toxicity.sample_labelled(docs, labels).collect()}
+    assert len(every) == 2001 and every[("text 7", 1)] == 2 and (None, 1) in every and ("no id", 1) not in every
+    some = toxicity.sample_labelled(docs, labels, rows=400).collect()
+    assert 300 < len(some) < 500 and {(r.text, r.label) for r in some} <= set(every)
+    assert not toxicity.sample_labelled(docs, labels.limit(0)).collect()
+    # a weight is as good as repeated rows
+    rows = [("you are an idiot and scum", 1)] * 6 + [("a lovely quiet day", 0)] * 9
+    many = toxicity.fit_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
+    few = toxicity.fit_toxicity(spark.createDataFrame([(*r, rows.count(r)) for r in sorted(set(rows))],
+                                                      "text string, toxic int, n int"), times_col="n")
+    assert many.weights.keys() == few.weights.keys() and abs(many.intercept - few.intercept) < 1e-9
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "low", 0.1), ("t", 3, 1, "assistant", "high", 0.9),
             ("t", 4, 3, "user", None, 0.5), ("t", 4, 3, "user", "z", 0.5), (None, 1, None, None, "x", None),
