@@ -20,8 +20,14 @@ def null_tagged(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
+def sized(c: Column) -> Column:
+    """The cell as text behind its length, NULL as `-`, so that no two lists of cells give the same text."""
+    text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def seeded_hash(seed: int, tag: str, *parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[null_tagged(p) for p in parts]))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[sized(p) for p in parts]))
 
 
 def hash_choice(h: Column, n: Column | int) -> Column:

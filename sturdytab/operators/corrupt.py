@@ -101,6 +101,11 @@ def _fan_out(df: DataFrame, levels, many, values) -> tuple[DataFrame, Column]:
     return df, value
 
 
+def _unchanged(table: LabelledTable, levels, many) -> LabelledTable:
+    """The table as it is, once per severity when there are many."""
+    return _out(table, _fan_out(table.df, levels, True, levels)[0], True, None) if many else table
+
+
 def _out(table: LabelledTable, df: DataFrame, many: bool, rows: int | None, extra_keys=()) -> LabelledTable:
     keys = table.keys + tuple(extra_keys) + (("severity",) if many else ())
     return table.with_df(df, None if many else rows, keys)
@@ -117,7 +122,7 @@ def inject_missing(table: LabelledTable, rate, seed: int = 42, preset: Preset =
     if not features:
         if preset.strict:
             raise ValueError("no feature columns available")
-        return table
+        return _unchanged(table, levels, many)
     n = made.rows()
     ks = [_touched(preset, n * len(features), r) for r in levels]
     keys = [F.col(f"`{k}`") for k in made.keys]
@@ -175,7 +180,7 @@ def inject_label_noise(table: LabelledTable, rate, seed: int = 42, preset: Prese
     if len(labels) < 2:
         if preset.strict:
             raise ValueError("label noise requires at least two target classes")
-        return table
+        return _unchanged(table, levels, many)
     n = sum(counts.values())
     ks = [_touched(preset, n, r) for r in levels]
     h = _row_hash(made, seed, "row")
@@ -231,7 +236,7 @@ def inject_outliers(table: LabelledTable, rate, seed: int = 42, preset: Preset =
     if not profiles:
         if preset.strict:
             raise ValueError("no suitable numeric feature columns found")
-        return table
+        return _unchanged(table, levels, many)
     ks = [_touched(preset, n, r) for r in levels]
     h = _row_hash(made, seed, "row")
     found = kth_hash(made.df.select(h.alias("h")), n, ks)
@@ -282,11 +287,12 @@ def inject_imbalance(table: LabelledTable, ratio, seed: int = 42, preset: Preset
         raise ValueError("ratio must be greater than 1")
     made = keyed(table)
     counts = {c: n for c, n in class_counts(made.df, made.target).items() if c is not None}
-    if len(counts) < 2 or (not preset.strict and preset.min_keep and any(r <= 1 for r in levels)):
+    idle = [r for r in levels if r <= 1 and preset.min_keep]  # these ratios leave every row where it is
+    if len(counts) < 2 or len(idle) == len(levels):
         if preset.strict:
             raise ValueError("at least two classes are required")
-        return table
-    quotas = [imbalance_quotas(counts, r, preset.min_keep) for r in levels]
+        return _unchanged(table, levels, many)
+    quotas = [counts if r in idle else imbalance_quotas(counts, r, preset.min_keep) for r in levels]
     h = _row_hash(made, seed, "keep")
     label = F.col(f"`{made.target}`")
     hashes = made.df.where(label.isNotNull()).select(label.alias("label"), h.alias("h"))
@@ -301,7 +307,10 @@ def inject_imbalance(table: LabelledTable, ratio, seed: int = 42, preset: Preset
             limit = F.when(F.col("severity") == s, F.col(name)).otherwise(limit)
     else:
         limit = F.col(names[0])
-    out = marked.where(F.col("h_") <= limit).drop("h_", *names)
+    keep = F.col("h_") <= limit
+    if idle:
+        keep = F.coalesce(keep, F.lit(False)) | F.col("severity").isin(*idle)
+    out = marked.where(keep).drop("h_", *names)
     result = _out(made, out, many, sum(quotas[0].values()))
     return result if table.keys else unkeyed(result)
 
@@ -346,17 +355,27 @@ def corrupt_combined(table: LabelledTable, components, seed: int, preset: Preset
 # ---- self-check ---------------------------------------------------------------------------------
 
 def corruption_check(clean: LabelledTable, corrupted: LabelledTable) -> DataFrame:
-    """One row: what a corruption changed, by comparing rows with the same key. Added rows have copy_no > 0."""
+    """What a corruption changed, by comparing rows with the same key. Added rows have copy_no > 0.
+
+    One row, or one per severity with a `severity` column where the corrupted table has several. A table without key
+    columns must be given its key by `keyed` first, and that table be corrupted.
+    """
     keys = list(clean.keys)
+    if not keys:
+        raise ValueError("rows without key columns cannot be compared: corrupt the table that keyed() returns")
+    by = ["severity"] if "severity" in corrupted.keys else []
     features = [c for c in clean.features if c in corrupted.df.columns]
     extra = [k for k in corrupted.keys if k not in keys and k.startswith("copy_no")]
     before = clean.df.select(*keys, *[F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(features)],
                              F.col(f"`{clean.target}`").alias("bt"), F.lit(True).alias("in_clean"))
-    after = corrupted.df.select(*keys, *[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(features)],
+    if by:
+        levels = [r[0] for r in corrupted.df.select("severity").distinct().collect()]  # the severities asked for
+        before = before.withColumn("severity", F.explode(F.lit(levels)))
+    after = corrupted.df.select(*by, *keys, *[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(features)],
                                 F.col(f"`{clean.target}`").alias("at"),
                                 (sum((F.col(k) for k in extra), F.lit(0)) > 0).alias("added"),
                                 F.lit(True).alias("in_corrupted"))
-    pairs = before.join(after, keys, "full")
+    pairs = before.join(after, [*by, *keys], "full")
     both = F.col("in_clean").isNotNull() & F.col("in_corrupted").isNotNull() & ~F.coalesce("added", F.lit(False))
     nulled = sum((F.when(F.col(f"b{i}").isNotNull() & F.col(f"a{i}").isNull(), 1).otherwise(0)
                   for i in range(len(features))), F.lit(0))
@@ -366,7 +385,7 @@ def corruption_check(clean: LabelledTable, corrupted: LabelledTable) -> DataFram
     def total(value, test=both):
         return F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("bigint")
 
-    return pairs.agg(
+    return pairs.groupBy(*by).agg(
         total(F.lit(1), F.col("in_clean").isNotNull() & ~F.coalesce("added", F.lit(False))).alias("clean_rows"),
         total(F.lit(1), F.col("in_corrupted").isNotNull()).alias("corrupted_rows"),
         total(F.lit(1), F.col("in_corrupted").isNull()).alias("removed_rows"),

@@ -62,7 +62,8 @@ def _brackets(n: int, ks: list[int], spread: float) -> list[tuple[str, str]]:
 def kth_hashes(hashes: DataFrame, sizes: dict, quotas: dict) -> dict:
     """Thresholds for a frame (label, h): {label: n}, {label: [k, ...]} -> {label: {k: k-th smallest h}}.
 
-    k <= 0 gives a threshold no hash passes, k >= n one that all pass.
+    k <= 0 gives a threshold no hash passes, k >= n one that all pass. Equal hashes at a threshold would draw more
+    than k rows: they mean that rows share a key, and are an error.
     """
     found = {label: {} for label in quotas}
     open_ks = {}
@@ -112,7 +113,8 @@ def _kth_round(hashes, sizes, quotas, spread):
     wanted = {g: list(ks) + [None] * (most - len(ks)) for g, ks in quotas.items()}
     running = by_class(running, "label", wanted, [f"k{i}" for i in range(most)], ["bigint"] * most)
     picked = running.groupBy("label").agg(
-        *[F.min(F.when(F.col("upto") >= F.col(f"k{i}"), F.struct("slot", "h"))).alias(f"at{i}") for i in range(most)]
+        *[F.min(F.when(F.col("upto") >= F.col(f"k{i}"), F.struct("slot", "h", "upto"))).alias(f"at{i}")
+          for i in range(most)]
     )
     out = {}
     for row in picked.collect():  # one row per class
@@ -120,6 +122,8 @@ def _kth_round(hashes, sizes, quotas, spread):
         for i, k in enumerate(wanted[row["label"]]):
             at = row[f"at{i}"]
             if k is not None and at is not None and at["slot"] % 2 == 1:
+                if at["upto"] != k:
+                    raise ValueError("keys are not unique: rows at the threshold have the same hash")
                 got[k] = at["h"]
         out[row["label"]] = got
     return out

@@ -74,7 +74,8 @@ def query(name: str, sql: str | None = None):
 # ---- SQL text helpers ---------------------------------------------------------------------------
 
 def sql_hash(seed: int, tag: str, *parts: str) -> str:
-    cells = ", ".join(f"coalesce(cast({p} as varchar), 'nan')" for p in parts)
+    texts = [f"cast({p} as varchar)" for p in parts]
+    cells = ", ".join(f"coalesce(cast(length({t}) as varchar) || ':' || {t}, '-')" for t in texts)
     return f"md5(concat_ws('|', '{seed}', '{tag}', {cells}))"
 
 

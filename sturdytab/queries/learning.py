@@ -131,6 +131,26 @@ def file_csv_headerless(spark, sf):
     return tables.read_headerless_csv(spark, path, df.schema)
 
 
+@query("file_csv_missing_texts", """select c_custkey::integer as c_custkey, c_mktsegment, c_name,
+  case when c_custkey % 3 <> 0 then c_acctbal end as c_acctbal from customer""")
+def file_csv_missing_texts(spark, sf):
+    """A numeric column with missing texts keeps its type."""
+    path = scratch_path(spark, "csv")
+    missing = F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal").cast("string")).otherwise("NA")
+    tables.write_table(raw(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name", missing.alias("c_acctbal")),
+                       path, fmt="csv")
+    return tables.read_csv(spark, path)
+
+
+@query("file_csv_other_order", _SHOWN)
+def file_csv_other_order(spark, sf):
+    """Columns stand in another order in the file than in the schema."""
+    df = raw(spark, sf, "customer")
+    path = scratch_path(spark, "csv")
+    tables.write_table(df.select(*reversed(df.columns)), path, fmt="csv")
+    return tables.read_csv(spark, path, df.schema)
+
+
 @query("file_partitioned_levels", """select severity, cast(count(*) as bigint) as rows from
   (select unnest([0.05e0, 0.1e0, 0.2e0]) as severity from orders) group by 1""")
 def file_partitioned_levels(spark, sf):

@@ -10,23 +10,57 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sturdytab.table import MISSING_TOKENS, LabelledTable, drop_index_columns, normalise_missing
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
+DATE, TIME = r"^\d{4}-\d{2}-\d{2}", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$"
+#: Types a column of texts may have, the narrowest first, and the pattern their texts must match.
+INFERRED = [("int", r"^[+-]?\d+$"), ("bigint", r"^[+-]?\d+$"), ("double", NUMBER), ("date", DATE + "$"),
+            ("timestamp", TIME), ("boolean", r"^(?i)(true|false)$")]
+
+
+def typed_texts(text: DataFrame) -> DataFrame:
+    """Each text column in the first type that fits all its texts; one aggregate counts the misfits. A column without any
+    text stays text."""
+    counts = []
+    for i, name in enumerate(text.columns):
+        c = F.col(f"`{name}`")
+        counts.append(F.count(c).alias(f"n{i}"))
+        for j, (kind, pattern) in enumerate(INFERRED):
+            counts.append(F.count(F.when(F.trim(c).rlike(pattern), F.trim(c).try_cast(kind))).alias(f"n{i}_{j}"))
+    found = text.agg(*counts).first()
+    out = []
+    for i, name in enumerate(text.columns):
+        c = F.col(f"`{name}`")
+        fits = [kind for j, (kind, _) in enumerate(INFERRED) if 0 < found[f"n{i}"] == found[f"n{i}_{j}"]]
+        out.append((F.trim(c).cast(fits[0]) if fits else c).alias(name))
+    return text.select(*out)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True,
+             multi_line: bool = False) -> DataFrame:
     """A CSV table with missing texts as NULL. Without a schema the types are inferred, which costs a scan.
 
-    Columns are read as text first: a missing text in a numeric column is NULL, any other misfit an error.
+    Columns are read as text first: a missing text in a numeric column is NULL, any other misfit an error. With a header
+    the schema's columns are taken by name, wherever they stand; an absent one is an error, further ones are left out,
+    and files with other headers are an error too. Files are split between tasks, so a quoted text must not hold line
+    breaks; `multi_line` allows them and reads each file in one task.
     """
-    reader = spark.read.option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", header).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+    reader = reader.option("multiLine", multi_line)
+    names = reader.csv(path).columns if header else [f.name for f in schema]
+    absent = [f.name for f in schema or [] if f.name not in names]
+    if absent:
+        raise ValueError(f"columns not in the header: {', '.join(absent)}")
+    raw = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    text = normalise_missing(reader.option("enforceSchema", not header).schema(raw).csv(path), MISSING_TOKENS)
     if schema is None:
-        return normalise_missing(reader.option("inferSchema", True).csv(path), MISSING_TOKENS)
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    text = normalise_missing(reader.schema(raw).csv(path), MISSING_TOKENS)
+        return normalise_missing(typed_texts(text))
     typed = text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
     return normalise_missing(typed)
 
 
-def read_headerless_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_headerless_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """A CSV without a header row; the names come from the schema."""
-    return read_csv(spark, path, schema, header=False)
+    return read_csv(spark, path, schema, header=False, multi_line=multi_line)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -45,12 +79,13 @@ class Source:
     schema: T.StructType | None = None
     supports_outliers: bool = True
     supports_imbalance: bool = True
+    multi_line: bool = False  # CSV texts that hold line breaks; each file is then read by one task
 
 
 READERS: dict[str, Callable[[SparkSession, Source], DataFrame]] = {
     "parquet": lambda spark, s: read_parquet(spark, s.path),
-    "csv": lambda spark, s: read_csv(spark, s.path, s.schema),
-    "headerless_csv": lambda spark, s: read_headerless_csv(spark, s.path, s.schema),
+    "csv": lambda spark, s: read_csv(spark, s.path, s.schema, multi_line=s.multi_line),
+    "headerless_csv": lambda spark, s: read_headerless_csv(spark, s.path, s.schema, s.multi_line),
 }
 
 

@@ -142,3 +142,40 @@ def test_row_groups_of_a_keyless_table_keep_their_size(spark):
     out = C.inject_missing(LabelledTable(df, "y"), 0.25).df
     assert out.agg(F.sum(F.col("s").isNull().cast("int") + F.col("i").isNull().cast("int"))).first()[0] == 50
     assert out.count() == 100
+
+
+def test_keys_with_separators_and_repeated_keys(spark):
+    rows = [(a, b, "x" if i % 2 else "y") for i, (a, b) in enumerate([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "nan")])]
+    rows += [(str(i), str(i), "x" if i % 2 else "y") for i in range(500)]
+    df = spark.createDataFrame(rows, "a string, b string, y string")
+    pairs = LabelledTable(df, "y", ("a", "b"))
+    hashes = df.select(C.seeded_hash(1, "row", F.col("a"), F.col("b")).alias("h"))
+    assert hashes.distinct().count() == 504
+    out = C.inject_label_noise(pairs, 0.1).df.withColumnRenamed("y", "z").join(df, df.columns[:1]).where("y <> z")
+    assert out.where("a not in ('a', 'a|b')").count() >= 46
+    twice = LabelledTable(df.where("a <> 'a'").select("a", "b", "y", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")),
+                          "y", ("a", "b"))
+    with pytest.raises(ValueError):
+        C.inject_label_noise(twice, [0.101, 0.103, 0.105, 0.107])
+
+
+def test_severities_stay_where_nothing_changes(spark, table):
+    one = LabelledTable(table.df.where("y = 'a'"), "y", ("id",))
+    for preset, run, levels in ((C.EXPERIMENT, C.inject_label_noise, [0.1, 0.2]), (C.PROBE, C.inject_imbalance, [2.0, 5.0])):
+        got = run(one, levels, preset=preset)
+        assert {r["severity"]: r["count"] for r in got.df.groupBy("severity").count().collect()} == dict.fromkeys(levels, 720)
+        assert "severity" in got.keys
+    got = C.inject_imbalance(table, [1.0, 5.0], preset=C.PROBE)
+    sizes = {(r["severity"], r["y"]): r["count"] for r in got.df.groupBy("severity", "y").count().collect()}
+    assert sizes == {(1.0, "a"): 720, (1.0, "b"): 360, (1.0, "c"): 120, (5.0, "a"): 720, (5.0, "b"): 144, (5.0, "c"): 120}
+
+
+def test_check_of_several_severities(table):
+    got = {r["severity"]: r for r in C.corruption_check(table, C.inject_missing(table, [0.1, 0.2])).collect()}
+    assert {s: (r["clean_rows"], r["corrupted_rows"], r["cells_nulled"]) for s, r in got.items()} == {
+        0.1: (1200, 1200, 360), 0.2: (1200, 1200, 720)}
+    keyless = LabelledTable(table.df.drop("id"), "y")
+    with pytest.raises(ValueError):
+        C.corruption_check(keyless, C.inject_missing(keyless, 0.1))
+    made = C.keyed(keyless)
+    assert C.corruption_check(made, C.inject_missing(made, 0.1)).first()["cells_nulled"] == 360

@@ -12,7 +12,7 @@ def test_catalog(spark):
     write_table(df, f"{path}/csv", fmt="csv")
     write_table(df, f"{path}/parquet")
     catalog = {
-        "text": Source(f"{path}/csv", "y", ("id",), ("v", "s"), "csv", df.schema),
+        "text": Source(f"{path}/csv", "y", ("id",), ("v", "s"), "csv", df.schema, multi_line=True),
         "columns": Source(f"{path}/parquet", "y", ("id",), ("v",)),
         "absent": Source(f"{path}/nothing", "y"),
     }
@@ -37,6 +37,23 @@ def test_csv_misfit_is_an_error(spark):
         read_csv(spark, path, StructType([StructField("v", IntegerType())])).collect()
 
 
+def test_csv_types_and_header(spark):
+    path = scratch_path(spark, "typed")
+    rows = [("1", "3.5", "NA", "2020-01-01", "true", "7"), ("2", "NA", "", "NA", "false", "x"),
+            ("30000000000", "4.5", None, "2021-02-03", "true", "8")]
+    write_table(spark.createDataFrame(rows, "k string, x string, none string, d string, b string, t string"), path,
+                fmt="csv")
+    df = read_csv(spark, path)
+    assert [k for _, k in df.dtypes] == ["bigint", "double", "string", "date", "boolean", "string"]
+    assert sorted(r.x for r in df.collect() if r.x is not None) == [3.5, 4.5]
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    swapped = StructType([StructField("t", StringType()), StructField("k", LongType())])
+    assert sorted(map(tuple, read_csv(spark, path, swapped).collect())) == [("7", 1), ("8", 30000000000), ("x", 2)]
+    with pytest.raises(ValueError):
+        read_csv(spark, path, StructType([StructField("absent", StringType())]))
+
+
 def test_settled_frames_are_equal(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, 0.5)], "i int, s string, d double")
     assert sorted(settle(df).collect()) == sorted(df.collect())
