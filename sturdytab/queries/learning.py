@@ -15,7 +15,7 @@ from sturdytab.plans import adaptive, experiments as E
 from sturdytab.queries.base import dataset, query, raw
 from sturdytab.session import scratch_path
 from sturdytab.sources import tables
-from sturdytab.table import LabelledTable
+from sturdytab.table import LabelledTable, drop_empty_columns
 
 FEATURES = ("lang", "source", "n_chars", "toxic")
 
@@ -189,10 +189,17 @@ def file_summary(spark, sf):
     return tables.summary(LabelledTable(raw(spark, sf, "customer"), "c_mktsegment", (), "customer"))
 
 
-@query("file_head")
+@query("file_head", _SHOWN + " order by c_custkey limit 5")
 def file_head(spark, sf):
-    """The first five rows, as the feature of a summary."""
-    return raw(spark, sf, "customer").limit(5)
+    """The first five rows by key, as the feature of a summary."""
+    return raw(spark, sf, "customer").orderBy("c_custkey").limit(5)
+
+
+@query("dropped_empty_columns", "select c_custkey, c_name, c_mktsegment from customer")
+def dropped_empty_columns(spark, sf):
+    """A feature column without any value goes."""
+    df = raw(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit(None).cast("double").alias("empty"))
+    return drop_empty_columns(df, "c_mktsegment")
 
 
 @query("features_and_target", "select p_name, p_brand, p_size, p_retailprice from part")
