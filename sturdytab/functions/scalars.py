@@ -15,6 +15,11 @@ def safe_ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def as_number(c: Column) -> Column:
+    """Text as double; NULL where it is no number."""
+    return c.try_cast("double")
+
+
 def floor_count(rows, rate: float) -> int:
     """Rows to touch when the product is truncated."""
     return int(rows * rate)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sturdytab.learn.rbf import FourierFeatures
+from sturdytab.operators.meta import distinct_counts
 from sturdytab.operators.prep import class_list, fit_prep
 from sturdytab.operators.sampling import by_class
 from sturdytab.table import LabelledTable
@@ -21,7 +21,6 @@ from sturdytab.table import LabelledTable
 # The model list; its order decides ties.
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "SVM", "XGBoost")
 CODE, FEATURES, FOURIER, PREDICTION = "label_code", "model_features", "fourier_features", "predicted_code"
-MAX_CATEGORIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,6 +35,7 @@ class Settings:
     round_depth: int = 6
     leaf_rows: int = 1  # rows a leaf needs at least, whatever the size of the table
     fourier: int = 256
+    categories: int = 100_000  # values a text feature may have; one with more is refused, by exact count
     seed: int = 42
     parallelism: int = 4  # models fitted side by side
     cells: int = 2  # grid cells run side by side, each with its own cached training table
@@ -84,6 +84,7 @@ class FittedFeatures:
     classes: list
     target: str
     rows: int
+    kind: str  # type of the labels
 
     def code(self, df: DataFrame) -> DataFrame:
         return by_class(df, self.target, {c: (float(i),) for i, c in enumerate(self.classes)}, [CODE], ["double"])
@@ -106,11 +107,10 @@ def fit_features(table: LabelledTable, settings: Settings, classes: list | None
         stages.append(VectorAssembler(inputCols=numeric, outputCol="numbers"))
     index, hot, sizes = [f"{c}_index" for c in texts], [f"{c}_hot" for c in texts], []
     if texts:
-        distinct = table.df.agg(*[F.approx_count_distinct(f"`{c}`").alias(t)
-                                  for c, t in zip(prep.categorical, texts)]).first()
-        wide = [c for c, t in zip(prep.categorical, texts) if distinct[t] > MAX_CATEGORIES]
+        wide = [prep.categorical[r["ord"]] for r in distinct_counts(table.df, prep.categorical)
+                .where(F.col("n_distinct") > settings.categories).collect()]  # at most one row per column
         if wide:
-            raise ValueError(f"column(s) {wide} have more than {MAX_CATEGORIES} values; leave them out of the features")
+            raise ValueError(f"column(s) {wide} have more than {settings.categories} values; leave them out of the features")
         # an unseen category gets the extra last index, which one-hot drops: all zeros
         stages.append(StringIndexer(inputCols=texts, outputCols=index, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
@@ -130,7 +130,7 @@ def fit_features(table: LabelledTable, settings: Settings, classes: list | None
         seed=settings.seed)
     stages = PipelineModel(stages=[*fitted.stages, fourier])
     known = classes if classes is not None else class_list(table.df, table.target)
-    return FittedFeatures(stages, known, table.target, table.rows())
+    return FittedFeatures(stages, known, table.target, table.rows(), table.type_of(table.target).simpleString())
 
 
 @dataclass
@@ -141,33 +141,30 @@ class FittedModel:
     stages: PipelineModel
     classes: list
     target: str
+    kind: str
     seconds: float = 0.0
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """The rows with a decoded `prediction`. A target column is neither needed nor used."""
+        """The rows with a decoded `prediction` of the target's type. A target column is neither needed nor used."""
         wanted = df.columns
         scored = self.stages.transform(df)
         decoded = by_class(scored, PREDICTION, {float(i): (c,) for i, c in enumerate(self.classes)},
-                           ["prediction"], [_kind(self.classes)])
+                           ["prediction"], [self.kind])
         return decoded.select(*[F.col(f"`{c}`") for c in wanted], "prediction")
 
     def save(self, path: str) -> None:
-        """The pipeline and, next to it, one JSON row with target, model name and classes."""
+        """The pipeline and, next to it, one Parquet row with model name, target and typed classes."""
         self.stages.write().save(f"{path}/pipeline")
-        meta = json.dumps({"model": self.name, "target": self.target, "classes": self.classes})
-        SparkSession.active().createDataFrame([(meta,)], "value string").write.text(f"{path}/meta")
+        meta = SparkSession.active().createDataFrame(
+            [(self.name, self.target, self.classes)], f"model string, target string, classes array<{self.kind}>")
+        meta.write.parquet(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> "FittedModel":
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
-        return FittedModel(meta["model"], PipelineModel.load(f"{path}/pipeline"), meta["classes"], meta["target"])
-
-
-def _kind(classes) -> str:
-    first = classes[0]
-    if isinstance(first, bool):
-        return "boolean"
-    return "bigint" if isinstance(first, int) else "double" if isinstance(first, float) else "string"
+        frame = SparkSession.active().read.parquet(f"{path}/meta")
+        meta, kind = frame.first(), frame.schema["classes"].dataType.elementType.simpleString()
+        return FittedModel(
+            meta["model"], PipelineModel.load(f"{path}/pipeline"), list(meta["classes"]), meta["target"], kind)
 
 
 def fit_model(name: str, features: FittedFeatures, prepared: DataFrame, settings: Settings) -> FittedModel:
@@ -176,4 +173,4 @@ def fit_model(name: str, features: FittedFeatures, prepared: DataFrame, settings
     model = estimator(name, len(features.classes), features.rows, settings).fit(prepared)
     seconds = time.monotonic() - start
     return FittedModel(name, PipelineModel(stages=[*features.stages.stages, model]), features.classes,
-                       features.target, seconds)
+                       features.target, features.kind, seconds)

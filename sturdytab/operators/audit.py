@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sturdytab.functions.hashing import row_digest, row_identity
 from sturdytab.functions.scalars import clamp, safe_ratio, side_by_side
@@ -168,21 +168,27 @@ def report_audit(table: LabelledTable) -> DataFrame:
     )
 
 
-def report_with_classes(table: LabelledTable) -> DataFrame:
-    """The audit report with the class counts and percents as maps, for a JSON sink."""
-    counts = class_counts(table.df, table.target)  # refuses identifier-like targets
+def class_maps(spark: SparkSession, counts: dict) -> DataFrame:
+    """One row: the class counts and percents as maps by label text, from the counts of `class_counts`."""
     total = sum(counts.values())
+    rows = [("nan" if label is None else str(label), n, round(100 * n / total, 2)) for label, n in counts.items()]
+    frame = spark.createDataFrame(rows, "label string, n bigint, percent double")
 
-    def as_map(kind, value):
-        cells = [x for label, n in sorted(counts.items(), key=lambda kv: (-kv[1], str(kv[0])))
-                 for x in (F.lit("nan" if label is None else str(label)), F.lit(value(n)).cast(kind))]
-        return F.create_map(*cells) if cells else F.create_map().cast(f"map<string,{kind}>")
+    def as_map(value):
+        return F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", value))))
 
-    return report_audit(table).select(
-        "*",
-        as_map("bigint", lambda n: n).alias("class_counts"),
-        as_map("double", lambda n: round(100 * n / total, 2)).alias("class_percentages"),
-    )
+    return frame.agg(as_map("n").alias("class_counts"), as_map("percent").alias("class_percentages"))
+
+
+def with_classes(report: DataFrame, table: LabelledTable) -> DataFrame:
+    """An audit of one row with the class distribution as maps, for a JSON sink. Identifier-like targets are refused."""
+    spark = report.sparkSession
+    return side_by_side(spark, report, class_maps(spark, class_counts(normalise_missing(table.df), table.target)))
+
+
+def report_with_classes(table: LabelledTable) -> DataFrame:
+    """The audit report in percent with the class distribution."""
+    return with_classes(report_audit(table), table)
 
 
 def fraction_audit(table: LabelledTable) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sturdytab.functions.scalars import clamp
 from sturdytab.learn.models import MODELS, FittedModel, Settings
-from sturdytab.operators.audit import detect_impurities, fraction_audit
+from sturdytab.operators.audit import class_maps, detect_impurities, fraction_audit
 from sturdytab.operators.corrupt import keyed
 from sturdytab.operators.profile import relative_drop
 from sturdytab.operators.split import holdout_split
@@ -56,6 +56,7 @@ def chosen_model(profile: DataFrame) -> str:
 class AdaptiveResult:
     selected_model: str
     audit: DataFrame
+    classes: dict  # rows per class
     impurities: list[tuple[str, float]]
     profile: DataFrame  # long
     metrics: dict[str, float]
@@ -63,10 +64,11 @@ class AdaptiveResult:
     calibration_seconds: float
 
     def report(self) -> DataFrame:
-        """One nested row: audit, impurities, chosen model, estimate, test metrics, times."""
+        """One nested row: audit with class distribution, impurities, chosen model, estimate, test metrics, times."""
         best = estimates(self.profile).where(F.col("model") == self.selected_model)
         found = [F.struct(F.lit(c).alias("corruption"), F.lit(s).alias("severity")) for c, s in self.impurities]
         nothing = F.array().cast("array<struct<corruption:string,severity:double>>")
+        counts = class_maps(self.audit.sparkSession, self.classes).select("class_counts")
         return self.audit.select(
             F.col("dataset"),
             F.lit(self.model.target).alias("target"),
@@ -75,7 +77,8 @@ class AdaptiveResult:
             F.struct(*[F.lit(v).alias(k) for k, v in self.metrics.items()]).alias("final_test_metrics"),
             F.lit(self.calibration_seconds).alias("calibration_time_seconds"),
             F.lit(self.model.seconds).alias("training_time_seconds"),
-            F.struct(*[F.col(c) for c in self.audit.columns]).alias("quality_audit"),
+            F.struct(*[F.col(c) for c in self.audit.columns], counts.scalar().alias("class_distribution"))
+            .alias("quality_audit"),
             (F.array(*found) if found else nothing).alias("detected_impurities"),
         )
 
@@ -98,7 +101,8 @@ def run_adaptive(table: LabelledTable, test_share: float = 0.2, seed: int = 42,
                  models=MODELS, folds: int = 3) -> AdaptiveResult:
     """Audit the table, probe every model under the impurities found, train the choice and test it."""
     clean = cleaned(table)
-    require_classes(class_counts(clean.df, clean.target), 2, 2)
+    counts = class_counts(clean.df, clean.target)
+    require_classes(counts, 2, 2)
     audit = fraction_audit(clean)
     found = detect_impurities(audit).orderBy("ord").collect()  # at most five rows
     impurities = [(r["corruption"], r["severity"]) for r in found]
@@ -115,7 +119,7 @@ def run_adaptive(table: LabelledTable, test_share: float = 0.2, seed: int = 42,
     if errors:
         raise RuntimeError(f"training of the chosen model failed: {errors}")
     metrics = {k: v for k, v in rows[0].items() if k not in ("model", "training_time_seconds", "train_rows")}
-    return AdaptiveResult(selected, audit, impurities, profile, metrics, fitted[selected], calibration)
+    return AdaptiveResult(selected, audit, counts, impurities, profile, metrics, fitted[selected], calibration)
 
 
 def score_rows(model: FittedModel, df: DataFrame) -> DataFrame:

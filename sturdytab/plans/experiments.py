@@ -28,7 +28,7 @@ SUBSET_ROWS = 10_000
 
 RESULT_SCHEMA = (
     "dataset string, seed long, condition string, corruption string, severity double, model string, "
-    + ", ".join(f"{s} double" for s in SCORES) + ", training_time_seconds double, train_rows long")
+    + ", ".join(f"{s} double" for s in SCORES) + ", training_time_seconds double, train_rows long, error string")
 
 
 def _side_by_side(spark: SparkSession, parallelism: int, task, items: list) -> list:
@@ -75,7 +75,10 @@ def _frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def _grid(train, test, conditions, settings, models, failures):
-    """conditions: (seed, condition, corruption, severity, callable giving the training table)."""
+    """conditions: (seed, condition, corruption, severity, callable giving the training table).
+
+    A model that failed keeps its row: no scores, and the reason in `error`.
+    """
     spark = train.df.sparkSession
     classes = sorted(c for c in class_counts(train.df, train.target) if c is not None)
 
@@ -83,6 +86,7 @@ def _grid(train, test, conditions, settings, models, failures):
         seed, condition, corruption, severity, make = item
         errors: list = []
         got, _ = fit_and_score(make(), test.df, settings, models, classes, errors)
+        got += [{"model": name, "error": error} for name, error in errors]
         return [{"dataset": train.name, "seed": seed, "condition": condition, "corruption": corruption,
                  "severity": severity, **row} for row in got], [(condition, name, error) for name, error in errors]
 

@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from sturdytab.functions.scalars import as_number
 from sturdytab.operators import audit, meta
 from sturdytab.operators.quantiles import profile_columns
 from sturdytab.operators.sampling import number_copies
@@ -437,6 +438,18 @@ def class_facts_null_labels(spark, sf):
   try_cast(substr(props, 7, length(props) - 7) as double) as k from events""")
 def coerced_numbers(spark, sf):
     """Text that is no number becomes NULL instead of an error."""
-    return raw(spark, sf, "events").selectExpr(
-        "event_id", "try_cast(substr(props, 7, 1) as double) as first_char",
-        "try_cast(substr(props, 7, length(props) - 7) as double) as k")
+    inner = F.substring("props", F.lit(7), F.length("props") - 7)
+    return raw(spark, sf, "events").select(
+        "event_id", as_number(F.substring("props", 7, 1)).alias("first_char"), as_number(inner).alias("k"))
+
+
+@query("fraction_classes_events_holes", f"""with e as ({HOLES_NORMAL_SQL})
+  select 'events_holes' as dataset, cast((select count(*) from e) as bigint) as n_rows, coalesce(event_type, 'nan') as label,
+    cast(count(*) as bigint) as n, round_even(count(*)::double / (select count(*) from e) * 100, 2) as percent
+  from e group by event_type""")
+def fraction_classes_events_holes(spark, sf):
+    """The class distribution of the audit in fractions, as rows; NULL labels are a class."""
+    table = _holes_table(spark, sf)
+    report = audit.with_classes(audit.fraction_audit(table), table)
+    return report.select("dataset", "n_rows", "class_percentages", F.explode("class_counts").alias("label", "n")).select(
+        "dataset", "n_rows", "label", "n", F.element_at("class_percentages", F.col("label")).alias("percent"))

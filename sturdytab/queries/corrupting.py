@@ -335,14 +335,11 @@ def hash_ranks_orders(spark, sf):
     select 'orders' as t, count(*) as n from orders union all select 'labels', count(*) from labels
     union all select 'events', count(*) from events), (values (0.05e0), (0.1e0), (0.2e0), (0.0125e0)) r(rate)""")
 def touched_counts(spark, sf):
-    out = None
-    for name in ("orders", "labels", "events"):
-        one = raw(spark, sf, name).agg(F.count("*").alias("n")).select(
-            F.lit(name).alias("dataset"), "n",
-            F.explode(F.array(*[F.lit(r) for r in (*C.RATES, 0.0125)])).alias("rate"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("*", F.floor(F.col("n") * F.col("rate")).alias("truncated"),
-                      F.bround(F.col("n") * F.col("rate"), 0).cast("bigint").alias("half_even"))
+    """Rows that a corruption of each rate touches, by the counts of the two kinds of preset."""
+    sizes = {name: raw(spark, sf, name).count() for name in ("orders", "labels", "events")}
+    rows = [(name, n, rate, C.LIBRARY.count(n, rate), C.EXPERIMENT.count(n, rate))
+            for name, n in sizes.items() for rate in (*C.RATES, 0.0125)]
+    return spark.createDataFrame(rows, "dataset string, n long, rate double, truncated long, half_even long")
 
 
 @query("conditions_by_dataset", """with d as (select distinct event_type as dataset from events),

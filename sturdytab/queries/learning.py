@@ -13,7 +13,7 @@ from sturdytab.operators.corrupt import RATES
 from sturdytab.operators.split import group_split, train_test
 from sturdytab.plans import adaptive, experiments as E
 from sturdytab.queries.base import dataset, query, raw
-from sturdytab.session import scratch_path
+from sturdytab.session import scratch_path, settle
 from sturdytab.sources import tables
 from sturdytab.table import LabelledTable, drop_empty_columns
 
@@ -28,9 +28,9 @@ def graded_documents(spark, sf) -> LabelledTable:
 
 
 def _split(spark, sf):
+    """Training and test part, written once and read by every fit."""
     table = graded_documents(spark, sf)
-    train, test = train_test(table, group_split(table))
-    return train, test
+    return train_test(table, settle(group_split(table), "split"))
 
 
 def _scores_only(df):
@@ -76,16 +76,22 @@ def adaptive_run(spark, sf):
         F.to_json("detected_impurities").alias("detected_impurities"))
 
 
-@query("scored_rows")
+@query("scored_rows", """select doc_id, true as known_class, true as as_before_saving
+  from documents left join labels using (doc_id)""")
 def scored_rows(spark, sf):
-    """A saved decision tree, read back, scores documents it was not trained on as well as its own."""
+    """A saved decision tree, read back, scores documents it was not trained on as well as its own: does each get a known
+    class, and the one that the tree gave before it was saved?"""
     table = graded_documents(spark, sf)
     features = fit_features(table, LIGHT)
     path = scratch_path(spark, "model")
-    fit_model("Decision Tree", features, features.prepared(table.df), LIGHT).save(path)
+    model = fit_model("Decision Tree", features, features.prepared(table.df), LIGHT)
+    model.save(path)
     new = raw(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     toxic = raw(spark, sf, "labels").select("doc_id", "toxic")
-    return adaptive.score_rows(FittedModel.load(path), new.join(toxic, "doc_id", "left"))
+    before = adaptive.score_rows(model, new.join(toxic, "doc_id", "left")).withColumnRenamed("prediction", "before")
+    scored = adaptive.score_rows(FittedModel.load(path), before)
+    return scored.select("doc_id", F.coalesce(F.col("prediction").isin(*features.classes), F.lit(False)).alias("known_class"),
+                         F.col("prediction").eqNullSafe(F.col("before")).alias("as_before_saving"))
 
 
 @query("one_hot_documents", """with l as (select lang, dense_rank() over (order by lang) - 1 as i,

@@ -36,6 +36,32 @@ def test_three_classes_and_failure_isolation(spark):
     assert all(r["accuracy"] > 0.9 for r in rows), rows
 
 
+def test_failed_model_keeps_its_row(spark, table):
+    rows = {r["model"]: r for r in E.run_clean(table, table, TINY, ["Decision Tree", "No Such Model"]).collect()}
+    assert rows["Decision Tree"]["error"] is None and rows["Decision Tree"]["accuracy"] > 0.9
+    assert rows["No Such Model"]["accuracy"] is None and "unknown model" in rows["No Such Model"]["error"]
+
+
+@pytest.mark.parametrize("kind", ["decimal(5,2)", "date", "int", "boolean"])
+def test_labels_keep_their_type(spark, kind):
+    label = {"date": "date_add(date'2020-01-01', cast(id % 2 as int))"}.get(kind, f"cast(id % 2 as {kind})")
+    df = spark.range(40).selectExpr("id", "cast(id % 2 as double) as v", f"{label} as y")
+    features = fit_features(LabelledTable(df, "y", ("id",)), TINY)
+    path = tempfile.mkdtemp(prefix="sturdytab-test-") + "/m"
+    fit_model("Decision Tree", features, features.prepared(df), TINY).save(path)
+    scored = adaptive.score_rows(FittedModel.load(path), df)
+    assert scored.schema["prediction"].dataType == df.schema["y"].dataType
+    assert scored.where("not prediction <=> y").count() == 0
+
+
+def test_wide_text_features_are_refused_by_exact_count(spark):
+    df = spark.range(30).selectExpr("concat('c', id) as s", "id % 2 as y")
+    table = LabelledTable(df, "y")
+    assert fit_features(table, dataclasses.replace(TINY, categories=30)).rows == 30
+    with pytest.raises(ValueError, match="more than 29 values"):
+        fit_features(table, dataclasses.replace(TINY, categories=29))
+
+
 def test_unseen_categories_are_all_zero(spark):
     train = spark.createDataFrame([("a", "p"), ("b", "n"), ("c", "p")], "s string, y string")
     features = fit_features(LabelledTable(train, "y"), TINY)
@@ -80,6 +106,7 @@ def test_adaptive_run_writes_its_outputs(spark, table):
     result.write(path)
     report = spark.read.json(f"{path}/report").first()
     assert report["selected_model"] == result.selected_model
+    assert sum(report["quality_audit"]["class_distribution"].asDict().values()) == 240
     assert report["final_test_metrics"]["accuracy"] == pytest.approx(result.metrics["accuracy"])
     wide = spark.read.option("header", True).csv(f"{path}/profile")
     assert {"missing_probe_f1", "missing_relative_drop", "clean_cv_macro_f1"} <= set(wide.columns)
