@@ -5,13 +5,16 @@ They run the published grids on whole tables with the light model sizes.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F, types as T
 
 from sturdytab.learn.models import LIGHT, FittedModel, fit_features, fit_model
-from sturdytab.operators.corrupt import RATES
+from sturdytab.operators.corrupt import CORRUPTIONS, RATES
 from sturdytab.operators.split import group_split, train_test
 from sturdytab.plans import adaptive, experiments as E
+from sturdytab.plans.grid import SINGLE_CONDITIONS
 from sturdytab.queries.base import dataset, query, raw
 from sturdytab.session import scratch_path, settle
 from sturdytab.sources import tables
@@ -53,6 +56,18 @@ def train_single_corruptions(spark, sf):
     return _scores_only(E.results_with_drops(results, clean))
 
 
+def _family(spark, sf, corruption):
+    """Every published severity of one corruption under every seed, five models each, with drops against the clean scores."""
+    train, test = _split(spark, sf)
+    clean = E.run_clean(train, test, LIGHT)
+    results = E.run_single(train, test, [c for c in SINGLE_CONDITIONS if c[0] == corruption], E.SEEDS, LIGHT)
+    return _scores_only(E.results_with_drops(results, clean))
+
+
+for _kind in CORRUPTIONS:
+    query(f"train_{_kind}")(partial(_family, corruption=_kind))
+
+
 @query("train_combined_corruptions")
 def train_combined_corruptions(spark, sf):
     train, test = _split(spark, sf)
