@@ -41,20 +41,26 @@ BROADCAST_KEYS = 50_000
 PAIR_BLOCK = 1_000_000
 
 
-def fingerprint(text: bytes, width: int = WIDTH) -> int:
-    """The 64-bit SimHash as a signed integer."""
+def shingle_hashes(text: bytes, width: int = WIDTH) -> list[int]:
+    """XXH64 of every shingle, repeats included; fewer words than `width` are one shingle, no words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[:len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    line = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[:len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, width: int = WIDTH) -> int:
+    """The 64-bit SimHash as a signed integer."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = np.array(hashes[i:i + 65_536], "<u8")

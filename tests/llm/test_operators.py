@@ -99,6 +99,32 @@ def test_fingerprint_links_lose_nothing(spark, crowd, monkeypatch):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_pipeline_links_near_copies_at_08(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(60):
+        words = [f"b{base}x{k}" for k in range(int(rng.integers(60, 400)))]
+        rows.append(" ".join(words))
+        for _ in range(5):
+            copy = list(words)
+            for k in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0, 0.07))), replace=False):
+                copy[k] = f"n{rng.integers(10**9)}"
+            rows.append(" ".join(copy))
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(root) and 60 < len(kept) < 300
+
+
 def test_html():
     text = html_extract.main_text
     page = ("<html><head><title>t</title><script>var x='</p>'</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>"
