@@ -1,20 +1,22 @@
 """License scans by conditional compression.
 
-Candidate blocks: lines with a word of `HINTS`, and runs of such lines with at most `GAP` lines between them. A single
-line is judged alone as well as with its run. Each block is compressed with zstandard, once plainly and once with each
-template as a raw dictionary; the templates are ranked by the bytes saved per byte of the plain result. In that order
-they are confirmed by their exact wording: words (letters, digits and version dots, lower-cased) are aligned, and the
-words of the template that are missing plus the words inserted between matched ones are the differences. A template of
-up to `SHORT` words, where a number or a letter is all that tells licenses apart, allows none; longer ones allow
-`SLACK` of their words. The first confirmed template wins; each found text is reported once, by its widest block.
-
-All candidate blocks of whole texts are judged; equal blocks are judged once a task while remembered. A null or empty
-text has no block. Null ids and repeated rows are rows like any other. An empty table, or none with a license, gives
-an empty result. Other columns are ignored.
+The words of a whole text (letters, digits and version dots, lower-cased) are searched, whatever its lines. A template of
+up to `SHORT` words, where a number or a letter is all that tells licenses apart, allows no difference; longer ones allow
+`SLACK` of their words: words of the template that are missing plus words inserted between matched ones. A template that
+allows d is cut into d + 1 pieces, one of which any such wording holds unchanged; around each piece found, the words that
+the template fits into are aligned with it.
+
+Each confirmed wording is compressed with zstandard, once plainly and once with its template as a raw dictionary. Wordings
+that overlap are ranked by the bytes saved, then by fewer differences; the best one stands, and all that do not overlap with
+it are told as well. The sign of the saving drops nothing. A license is told once a line.
+
+A null or empty text has no license. Null ids and repeated rows are rows like any other. An empty table, or none with a
+license, gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -26,14 +28,10 @@ from pyspark.sql import functions as F
 
 from sturdytab.llm.common import bounded_batches, need, slices
 
-GAP = 3
 SHORT = 16
 SLACK = 0.1
 REMEMBERED = 20_000
 
-# Words that license texts cannot do without.
-HINTS = re.compile(r"licen[cs]|copyright|permission|permitted|redistribut|warrant|liab|public domain|spdx|as is|"
-                   r"all rights reserved|sublicen|\bgpl|creative commons|unlicense", re.I)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 # License notices and texts by SPDX identifier, short statements first.
@@ -128,7 +126,7 @@ def differences(template: list[str], block: list[str]) -> list[str]:
 
 
 class Judge:
-    """Compressors of all templates, and the verdicts on blocks seen before."""
+    """What each template is looked up by, its compressors, and the verdicts on wordings seen before."""
 
     def __init__(self):
         self.named = [(name, words_of(text)) for name, text in templates()]
@@ -136,60 +134,73 @@ class Judge:
         self.level = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.primed = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
             x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in plain]
-        self.seen: dict[str, tuple | None] = {}
-
-    def verdict(self, block: str) -> tuple[str, float, list[str]] | None:
-        """(license, share of the compressed size saved, wording differences) of the confirmed template."""
-        if block not in self.seen:
+        self.allowed = [0 if len(words) <= SHORT else int(SLACK * len(words)) for _, words in self.named]
+        self.pieces: dict[str, list[tuple[int, int]]] = {}  # piece: templates, and the piece's place in each
+        for k, (_, words) in enumerate(self.named):
+            cuts = [len(words) * i // (self.allowed[k] + 1) for i in range(self.allowed[k] + 2)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                self.pieces.setdefault(f" {' '.join(words[x:y])} ", []).append((k, x))
+        self.seen: dict[tuple[int, str], tuple[int, int, list[str]] | None] = {}
+
+    def aligned(self, k: int, words: list[str]) -> tuple[int, int, list[str]] | None:
+        """(first word, word after, wording differences) of template `k` among the words, if confirmed."""
+        asked = (k, " ".join(words))
+        if asked not in self.seen:
             if len(self.seen) > REMEMBERED:
                 self.seen.clear()
-            self.seen[block] = self.judged(block)
-        return self.seen[block]
-
-    def judged(self, block: str) -> tuple[str, float, list[str]] | None:
-        raw, words = block.lower().encode(), words_of(block)
-        alone = len(self.level.compress(raw))
-        saved = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.primed)),
-                       key=lambda x: (-x[0], -len(self.named[x[1]][1]), x[1]))
-        held = set(words)
-        for share, k in saved:
-            name, template = self.named[k]
-            allowed = 0 if len(template) <= SHORT else int(SLACK * len(template))
-            if share <= 0:
-                break
-            if sum(w not in held for w in template) > allowed:
+            matcher = difflib.SequenceMatcher(None, self.named[k][1], words, autojunk=False)
+            same = [m for m in matcher.get_matching_blocks() if m.size]
+            differ = differences(self.named[k][1], words)
+            confirmed = same and len(differ) <= self.allowed[k]
+            self.seen[asked] = (same[0].b, same[-1].b + same[-1].size, differ) if confirmed else None
+        return self.seen[asked]
+
+    def found(self, text: str) -> list[tuple[str, int, int, float, list[str]]]:
+        """(license, first line, line after, share of the compressed size saved, wording differences), by place."""
+        line = f" {' '.join(WORD.findall(text)).lower()} "
+        hits = []
+        for piece, users in self.pieces.items():
+            at = line.find(piece)
+            while at >= 0:
+                hits.append((at, users))
+                at = line.find(piece, at + 1)
+        if not hits:
+            return []
+        words = line.split()
+        starts = [m.start() for m in re.finditer(" ", line)]
+        places = set()
+        for at, users in hits:
+            first = bisect.bisect_left(starts, at)
+            for k, offset in users:
+                slack = self.allowed[k]
+                low, high = max(0, first - offset - slack), first - offset + len(self.named[k][1]) + slack
+                one = self.aligned(k, words[low:high])
+                if one:
+                    places.add((k, low + one[0], low + one[1], tuple(one[2])))
+        spans = [m.span() for m in WORD.finditer(text)] if places else []
+        ranked = []
+        for k, a, b, differ in places:
+            raw = text[spans[a][0]:spans[b - 1][1]].lower().encode()
+            alone, primed = len(self.level.compress(raw)), len(self.primed[k].compress(raw))
+            ranked.append((primed - alone, len(differ), -len(self.named[k][1]), a, b, k, 1 - primed / alone, differ))
+        breaks = [m.start() for m in re.finditer("\n", text)] if places else []
+        taken, told, out = [], set(), []
+        for _, _, _, a, b, k, share, differ in sorted(ranked):
+            i = bisect.bisect_left(taken, (a, b))
+            if i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b:
                 continue
-            differ = differences(template, words)
-            if len(differ) <= allowed:
-                return name, share, differ
-        return None
-
-
-def blocks_of(text: str) -> list[tuple[int, int, str]]:
-    """(first line, line after, text) of every candidate block; a run before its single lines."""
-    if not HINTS.search(text):
-        return []
-    lines = text.split("\n")
-    hits = [i for i, line in enumerate(lines) if HINTS.search(line)]
-    runs: list[list[int]] = []
-    for i in hits:
-        if runs and i - runs[-1][-1] <= GAP + 1:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    out = []
-    for run in runs:
-        if len(run) > 1:
-            # a text's first and last lines may lack a hint
-            a, b = max(0, run[0] - 1), min(len(lines), run[-1] + 2)
-            out.append((a, b, "\n".join(lines[a:b])))
-        out += [(i, i + 1, lines[i]) for i in run]
-    return out
+            taken.insert(i, (a, b))
+            name = self.named[k][0]
+            top, end = bisect.bisect_left(breaks, spans[a][0]), bisect.bisect_left(breaks, spans[b - 1][0]) + 1
+            if not any((name, i) in told for i in range(top, end)):
+                told.update((name, i) for i in range(top, end))
+                out.append((name, top, end, share, list(differ)))
+        return sorted(out, key=lambda x: x[1:3])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per found license text: id, license, first_line, after_line, saved (share of the compressed size that
-    the template saves), n_differences, differences."""
+    its template saves), n_differences, differences."""
     need(docs, id_col, text_col)
     bounded_batches(docs.sparkSession)
     names = ["key", "license", "first_line", "after_line", "saved", "n_differences", "differences"]
@@ -200,13 +211,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in slices(batches, "text"):
             rows, at = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                told: set[tuple[str, int]] = set()
-                for a, b, block in blocks_of(text) if text else ():
-                    found = judge.verdict(block)
-                    if found and not any((found[0], i) in told for i in range(a, b)):
-                        told.update((found[0], i) for i in range(a, b))
-                        rows.append((found[0], a, b, found[1], len(found[2]), found[2]))
-                        at.append(k)
+                for name, first, after, share, differ in judge.found(text) if text else ():
+                    rows.append((name, first, after, share, len(differ), differ))
+                    at.append(k)
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64()))]
                                              + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -307,6 +307,17 @@ def test_licenses(spark):
     assert not license_scan.scan_licenses(df.limit(0)).collect()
 
 
+@pytest.mark.parametrize("size", [5_000, 100_000, 3_000_000])
+def test_licenses_in_long_lines(size):
+    judge = license_scan.Judge()
+    rng = np.random.default_rng(size)
+    prose = " ".join(f"w{x}" for x in rng.integers(0, 5000, size // 5))
+    for text in ("Released under the MIT License.", license_scan.TEXTS["GPL-3.0"], license_scan.TEXTS["BSD-3-Clause"]):
+        want = next(n for n, x in license_scan.templates() if x == text)
+        got = judge.found(f"{prose} license {text} {prose}")
+        assert [(x[0], x[1], x[2], x[4]) for x in got] == [(want, 0, 1, [])]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
