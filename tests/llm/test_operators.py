@@ -318,6 +318,20 @@ def test_licenses_in_long_lines(size):
         assert [(x[0], x[1], x[2], x[4]) for x in got] == [(want, 0, 1, [])]
 
 
+def test_every_license_of_a_run_is_told():
+    judge = license_scan.Judge()
+    one = "dual licensed under the MIT License and the Apache License, Version 2.0"
+    assert {x[0] for x in judge.found(one)} == {"MIT", "Apache-2.0"}
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0"]
+    parts = [textwrap.fill(license_scan.TEXTS[n], 70) for n in names]
+    parts[1] = parts[1].replace("hereby granted", "granted")
+    got = judge.found("\n\n".join(parts))
+    at = np.cumsum([0] + [p.count("\n") + 2 for p in parts]).tolist()
+    assert [x[:3] for x in got] == [(n, a, b - 1) for n, a, b in zip(names, at, at[1:], strict=False)]
+    assert [x[4] for x in got] == [[], ["-hereby"], [], [], [], []]
+    assert [x[0] for x in judge.found("Released under CC0 1.0.")] == ["CC0-1.0"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
