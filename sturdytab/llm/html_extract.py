@@ -1,20 +1,24 @@
 """HTML extraction by line-block distribution.
 
 The markup is stripped into lines, one per block element, with character references decoded and white space reduced to
-single spaces. A line's weight is the length of its text outside links; lines of page furniture (navigation, asides,
-forms, adverts, notices, comments, page headers and footers, told by element, role, class or id) weigh nothing. The
-block at a line is the sum of weights over `BLOCK` lines. Text surges where a block reaches `SURGE`, or the page's
-largest block if that is less, and dives where a whole block is empty; the lines between are kept, without furniture. If the page declares its article (`article`,
-`main`, role main, item property articleBody), only lines inside weigh, any text there is a surge, and the dive is the
-article's end, however short its paragraphs.
+single spaces. Lines of page furniture (navigation, asides, forms, adverts, notices, comments, page headers and footers, told by
+element, role, class or id) are left out first. A line's weight is the length of its text outside links; the block at a
+line is the sum of weights over `BLOCK` lines. Text surges where a block reaches `SURGE`, or the page's largest block if
+that is less, and dives where a whole block is empty; a surge reaches back over the lines with text that adjoin it.
+
+If the page declares an article (`article`, `main`, role main, item property articleBody), a line inside weighs its whole
+length and `SURGE` more, so any text there is a surge; stretches inside and outside are summed apart, and those outside must
+reach `SURGE` by themselves. A marked `article`, and one in furniture that is closed as it should be, is furniture.
 
 Only the text between surge and dive counts: a page without any gives an empty text, as do a null or empty html.
-Broken markup is read leniently: unclosed elements end with their parent, an unclosed script or comment with the page.
+Broken markup is read leniently: unclosed elements end with their parent, hidden ones too; an unclosed comment, script or
+other raw text ends with the page.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,6 +33,8 @@ SURGE = 86
 
 # HTML elements by what they do to text.
 HIDDEN = "script style noscript template textarea title svg math iframe object canvas audio video select datalist".split()
+RAW = "script style textarea title iframe".split()
+FOREIGN = "svg math".split()
 FURNITURE = "nav footer aside form menu dialog button fieldset search".split()
 INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output picture "
           "progress q ruby rb rp rt s samp small source span strike strong sub sup time track tt u var wbr").split()
@@ -43,31 +49,75 @@ HEADER_MARKS = "header topbar banner masthead".split()
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<hidden>{'|'.join(HIDDEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 IS_HIDDEN, IS_FURNITURE, IS_INLINE = frozenset(HIDDEN), frozenset(FURNITURE), frozenset(INLINE)
+IS_RAW, IS_FOREIGN = frozenset(RAW), frozenset(FOREIGN)
 IS_VOID, IS_ARTICLE, IS_MARK, IS_HEADER = frozenset(VOID), frozenset(ARTICLE), frozenset(MARKS), frozenset(HEADER_MARKS)
 
 
+def leads(said: dict[str, str]) -> bool:
+    """Whether a class or id begins with a mark: `comment-item` does, `has-sidebar` does not."""
+    firsts = (WORDS.match(x) for x in (said.get("class", "") + " " + said.get("id", "")).split())
+    return any(m and m[0] in IS_MARK for m in firsts)
+
+
 def role_of(name: str, attrs: str, inside: bool) -> str:
-    """`furniture`, `article` or nothing, for an element and what its attributes say."""
+    """`furniture`, `wrapper` (furniture that may hold an article), `article` or nothing, for an element and what its
+    attributes say."""
     if name in IS_FURNITURE or name == "header" and not inside:
-        return "furniture"
+        return "wrapper" if name == "form" else "furniture"
     said = {}
     if attrs.strip(" /"):
         said = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(attrs)}
     if name in IS_ARTICLE or said.get("role") == "main" or said.get("itemprop") == "articlebody":
         marked = set(WORDS.findall(said.get("class", "") + " " + said.get("id", "")))
-        return "furniture" if inside and marked & IS_MARK else "article"
+        return "furniture" if inside and marked & IS_MARK or name == "article" and leads(said) else "article"
     if not said or name in ("html", "body"):
         return ""
     if "hidden" in said or said.get("aria-hidden") == "true":
         return "furniture"
     marked = set(WORDS.findall(" ".join((said.get("class", ""), said.get("id", ""), said.get("role", "")))))
-    return "furniture" if marked & IS_MARK or not inside and marked & IS_HEADER else ""
+    if not (marked & IS_MARK or not inside and marked & IS_HEADER):
+        return ""
+    return "furniture" if leads(said) or said.get("role") in IS_MARK else "wrapper"
+
+
+def tags_of(page: str) -> Iterator[tuple[re.Match, int]]:
+    """The tokens of a page, each with the place after it; an element of raw text is one token."""
+    at = foreign = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m["open"] or m["close"] or "").lower()
+        if name in IS_FOREIGN:
+            foreign = max(0, foreign + (-1 if m["close"] else 0 if m["attrs"].endswith("/") else 1))
+        elif m["open"] and name in IS_RAW and not (foreign and m["attrs"].endswith("/")):
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+        yield m, at
+
+
+def closed_tags(page: str) -> set[int]:
+    """Where the elements begin that have an end of their own, as have all of their name around them."""
+    stack: list[tuple[str, int]] = []
+    ended: dict[int, int | None] = {}  # beginning of an element: that of the next one of its name around it
+    for m, _ in tags_of(page):
+        name = (m["open"] or m["close"] or "").lower()
+        if m["open"] and name not in IS_VOID and name not in IS_RAW and not m["attrs"].endswith("/"):
+            stack.append((name, m.start()))
+        elif m["close"]:
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if depth is not None and not (name in IS_INLINE and any(x[0] not in IS_INLINE for x in stack[depth:])):
+                ended[stack[depth][1]] = next((at for x, at in reversed(stack[:depth]) if x == name), None)
+                del stack[depth:]
+    good: set[int] = set()
+    for at in sorted(ended):
+        if ended[at] is None or ended[at] in good:
+            good.add(at)
+    return good
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -75,8 +125,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, str]] = []
-    furniture = article = links = 0
+    stack: list[tuple[str, str, int]] = []
+    closed: set[int] | None = None
+    furniture = article = links = hidden = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -88,38 +139,64 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         linked = 0
 
     def leave() -> None:
-        nonlocal furniture, article, links
-        name, role = stack.pop()
-        furniture -= role == "furniture"
+        nonlocal furniture, article, links, hidden
+        name, role, _ = stack.pop()
+        furniture -= role in ("furniture", "wrapper")
         article -= role == "article"
+        hidden -= role == "hidden"
         links -= name == "a"
 
     def say(raw: str) -> None:
         nonlocal linked
+        if hidden:
+            return
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if links:
             linked += len(" ".join(text.split()))
 
+    def well_formed(at: int) -> bool:
+        nonlocal closed
+        if closed is None:
+            closed = closed_tags(page)
+        return at in closed
+
     at = 0
-    for m in TOKEN.finditer(page):
+    for m, after in tags_of(page):
         if m.start() > at:
             say(page[at:m.start()])
-        at = m.end()
+        at = after
         if m["open"]:
             name = m["open"].lower()
             if name not in IS_INLINE:
                 end_line()
+            ends = m["attrs"].endswith("/")
+            if hidden and name not in IS_INLINE and name not in IS_HIDDEN:
+                # an unclosed hidden element ends with its paragraph, and does not hold an article
+                depth = next(k for k, x in enumerate(stack) if x[1] == "hidden")
+                if not well_formed(stack[depth][2]):
+                    low = depth if name in IS_ARTICLE else next(
+                        (k for k in range(depth - 1, -1, -1) if stack[k][0] not in IS_INLINE), -1)
+                    if name in IS_ARTICLE or low >= 0 and stack[low][0] == "p":
+                        while len(stack) > low:
+                            leave()
+            if name in IS_RAW:
+                continue
             if name in IS_HIDDEN:
+                if not (ends and (name in IS_FOREIGN or not well_formed(m.start()))):
+                    stack.append((name, "hidden", m.start()))
+                    hidden += 1
                 continue
-            role = role_of(name, m["attrs"], article > 0)
+            role = "" if hidden else role_of(name, m["attrs"], article > 0)
             if name in IS_ARTICLE and role == "article" and furniture and not article:
-                while stack and furniture:  # an article can't stand in furniture that was left open
-                    leave()
-            if name in IS_VOID or m["attrs"].endswith("/") and name in IS_INLINE:
+                # an article can't stand in furniture that was left open
+                if not any(x[1] == "furniture" and well_formed(x[2]) for x in stack):
+                    while stack and furniture:
+                        leave()
+            if name in IS_VOID or ends and name in IS_INLINE:
                 continue
-            stack.append((name, role))
-            furniture += role == "furniture"
+            stack.append((name, role, m.start()))
+            furniture += role in ("furniture", "wrapper")
             article += role == "article"
             links += name == "a"
         elif m["close"]:
@@ -129,7 +206,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             # a stray end of an inline element or paragraph does not close the blocks around it
             if depth is not None and not (name in IS_INLINE or name == "p") or depth is not None and all(
-                    x[0] in IS_INLINE or x[0] == "p" for x in stack[depth:]):
+                    x[0] in IS_INLINE or x[0] == "p" or x[1] == "hidden" for x in stack[depth:]):
                 while len(stack) > depth:
                     leave()
     if at < len(page):
@@ -138,22 +215,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def between(weights: list[int], declared: bool) -> list[tuple[int, int]]:
+def between(weights: list[int], surge: int) -> list[tuple[int, int]]:
     """Surge and dive points: the runs of lines that hold the text."""
     n = len(weights)
-    if declared:
-        full = [i for i in range(n) if weights[i]]
-        return [(full[0], full[-1] + 1)] if full else []
     sums = [sum(weights[i:i + BLOCK]) for i in range(n)]
-    surge = min(SURGE, max(sums, default=0))
-    runs, i = [], 0
+    runs, i, last = [], 0, 0
     while i < n:
         if sums[i] >= surge and weights[i]:
-            dive = i
+            first = dive = i
+            while first > last and weights[first - 1]:
+                first -= 1
             while dive < n and sums[dive]:
                 dive += 1
-            runs.append((i, dive))
-            i = dive
+            runs.append((first, dive))
+            i = last = dive
         i += 1
     return runs
 
@@ -161,12 +236,13 @@ def between(weights: list[int], declared: bool) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    declared = any(inside and not aside for _, _, aside, inside in lines)
-    # links inside a declared article are part of its text
-    weights = [(0 if aside or not inside else len(text)) if declared else weight for text, weight, aside, inside in lines]
-    kept = [lines[i][0] for a, b in between(weights, declared) for i in range(a, b)
-            if (weights[i] if declared else not lines[i][2])]
+    lines = [(text, len(text) + SURGE if inside else weight, inside)
+             for text, weight, aside, inside in lines_of(page) if not aside]
+    largest = max((sum(x[1] for x in lines[i:i + BLOCK]) for i in range(len(lines))), default=0)
+    kept = []
+    for _, stretch in itertools.groupby(lines, key=lambda x: x[2]):
+        part = list(stretch)
+        kept += [part[i][0] for a, b in between([x[1] for x in part], min(SURGE, largest)) for i in range(a, b)]
     return " ".join(kept)
 
 

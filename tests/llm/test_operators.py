@@ -138,6 +138,20 @@ def test_html():
     assert len(text("<article><p>" + "x " * 200_000 + "</p></article>")) == 399_999
 
 
+def test_html_text_beside_declared_articles():
+    text = html_extract.main_text
+    body = "".join(f"<p>{'plain words of the text ' * 6}{i}</p>" for i in range(4))
+    plain = text(f"<div>{body}</div>")
+    cards = "".join(f"<article class=comment><p>{'reader says so ' * 9}{i}</p></article>" for i in range(3))
+    assert plain.endswith("text 3")
+    assert text(f"<div>{body}</div><section id=comments>{cards}</section>") == plain
+    assert text(f"<div>{body}</div><div class=sidebar>{cards.replace(' class=comment', '')}</div>") == plain
+    assert text(f"<article>{body}</article><section>{cards}</section>") == plain
+    assert text(f"<nav><ul><li>Home<article class=has-sidebar>{body}</article>") == plain
+    assert text(f"<form><div class=with-sidebar><article>{body}</article></div></form>") == plain
+    assert text(f"<div>Site</div><article>{body}</article><div>(c) Site</div>") == plain
+
+
 def test_html_query_columns(spark):
     rows = [(None, "u", "<p>a b</p>", 1), (1, None, None, 2), (1, None, None, 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
