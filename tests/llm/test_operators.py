@@ -152,6 +152,21 @@ def test_html_text_beside_declared_articles():
     assert text(f"<div>Site</div><article>{body}</article><div>(c) Site</div>") == plain
 
 
+@pytest.mark.parametrize("element", [
+    "<svg-icon>x</svg-icon>", "<video-player></video-player>", "<title-bar>x</title-bar>", "<select-box/>"])
+def test_html_custom_elements_are_not_hidden(element):
+    got = html_extract.main_text(f"<article><p>one</p>{element}<p>two</p></article>")
+    assert got.replace(" x", "") == "one two"
+
+
+@pytest.mark.parametrize("element", [
+    "<svg viewbox='0 0 1 1'/>", "<math/>", "<p><video src=x></p>", "<div><audio src=x></div>", "<p><canvas>", "<p><object data=x></p>",
+    "<svg><title>t</title><style/><path d=x></svg>", "<video><p>no video</p></video>", "<script>var a = '<p>';</script >",
+    "<select><option>a<option>b</select>", "<p><video/>"])
+def test_html_hidden_elements_end_in_time(element):
+    assert html_extract.main_text(f"<article><p>one</p>{element}<p>two</p></article>") == "one two"
+
+
 def test_html_query_columns(spark):
     rows = [(None, "u", "<p>a b</p>", 1), (1, None, None, 2), (1, None, None, 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
