@@ -167,6 +167,15 @@ def test_html_hidden_elements_end_in_time(element):
     assert html_extract.main_text(f"<article><p>one</p>{element}<p>two</p></article>") == "one two"
 
 
+def test_html_short_paragraphs():
+    text = html_extract.main_text
+    long = "plain words of the text " * 6
+    advert = "<div class=ad><p>Buy</p><p>now</p><p>here</p></div>"
+    got = text(f"<div class=nav><a href=x>Home</a></div><div><h1>Title</h1><p>By N. N.</p><p>Lead.</p><p>And so.</p><p>{long}</p>"
+               f"{advert}<p>It ends.</p><p>Bye.</p></div><div class=footer>c</div>")
+    assert got == f"Title By N. N. Lead. And so. {long}It ends. Bye."
+
+
 def test_html_query_columns(spark):
     rows = [(None, "u", "<p>a b</p>", 1), (1, None, None, 2), (1, None, None, 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
