@@ -1,6 +1,6 @@
 """Training queries over labels joined with documents, checked by rows; and file round trips.
 
-They run the published grids on whole tables with the light model sizes.
+They run the published grids on whole tables with the published model sizes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F, types as T
 
 from sturdytab.learn.models import LIGHT, FittedModel, fit_features, fit_model
-from sturdytab.operators.corrupt import CORRUPTIONS, RATES
+from sturdytab.operators.corrupt import CONDITIONS, CORRUPTIONS, RATES
 from sturdytab.operators.split import group_split, train_test
 from sturdytab.plans import adaptive, experiments as E
 from sturdytab.plans.grid import SINGLE_CONDITIONS
@@ -44,23 +44,23 @@ def _scores_only(df):
 @query("train_clean")
 def train_clean(spark, sf):
     """Five models on the clean training part of a group-aware split."""
-    return _scores_only(E.run_clean(*_split(spark, sf), settings=LIGHT))
+    return _scores_only(E.run_clean(*_split(spark, sf)))
 
 
 @query("train_single_corruptions")
 def train_single_corruptions(spark, sf):
-    """The four corruptions of the reduced grid at 10 %, with drops against the clean scores."""
+    """Every published severity of every corruption under every seed, with drops against the clean scores."""
     train, test = _split(spark, sf)
-    clean = E.run_clean(train, test, LIGHT)
-    results = E.run_single(train, test, E.REDUCED_SINGLE, (42,), LIGHT)
+    clean = E.run_clean(train, test)
+    results = E.run_single(train, test)
     return _scores_only(E.results_with_drops(results, clean))
 
 
 def _family(spark, sf, corruption):
     """Every published severity of one corruption under every seed, five models each, with drops against the clean scores."""
     train, test = _split(spark, sf)
-    clean = E.run_clean(train, test, LIGHT)
-    results = E.run_single(train, test, [c for c in SINGLE_CONDITIONS if c[0] == corruption], E.SEEDS, LIGHT)
+    clean = E.run_clean(train, test)
+    results = E.run_single(train, test, [c for c in SINGLE_CONDITIONS if c[0] == corruption])
     return _scores_only(E.results_with_drops(results, clean))
 
 
@@ -70,22 +70,37 @@ for _kind in CORRUPTIONS:
 
 @query("train_combined_corruptions")
 def train_combined_corruptions(spark, sf):
-    train, test = _split(spark, sf)
-    return _scores_only(E.run_combined(train, test, E.REDUCED_COMBINED, (42,), LIGHT))
+    """Every published combination under every seed."""
+    return _scores_only(E.run_combined(*_split(spark, sf)))
+
+
+def _combination(spark, sf, condition):
+    """One published combination under every seed, five models each."""
+    return _scores_only(E.run_combined(*_split(spark, sf), conditions=(condition,)))
+
+
+for _name in CONDITIONS:
+    query(f"train_combined_{_name}")(partial(_combination, condition=_name))
+
+
+@query("train_reduced_source")
+def train_reduced_source(spark, sf):
+    """A stratified subset of the training rows: clean, four single corruptions and three combinations under every seed."""
+    return _scores_only(E.run_reduced_source(*_split(spark, sf)))
 
 
 @query("train_probe_selection")
 def train_probe_selection(spark, sf):
-    """Cross-validated probes under two impurities and the estimate each model gets."""
-    impurities = [("missing", 0.1), ("label_noise", 0.1)]
-    probes = E.probe_scores(graded_documents(spark, sf), impurities, settings=LIGHT)
+    """Cross-validated probes under all five impurities and the estimate each model gets."""
+    impurities = [*E.REDUCED_SINGLE, ("imbalance", 5.0)]
+    probes = E.probe_scores(graded_documents(spark, sf), impurities)
     return adaptive.wide_profile(adaptive.selection_profile(probes), [c for c, _ in impurities])
 
 
 @query("adaptive_run")
 def adaptive_run(spark, sf):
     """The whole way from the table to the chosen model; the report row without wall times."""
-    result = adaptive.run_adaptive(graded_documents(spark, sf), settings=LIGHT)
+    result = adaptive.run_adaptive(graded_documents(spark, sf))
     return result.report().select(
         "dataset", "target", "selected_model", "estimated_combined_macro_f1", "final_test_metrics.*",
         F.to_json("detected_impurities").alias("detected_impurities"))

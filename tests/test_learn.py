@@ -117,3 +117,53 @@ def test_reduced_source_grid(spark, table):
     out = E.run_reduced_source(table, table, 100, (42,), TINY, ["Decision Tree"])
     assert out.count() == 1 + len(E.REDUCED_SINGLE) + len(E.REDUCED_COMBINED)
     assert out.where("condition = 'clean'").first()["train_rows"] == 100
+
+
+def test_training_queries_run_the_whole_grids(monkeypatch):
+    import inspect
+
+    from sturdytab.learn.models import Settings
+    from sturdytab.operators.corrupt import CONDITIONS, CORRUPTIONS
+    from sturdytab.plans import adaptive, experiments as E
+    from sturdytab.plans.grid import SINGLE_CONDITIONS
+    from sturdytab.queries import learning
+
+    asked = []
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *args, **kw: self
+
+    def record(module, name):
+        signature = inspect.signature(getattr(module, name))
+
+        def call(*args, **kw):
+            bound = signature.bind(*args, **kw)
+            bound.apply_defaults()
+            asked.append((name, bound.arguments))
+            return Frame()
+        monkeypatch.setattr(module, name, call)
+
+    for name in ("run_clean", "run_single", "run_combined", "run_reduced_source", "probe_scores"):
+        record(E, name)
+    record(adaptive, "run_adaptive")
+    for name in ("selection_profile", "wide_profile"):
+        monkeypatch.setattr(adaptive, name, lambda *args: Frame())
+    monkeypatch.setattr(E, "results_with_drops", lambda results, clean: results)
+    monkeypatch.setattr(learning, "_split", lambda spark, sf: ("train", "test"))
+    monkeypatch.setattr(learning, "graded_documents", lambda spark, sf: "table")
+    monkeypatch.setattr(learning, "F", Frame())
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if n.startswith("train_") or n == "adaptive_run"]
+    assert {f"train_combined_{n}" for n in CONDITIONS} | {f"train_{n}" for n in CORRUPTIONS} | {"train_reduced_source"} <= {*names}
+    grids = {}
+    for name in names:
+        asked.clear()
+        entry.queries()[name](None, "")
+        assert asked and all(a["settings"] == Settings() for _, a in asked)
+        assert all(tuple(a["seeds"]) == tuple(E.SEEDS) for _, a in asked if "seeds" in a)
+        grids[name] = dict(asked)
+    assert list(grids["train_single_corruptions"]["run_single"]["conditions"]) == SINGLE_CONDITIONS
+    assert tuple(grids["train_combined_corruptions"]["run_combined"]["conditions"]) == tuple(CONDITIONS)
+    assert {c for c, _ in grids["train_probe_selection"]["probe_scores"]["impurities"]} == set(CORRUPTIONS)
