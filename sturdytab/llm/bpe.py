@@ -38,12 +38,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import bounded_batches, need, no_clash, raw_texts, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, raw_texts, slices, trimmed
 
 CHUNK = 1 << 16  # code points read at once
 LONG = 4096  # code points of a run from which it is streamed
 KEPT = 64  # code points up to which a word's tokens are kept
-CACHED = 200_000  # words
+CACHED = 250_000  # words of a generation, two of which are kept
 BLOCK = 4096  # bytes a stream takes before it looks for tokens to emit
 DECODED = 8192  # tokens decoded at once
 NEVER = 1 << 40
@@ -77,8 +77,7 @@ def spans_of(points: list[int]) -> str:
 
 def patterns(odd: list[int]) -> dict[str, str]:
     """The splitting pattern and, per kind of run, what continues it."""
-    off = f"--[{spans_of(odd)}]" if odd else ""
-    letter, number = f"[{LETTERS}{off}]", f"[{NUMBERS}{off}]"
+    letter, number = [f"[{kind}--[{spans_of(odd)}]]" if odd else kind for kind in (LETTERS, NUMBERS)]
     other = rf"[^\s{letter}{number}]"
     full = PATTERN.replace("[^\\s{L}{N}]", other).replace("{L}", letter).replace("{N}", number)
     return {"words": "(?V1)" + full, "letter": f"(?V1){letter}*", "number": f"(?V1){number}*", "other": f"(?V1){other}*",
@@ -176,7 +175,7 @@ def load_tokenizer(path: str) -> dict:
 
 
 class Transducer(dict):
-    """Tokens of words: a dictionary that fills itself. Long words are not kept."""
+    """Tokens of words: a dictionary that fills itself. Long words are not kept, and of the others those used of late."""
 
     def __init__(self, tables: dict):
         super().__init__()
@@ -185,35 +184,37 @@ class Transducer(dict):
         self.size = {t: len(tables["tokens"][t]) for t in tables["reached"]}
         ends: dict[bytes, set] = {}
         for b in self.ids:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self.lengths = {b: sorted(n) for b, n in ends.items()}  # lengths of the tokens that end so
+            if len(b) > 2:
+                ends.setdefault(b[-3:], set()).add(len(b))
+        self.lengths = {b: sorted(n, reverse=True) for b, n in ends.items()}  # lengths of the tokens that end so
         self.safe = tables["lookahead"] + max(self.size.values())
         self.goes: dict[tuple, bool] = {}
+        self.before: dict[str, tuple] = {}  # the generation before
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.goes.get((a, b))
-        if known is None:
-            if len(self.goes) > CACHED:
-                self.goes.clear()
-            known = self.goes[(a, b)] = self.merges.crossed(a, b) is None
+        if len(self.goes) > CACHED:
+            self.goes.clear()
+        known = self.goes[(a, b)] = self.merges.crossed(a, b) is None
         return known
 
     def last_tokens(self, data: bytes, last: list, start: int) -> None:
         """Go on with `last` (the last token of each prefix, None for the empty one) from `start` bytes to all of `data`."""
-        ids, by_end = self.ids, self.lengths
+        ids, by_end, goes = self.ids.get, self.lengths.get, self.goes.get
         for end in range(start + 1, len(data) + 1):
-            lengths = by_end.get(data[end - 2:end], ()) if end > 1 else ()
-            found = None
             # a single byte is always a token; it ends a prefix only if no longer one does
-            for n in reversed(lengths):
+            for n in (*by_end(data[end - 3:end], ()), 2) if end > 2 else (2,):
                 if n <= end:
-                    t = ids.get(data[end - n:end])
-                    if t is not None and (last[end - n] is None or self.compatible(last[end - n], t)):
-                        found = t
-                        break
-            if found is None:
-                found = ids[data[end - 1:end]]
-            last.append(found)
+                    t = ids(data[end - n:end])
+                    if t is not None:
+                        front = last[end - n]
+                        if front is None:
+                            break
+                        known = goes((front, t))
+                        if known or known is None and self.compatible(front, t):
+                            break
+            else:
+                t = ids(data[end - 1:end])
+            last.append(t)
 
     def back(self, last: list, end: int) -> list[int]:
         out = []
@@ -222,16 +223,25 @@ class Transducer(dict):
             end -= self.size[last[end]]
         return out[::-1]
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(word) > KEPT:
-            stream = Stream(self)
-            return [*stream.feed(word.encode()), *stream.finish()]
-        data, last = word.encode(), [None]
-        self.last_tokens(data, last, 0)
-        found = self.back(last, len(data))
+    def __missing__(self, word: str) -> tuple:
+        found = self.before.get(word)
+        if found is None:
+            data = word.encode()
+            if len(word) > KEPT:
+                stream = Stream(self)
+                return (*stream.feed(data), *stream.finish())
+            last: list = [None]
+            self.last_tokens(data, last, 0)
+            found = tuple(self.back(last, len(data)))
         self[word] = found
         return found
 
+    def trim(self) -> None:
+        """Words not asked for since the last time but one go."""
+        if len(self) > CACHED:
+            self.before = dict(self)
+            self.clear()
+
 
 class Stream:
     """One word, fed in parts of any size; holds no more than the lookahead, a longest token and a block."""
@@ -337,8 +347,7 @@ class Splitter:
 
     def look_up(self, words: list[str], out: list[int]) -> None:
         out.extend(chain.from_iterable(map(self.words.__getitem__, words)))
-        if len(self.words) > CACHED:
-            self.words.clear()
+        self.words.trim()
 
 
 class TextDecoder:
@@ -365,7 +374,10 @@ def encode(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # the vocabulary's own size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(Transducer(shared.value), shared.value)
+        tables = shared.value
+        if "transducer" not in tables:  # kept with a worker's copy of the tables, so its later tasks find its words
+            tables["transducer"] = Transducer(tables)
+        splitter = Splitter(tables["transducer"], tables)
 
         def ids_of(text: str) -> bytes:
             parts = [np.array(splitter.feed(text[i:i + CHUNK], i + CHUNK >= len(text)), "<u4").tobytes()
@@ -384,7 +396,7 @@ def encode(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str
                                              names=["row", "ids", "n_tokens"])
 
     rows = docs.select(F.struct(F.col(id_col), *(F.col(c) for c in carry)).alias("row"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}, "
+    out = rows.mapInArrow(trimmed(run), f"row {rows.schema['row'].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}, "
                                "n_tokens bigint")
     return out.select(F.col("row").getField(id_col).alias(id_col), "ids", "n_tokens",
                       *(F.col("row").getField(c).alias(c) for c in carry))

@@ -123,7 +123,7 @@ def test_joined_tokens_split_as_the_library_does(tables, library):
     letters = [b.decode() for b in tables["tokens"].values() if b.isascii() and b.isalpha()]
     for _ in range(3000):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(1, 12)))
-        assert words[text] == library.encode(text, add_special_tokens=False).ids
+        assert list(words[text]) == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["a" * 30_000, " " * 20_001 + "x", "x " + "\n " * 6000 + "<|endoftext|>" + " " * 5000, "-=" * 9000,
