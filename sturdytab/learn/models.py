@@ -1,4 +1,5 @@
-"""The five classifiers as spark.ml estimators, and the feature stages in front of them."""
+"""The five classifiers and the feature stages in front of them. Trees, forests and boosting are those of `trees`, the others
+spark.ml estimators."""
 
 from __future__ import annotations
 
@@ -6,13 +7,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sturdytab.learn.rbf import FourierFeatures
+from sturdytab.learn.trees import fit_trees
 from sturdytab.operators.meta import distinct_counts
 from sturdytab.operators.prep import class_list, fit_prep
 from sturdytab.operators.sampling import by_class
@@ -21,24 +21,27 @@ from sturdytab.table import LabelledTable
 # The model list; its order decides ties.
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "SVM", "XGBoost")
 CODE, FEATURES, FOURIER, PREDICTION = "label_code", "model_features", "fourier_features", "predicted_code"
+RAW = "column_values"  # numeric columns and category indices, for trees
+TREES = {"Decision Tree": "tree", "Random Forest": "forest", "XGBoost": "boosted"}
+PARTITION_ROWS = 50_000  # prepared rows a partition holds: small tables are fitted without any exchange
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Model sizes; the defaults are the published ones. Depth 30 is the most Spark allows."""
+    """Model sizes; the defaults are the published ones. Trees without a `tree_depth` grow until their leaves are pure."""
 
     iterations: int = 2000
     svm_iterations: int = 100
     trees: int = 200
-    tree_depth: int = 30
+    tree_depth: int | None = None
     rounds: int = 200
     round_depth: int = 6
     leaf_rows: int = 1  # rows a leaf needs at least, whatever the size of the table
     fourier: int = 256
     categories: int = 100_000  # values a text feature may have; one with more is refused, by exact count
     seed: int = 42
-    parallelism: int = 4  # models fitted side by side
-    cells: int = 2  # grid cells run side by side, each with its own cached training table
+    parallelism: int = 5  # models fitted side by side
+    cells: int = 8  # grid cells run side by side, each with its own cached training table
 
 
 # Smaller models for trial runs over whole tables.
@@ -49,30 +52,16 @@ LIGHT = Settings(iterations=100, svm_iterations=20, trees=20, tree_depth=10, rou
 def estimator(name: str, classes: int, rows: int, settings: Settings):
     """A spark.ml classifier by model name."""
     columns = {"featuresCol": FEATURES, "labelCol": CODE, "predictionCol": PREDICTION}
-    leaf = settings.leaf_rows
     if name == "Logistic Regression":
         # regParam 1/n gives the objective of C = 1
         return LogisticRegression(
             **columns, maxIter=settings.iterations, regParam=1.0 / max(rows, 1), elasticNetParam=0.0,
             standardization=False, family="multinomial")
-    if name == "Decision Tree":
-        return DecisionTreeClassifier(
-            **columns, maxDepth=settings.tree_depth, minInstancesPerNode=leaf, seed=settings.seed)
-    if name == "Random Forest":
-        return RandomForestClassifier(
-            **columns, numTrees=settings.trees, maxDepth=settings.tree_depth, minInstancesPerNode=leaf,
-            featureSubsetStrategy="sqrt", seed=settings.seed)
     if name == "SVM":
         columns["featuresCol"] = FOURIER
         svc = LinearSVC(**columns, maxIter=settings.svm_iterations, regParam=1.0 / max(rows, 1),
                         standardization=False)
         return svc if classes <= 2 else OneVsRest(**columns, classifier=svc, parallelism=settings.parallelism)
-    if name == "XGBoost":
-        boosted = GBTClassifier(
-            **columns, maxIter=settings.rounds, maxDepth=settings.round_depth, stepSize=0.1, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=settings.seed)
-        return boosted if classes <= 2 else OneVsRest(
-            **columns, classifier=boosted, parallelism=settings.parallelism)
     raise ValueError(f"unknown model: {name}")
 
 
@@ -85,6 +74,8 @@ class FittedFeatures:
     target: str
     rows: int
     kind: str  # type of the labels
+    numeric: int  # numeric columns in front of the category indices
+    sizes: list[int]  # categories of each text column
 
     def code(self, df: DataFrame) -> DataFrame:
         return by_class(df, self.target, {c: (float(i),) for i, c in enumerate(self.classes)}, [CODE], ["double"])
@@ -92,7 +83,11 @@ class FittedFeatures:
     def prepared(self, df: DataFrame) -> DataFrame:
         """Coded rows with feature vectors, nothing else."""
         out = self.stages.transform(self.code(df))
-        return out.select(CODE, FEATURES, FOURIER)
+        return out.select(CODE, FEATURES, FOURIER, RAW)
+
+    def packed(self, df: DataFrame, rows: int) -> DataFrame:
+        """The same in as few partitions as the rows need."""
+        return self.prepared(df).coalesce(max(1, -(-rows // PARTITION_ROWS)))
 
 
 def fit_features(table: LabelledTable, settings: Settings, classes: list | None = None) -> FittedFeatures:
@@ -120,6 +115,8 @@ def fit_features(table: LabelledTable, settings: Settings, classes: list | None
     if texts:
         indexer = next(s for s in fitted.stages if s.hasParam("stringOrderType"))
         sizes = [len(labels) for labels in indexer.labelsArray]
+    raw = ", ".join([*numeric, *(f"double({i})" for i in index)])
+    values = SQLTransformer(statement=f"SELECT *, array({raw}) AS {RAW} FROM __THIS__")
     width = len(numeric) + sum(sizes)
     # variance of all cells of the encoded matrix: scaled numerics have variance 1, each row one 1 per category column
     live = sum(1 for c in prep.numeric if prep.deviations[c])
@@ -128,9 +125,10 @@ def fit_features(table: LabelledTable, settings: Settings, classes: list | None
         inputCols=["numbers" if numeric else FEATURES, *index], outputCol=FOURIER, numericWidth=len(numeric),
         sizes=sizes, outputs=settings.fourier, gamma=1.0 / (width * variance) if variance > 0 else 1.0,
         seed=settings.seed)
-    stages = PipelineModel(stages=[*fitted.stages, fourier])
+    stages = PipelineModel(stages=[*fitted.stages, values, fourier])
     known = classes if classes is not None else class_list(table.df, table.target)
-    return FittedFeatures(stages, known, table.target, table.rows(), table.type_of(table.target).simpleString())
+    return FittedFeatures(stages, known, table.target, table.rows(), table.type_of(table.target).simpleString(),
+                          len(numeric), sizes)
 
 
 @dataclass
@@ -170,7 +168,13 @@ class FittedModel:
 def fit_model(name: str, features: FittedFeatures, prepared: DataFrame, settings: Settings) -> FittedModel:
     """Fit one classifier on prepared training rows."""
     start = time.monotonic()
-    model = estimator(name, len(features.classes), features.rows, settings).fit(prepared)
+    if name in TREES:
+        kind = TREES[name]
+        size, depth = (settings.rounds, settings.round_depth) if kind == "boosted" else (settings.trees, settings.tree_depth)
+        model = fit_trees(kind, prepared, CODE, RAW, features.numeric, features.sizes, len(features.classes), features.rows,
+                          size, depth, settings.seed, PREDICTION, settings.leaf_rows)
+    else:
+        model = estimator(name, len(features.classes), features.rows, settings).fit(prepared)
     seconds = time.monotonic() - start
     return FittedModel(name, PipelineModel(stages=[*features.stages.stages, model]), features.classes,
                        features.target, features.kind, seconds)

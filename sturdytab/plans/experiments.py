@@ -2,6 +2,9 @@
 
 A corrupted training table is prepared once, cached, and shared by all models; the models of one condition are
 fitted side by side from a few driver threads. Only score rows come back to the driver.
+
+A grid may keep a journal, a folder of its own: each cell's rows are written there when the cell is done, and a later run of the same
+grid takes finished cells from it and runs the others. A cell with an error is not finished.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sturdytab.learn.models import CODE, MODELS, PREDICTION, FittedModel, Settings, fit_features, fit_model
@@ -18,7 +22,7 @@ from sturdytab.operators.profile import with_clean_scores, with_drops
 from sturdytab.operators.split import stratified_folds, stratified_subset
 from sturdytab.plans.grid import SINGLE_CONDITIONS
 from sturdytab.session import shared_folder
-from sturdytab.table import LabelledTable, class_counts
+from sturdytab.table import LabelledTable, class_counts, known_target
 
 # Seeds and the reduced grid of the published experiments.
 SEEDS = (42, 123, 2026)
@@ -43,11 +47,12 @@ def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, mod
     spark = train.df.sparkSession
     shared_folder(spark)  # boosting cuts its lineage there
     features = fit_features(train, settings, classes)
-    unknown = set(c for c in class_counts(test, train.target) if c is not None) - set(features.classes)
+    counts = class_counts(test, train.target)
+    unknown = set(c for c in counts if c is not None) - set(features.classes)
     if unknown:
         raise ValueError(f"labels not seen in training: {sorted(unknown)}")
-    prepared = features.prepared(train.df).persist()
-    held = features.prepared(test).persist()
+    prepared = features.packed(train.df, features.rows).persist()
+    held = features.packed(test, sum(counts.values())).persist()
 
     def one(name):
         try:
@@ -74,31 +79,57 @@ def _frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(row.get(c) for c in columns) for row in rows], RESULT_SCHEMA)
 
 
-def _grid(train, test, conditions, settings, models, failures):
+def _finished(spark: SparkSession, journal: str | None, dataset: str, models) -> dict[tuple, list[dict]]:
+    """Journal rows of each (seed, condition) whose models all have scores; at most one row per fit of the grid."""
+    if journal is None:
+        return {}
+    try:
+        rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{journal}/*").where(F.col("dataset") == dataset).collect()
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    cells: dict[tuple, list[dict]] = {}
+    for row in rows:
+        cells.setdefault((row["seed"], row["condition"]), []).append(row.asDict())
+    return {key: [r for r in got if r["model"] in models] for key, got in cells.items()
+            if set(models) <= {r["model"] for r in got if r["error"] is None}}
+
+
+def _grid(train, test, conditions, settings, models, failures, journal=None):
     """conditions: (seed, condition, corruption, severity, callable giving the training table).
 
-    A model that failed keeps its row: no scores, and the reason in `error`.
+    A model that failed keeps its row: no scores, and the reason in `error`. So do all models of a cell whose table failed.
     """
     spark = train.df.sparkSession
     classes = sorted(c for c in class_counts(train.df, train.target) if c is not None)
+    finished = _finished(spark, journal, train.name, models)
 
     def cell(item):
         seed, condition, corruption, severity, make = item
         errors: list = []
-        got, _ = fit_and_score(make(), test.df, settings, models, classes, errors)
+        try:
+            got, _ = fit_and_score(make(), test.df, settings, models, classes, errors)
+        except Exception as error:  # the other cells of the grid still count
+            got, errors = [], [(name, f"{type(error).__name__}: {error}".splitlines()[0]) for name in models]
         got += [{"model": name, "error": error} for name, error in errors]
-        return [{"dataset": train.name, "seed": seed, "condition": condition, "corruption": corruption,
-                 "severity": severity, **row} for row in got], [(condition, name, error) for name, error in errors]
-
-    done = _side_by_side(spark, settings.cells, cell, conditions)
+        rows = [{"dataset": train.name, "seed": seed, "condition": condition, "corruption": corruption,
+                 "severity": severity, **row} for row in got]
+        if journal is not None:
+            _frame(spark, rows).coalesce(1).write.mode("overwrite").parquet(f"{journal}/{train.name}-{seed}-{condition}")
+        return rows, [(condition, name, error) for name, error in errors]
+
+    open_cells = [c for c in conditions if (c[0], c[1]) not in finished]
+    done = _side_by_side(spark, settings.cells, cell, open_cells) if open_cells else []
     if failures is not None:
         failures += [f for _, errors in done for f in errors]
-    return _frame(spark, [row for rows, _ in done for row in rows])
+    known = [row for c in conditions for row in finished.get((c[0], c[1]), [])]
+    return _frame(spark, known + [row for rows, _ in done for row in rows])
 
 
 def run_clean(train: LabelledTable, test: LabelledTable, settings: Settings = Settings(), models=MODELS,
-              failures: list | None = None) -> DataFrame:
-    return _grid(train, test, [(None, "clean", None, None, lambda: train)], settings, models, failures)
+              failures: list | None = None, journal: str | None = None) -> DataFrame:
+    return _grid(train, test, [(None, "clean", None, None, lambda: train)], settings, models, failures, journal)
 
 
 def condition_label(corruption: str, severity: float) -> str:
@@ -106,23 +137,25 @@ def condition_label(corruption: str, severity: float) -> str:
 
 
 def run_single(train: LabelledTable, test: LabelledTable, conditions=SINGLE_CONDITIONS, seeds=SEEDS,
-               settings: Settings = Settings(), models=MODELS, failures: list | None = None) -> DataFrame:
+               settings: Settings = Settings(), models=MODELS, failures: list | None = None,
+               journal: str | None = None) -> DataFrame:
     """Every (corruption, severity) under every seed; the split stays fixed."""
     base = keyed(train)
     return _grid(base, test, [
         (seed, condition_label(c, s), c, float(s),
          lambda c=c, s=s, seed=seed: corrupt(base, c, s, seed, EXPERIMENT))
         for seed in seeds for c, s in conditions
-    ], settings, models, failures)
+    ], settings, models, failures, journal)
 
 
 def run_combined(train: LabelledTable, test: LabelledTable, conditions=tuple(CONDITIONS), seeds=SEEDS,
-                 settings: Settings = Settings(), models=MODELS, failures: list | None = None) -> DataFrame:
+                 settings: Settings = Settings(), models=MODELS, failures: list | None = None,
+                 journal: str | None = None) -> DataFrame:
     base = keyed(train)
     return _grid(base, test, [
         (seed, name, None, None, lambda name=name, seed=seed: corrupt_combined(base, name, seed, EXPERIMENT))
         for seed in seeds for name in conditions
-    ], settings, models, failures)
+    ], settings, models, failures, journal)
 
 
 def results_with_drops(results: DataFrame, clean: DataFrame) -> DataFrame:
@@ -130,13 +163,19 @@ def results_with_drops(results: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def run_reduced_source(train: LabelledTable, test: LabelledTable, size: int = SUBSET_ROWS, seeds=SEEDS,
-                       settings: Settings = Settings(), models=MODELS) -> DataFrame:
-    """A stratified subset of the training rows, clean, under four single corruptions and three combinations."""
-    subset = stratified_subset(train, size)
+                       settings: Settings = Settings(), models=MODELS, journal: str | None = None) -> DataFrame:
+    """A stratified subset of the training rows, clean, under four single corruptions and three combinations.
+
+    A training part of no more than `size` labelled rows is taken whole; `train_rows` tells how many there were.
+    """
+    labelled = known_target(train.df, train.target)
+    rows = labelled.count()
+    subset = stratified_subset(train, size) if rows > size else train.with_df(labelled, rows)
+    shared = {"settings": settings, "models": models, "journal": journal}
     return (
-        run_clean(subset, test, settings, models)
-        .unionByName(run_single(subset, test, REDUCED_SINGLE, seeds, settings, models))
-        .unionByName(run_combined(subset, test, REDUCED_COMBINED, seeds, settings, models))
+        run_clean(subset, test, **shared)
+        .unionByName(run_single(subset, test, REDUCED_SINGLE, seeds, **shared))
+        .unionByName(run_combined(subset, test, REDUCED_COMBINED, seeds, **shared))
     )
 
 

@@ -47,15 +47,6 @@ def train_clean(spark, sf):
     return _scores_only(E.run_clean(*_split(spark, sf)))
 
 
-@query("train_single_corruptions")
-def train_single_corruptions(spark, sf):
-    """Every published severity of every corruption under every seed, with drops against the clean scores."""
-    train, test = _split(spark, sf)
-    clean = E.run_clean(train, test)
-    results = E.run_single(train, test)
-    return _scores_only(E.results_with_drops(results, clean))
-
-
 def _family(spark, sf, corruption):
     """Every published severity of one corruption under every seed, five models each, with drops against the clean scores."""
     train, test = _split(spark, sf)
@@ -68,12 +59,6 @@ for _kind in CORRUPTIONS:
     query(f"train_{_kind}")(partial(_family, corruption=_kind))
 
 
-@query("train_combined_corruptions")
-def train_combined_corruptions(spark, sf):
-    """Every published combination under every seed."""
-    return _scores_only(E.run_combined(*_split(spark, sf)))
-
-
 def _combination(spark, sf, condition):
     """One published combination under every seed, five models each."""
     return _scores_only(E.run_combined(*_split(spark, sf), conditions=(condition,)))

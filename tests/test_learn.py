@@ -164,6 +164,7 @@ def test_training_queries_run_the_whole_grids(monkeypatch):
         assert asked and all(a["settings"] == Settings() for _, a in asked)
         assert all(tuple(a["seeds"]) == tuple(E.SEEDS) for _, a in asked if "seeds" in a)
         grids[name] = dict(asked)
-    assert list(grids["train_single_corruptions"]["run_single"]["conditions"]) == SINGLE_CONDITIONS
-    assert tuple(grids["train_combined_corruptions"]["run_combined"]["conditions"]) == tuple(CONDITIONS)
+    singles = [c for k in CORRUPTIONS for c in grids[f"train_{k}"]["run_single"]["conditions"]]
+    assert sorted(singles) == sorted(SINGLE_CONDITIONS)
+    assert [grids[f"train_combined_{n}"]["run_combined"]["conditions"] for n in CONDITIONS] == [(n,) for n in CONDITIONS]
     assert {c for c, _ in grids["train_probe_selection"]["probe_scores"]["impurities"]} == set(CORRUPTIONS)
