@@ -1,6 +1,6 @@
 """Training queries over labels joined with documents, checked by rows; and file round trips.
 
-They run the published grids on whole tables with the published model sizes.
+They run the published grids on whole tables with the published model sizes; README gives their times.
 """
 
 from __future__ import annotations
