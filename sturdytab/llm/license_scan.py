@@ -6,9 +6,13 @@ up to `SHORT` words, where a number or a letter is all that tells licenses apart
 allows d is cut into d + 1 pieces, one of which any such wording holds unchanged; around each piece found, the words that
 the template fits into are aligned with it.
 
-Each confirmed wording is compressed with zstandard, once plainly and once with its template as a raw dictionary. Wordings
-that overlap are ranked by the bytes saved, then by fewer differences; the best one stands, and all that do not overlap with
-it are told as well. The sign of the saving drops nothing. A license is told once a line.
+Such a stretch of words is a candidate block. Each block is compressed with zstandard, once plainly and once with every template
+as a raw dictionary; the bytes saved rank the templates, whatever the sign. From the top, a template is confirmed if the block's
+exact wording differs from it in no more than it allows; the first one confirmed is the block's license. Blocks compete in turn:
+the winner that saves most stands with the words it covers, a block that it overlaps is judged again without these words, and
+so on until no block holds a confirmed template. So every notice is told, also several in one line.
+
+An SPDX line may hold an expression (`MIT OR (Apache-2.0 AND ISC)`): each of its identifiers after the first is a block of its own.
 
 A null or empty text has no license. Null ids and repeated rows are rows like any other. An empty table, or none with a
 license, gives an empty result. Other columns are ignored.
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,8 +37,12 @@ from sturdytab.llm.common import bounded_batches, need, slices
 SHORT = 16
 SLACK = 0.1
 REMEMBERED = 20_000
+LEVEL = 3
 
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+SPDX = "SPDX-License-Identifier:"
+EXPRESSION = re.compile(rf"{SPDX}[ \t]*\(*[\w.+-]+\)*((?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[\w.+-]+\)*)+)", re.I)
+OPERAND = re.compile(r"(OR|AND|WITH)[ \t]+\(*([\w.+-]+)", re.I)
 
 # License notices and texts by SPDX identifier, short statements first.
 STATEMENTS = {
@@ -42,18 +52,25 @@ STATEMENTS = {
                    "Released under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
-                "SPDX-License-Identifier: GPL-3.0-or-later", "GNU General Public License version 3"],
+                "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0",
+                "GNU General Public License version 3", "GNU General Public License v3.0"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
                 "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only",
-                "SPDX-License-Identifier: GPL-2.0-or-later", "GNU General Public License version 2"],
+                "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0",
+                "GNU General Public License version 2", "GNU General Public License v2.0"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.",
-                 "SPDX-License-Identifier: LGPL-3.0-only"],
+                 "GNU Lesser General Public License version 3", "SPDX-License-Identifier: LGPL-3.0-only",
+                 "SPDX-License-Identifier: LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.",
-                 "SPDX-License-Identifier: AGPL-3.0-only"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+                 "GNU Affero General Public License version 3", "SPDX-License-Identifier: AGPL-3.0-only",
+                 "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "Mozilla Public License 2.0",
+                "Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "BSD 2-Clause License",
+                     "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "BSD 3-Clause License",
+                     "SPDX-License-Identifier: BSD-3-Clause"],
+    "ISC": ["Licensed under the ISC License.", "ISC License", "SPDX-License-Identifier: ISC"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 "
                   "International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons "
@@ -130,10 +147,12 @@ class Judge:
 
     def __init__(self):
         self.named = [(name, words_of(text)) for name, text in templates()]
-        plain = [text.lower().encode() for _, text in templates()]
-        self.level = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.primed = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-            x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in plain]
+        self.level = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.primed = []
+        for _, text in templates():
+            words = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=LEVEL)
+            self.primed.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=words))
         self.allowed = [0 if len(words) <= SHORT else int(SLACK * len(words)) for _, words in self.named]
         self.pieces: dict[str, list[tuple[int, int]]] = {}  # piece: templates, and the piece's place in each
         for k, (_, words) in enumerate(self.named):
@@ -141,6 +160,7 @@ class Judge:
             for x, y in zip(cuts, cuts[1:], strict=False):
                 self.pieces.setdefault(f" {' '.join(words[x:y])} ", []).append((k, x))
         self.seen: dict[tuple[int, str], tuple[int, int, list[str]] | None] = {}
+        self.ranks: dict[bytes, list[tuple[int, int, float]]] = {}
 
     def aligned(self, k: int, words: list[str]) -> tuple[int, int, list[str]] | None:
         """(first word, word after, wording differences) of template `k` among the words, if confirmed."""
@@ -155,9 +175,32 @@ class Judge:
             self.seen[asked] = (same[0].b, same[-1].b + same[-1].size, differ) if confirmed else None
         return self.seen[asked]
 
-    def found(self, text: str) -> list[tuple[str, int, int, float, list[str]]]:
-        """(license, first line, line after, share of the compressed size saved, wording differences), by place."""
-        line = f" {' '.join(WORD.findall(text)).lower()} "
+    def ranked(self, block: bytes) -> list[tuple[int, int, float]]:
+        """(bytes saved, template, share saved) of every template, best first."""
+        if block not in self.ranks:
+            if len(self.ranks) > REMEMBERED // len(self.primed):
+                self.ranks.clear()
+            alone = len(self.level.compress(block))
+            sizes = [len(x.compress(block)) for x in self.primed]
+            self.ranks[block] = sorted(((alone - n, k, 1 - n / alone) for k, n in enumerate(sizes)), key=lambda x: (-x[0], x[1]))
+        return self.ranks[block]
+
+    def winner(self, raw: str, words: list[str], may: set[int] | None = None):
+        """(-bytes saved, number of differences, -words, template, share saved, first word, word after, differences) of the
+        template that saves most of those confirmed, equal savings by the wording. Only templates that `may` can be confirmed."""
+        best = None
+        for saved, k, share in self.ranked(raw.lower().encode()):
+            if best and -saved > best[0]:
+                break
+            one = self.aligned(k, words) if may is None or k in may else None
+            if one:
+                got = (-saved, len(one[2]), -len(self.named[k][1]), k, share, *one)
+                best = got if best is None or got[:4] < best[:4] else best
+        return best
+
+    def blocks(self, words: list[str]) -> dict[tuple[int, int], set[int]]:
+        """(first word, word after) of the candidate blocks, and the templates of which one holds a piece there."""
+        line = f" {' '.join(words)} "
         hits = []
         for piece, users in self.pieces.items():
             at = line.find(piece)
@@ -165,54 +208,79 @@ class Judge:
                 hits.append((at, users))
                 at = line.find(piece, at + 1)
         if not hits:
-            return []
-        words = line.split()
+            return {}
         starts = [m.start() for m in re.finditer(" ", line)]
-        places = set()
+        found: dict[tuple[int, int], set[int]] = {}
         for at, users in hits:
             first = bisect.bisect_left(starts, at)
             for k, offset in users:
                 slack = self.allowed[k]
                 low, high = max(0, first - offset - slack), first - offset + len(self.named[k][1]) + slack
-                one = self.aligned(k, words[low:high])
-                if one:
-                    places.add((k, low + one[0], low + one[1], tuple(one[2])))
-        spans = [m.span() for m in WORD.finditer(text)] if places else []
-        ranked = []
-        for k, a, b, differ in places:
-            raw = text[spans[a][0]:spans[b - 1][1]].lower().encode()
-            alone, primed = len(self.level.compress(raw)), len(self.primed[k].compress(raw))
-            ranked.append((primed - alone, len(differ), -len(self.named[k][1]), a, b, k, 1 - primed / alone, differ))
-        breaks = [m.start() for m in re.finditer("\n", text)] if places else []
-        taken, told, out = [], set(), []
-        for _, _, _, a, b, k, share, differ in sorted(ranked):
+                found.setdefault((low, min(high, len(words))), set()).add(k)
+        return found
+
+    def found(self, text: str) -> list[tuple[str, int, int, int, int, float, list[str]]]:
+        """(license, first line, line after, first character, character after, share of the compressed size saved, wording
+        differences), by place."""
+        words = words_of(text)
+        blocks = self.blocks(words)
+        if not blocks:
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]
+        queue = []
+
+        def judge(low: int, high: int, may: set[int]) -> None:
+            one = self.winner(text[spans[low][0]:spans[high - 1][1]], words[low:high], may) if low < high else None
+            if one:
+                heapq.heappush(queue, (one[:3], low + one[5], low + one[6], one[3], one[4], one[7], low, high, may))
+
+        for (low, high), may in blocks.items():
+            judge(low, high, may)
+        taken, told = [], self.operands(text)
+        while queue:
+            _, a, b, k, share, differ, low, high, may = heapq.heappop(queue)
             i = bisect.bisect_left(taken, (a, b))
-            if i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b:
-                continue
-            taken.insert(i, (a, b))
-            name = self.named[k][0]
-            top, end = bisect.bisect_left(breaks, spans[a][0]), bisect.bisect_left(breaks, spans[b - 1][0]) + 1
-            if not any((name, i) in told for i in range(top, end)):
-                told.update((name, i) for i in range(top, end))
-                out.append((name, top, end, share, list(differ)))
-        return sorted(out, key=lambda x: x[1:3])
+            if not (i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b):
+                taken.insert(i, (a, b))
+                told.append((self.named[k][0], spans[a][0], spans[b - 1][1], share, differ))
+            # the words of the block that nobody has taken are blocks anew
+            i = bisect.bisect_left(taken, (low, low))
+            i -= bool(i and taken[i - 1][1] > low)
+            at = low
+            for x, y in [*itertools.takewhile(lambda t, end=high: t[0] < end, itertools.islice(taken, i, i + high - low)), (high, high)]:
+                judge(at, x, may)
+                at = y
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        return sorted(((name, bisect.bisect_left(breaks, a), bisect.bisect_left(breaks, b - 1) + 1, a, b, share, differ)
+                       for name, a, b, share, differ in told), key=lambda x: (x[3], x[4], x[0]))
+
+    def operands(self, text: str) -> list[tuple[str, int, int, float, list[str]]]:
+        """(license, first character, character after, share saved, differences) of the further identifiers of SPDX expressions."""
+        out = []
+        for m in EXPRESSION.finditer(text):
+            for x in OPERAND.finditer(text, m.start(1), m.end(1)):
+                block = f"{SPDX} {x[2].removesuffix('+')}"
+                one = self.winner(block, words_of(block)) if x[1].upper() != "WITH" else None
+                if one:
+                    out.append((self.named[one[3]][0], x.start(2), x.end(2), one[4], one[7]))
+        return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per found license text: id, license, first_line, after_line, saved (share of the compressed size that
-    its template saves), n_differences, differences."""
+    """One row per notice: id, license, first_line, after_line, first_char, after_char, saved (share of the compressed size
+    of its block that its template saves), n_differences, differences."""
     need(docs, id_col, text_col)
     bounded_batches(docs.sparkSession)
-    names = ["key", "license", "first_line", "after_line", "saved", "n_differences", "differences"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.string())]
+    names = ["key", "license", "first_line", "after_line", "first_char", "after_char", "saved", "n_differences", "differences"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge()
         for batch in slices(batches, "text"):
             rows, at = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                for name, first, after, share, differ in judge.found(text) if text else ():
-                    rows.append((name, first, after, share, len(differ), differ))
+                for *found, differ in judge.found(text) if text else ():
+                    rows.append((*found, len(differ), differ))
                     at.append(k)
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64()))]
@@ -220,5 +288,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     out = keyed.mapInArrow(run, f"key {keyed.schema['key'].dataType.simpleString()}, license string, first_line int, "
-                                "after_line int, saved double, n_differences int, differences array<string>")
+                                "after_line int, first_char int, after_char int, saved double, n_differences int, differences array<string>")
     return out.withColumnRenamed("key", id_col)
