@@ -247,7 +247,8 @@ class Judge:
             i = bisect.bisect_left(taken, (low, low))
             i -= bool(i and taken[i - 1][1] > low)
             at = low
-            for x, y in [*itertools.takewhile(lambda t, end=high: t[0] < end, itertools.islice(taken, i, i + high - low)), (high, high)]:
+            near = itertools.islice(taken, i, i + high - low)
+            for x, y in [*itertools.takewhile(lambda t, end=high: t[0] < end, near), (high, high)]:
                 judge(at, x, may)
                 at = y
         breaks = [m.start() for m in re.finditer("\n", text)]

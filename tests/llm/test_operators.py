@@ -176,6 +176,38 @@ def test_html_short_paragraphs():
     assert got == f"Title By N. N. Lead. And so. {long}It ends. Bye."
 
 
+@pytest.mark.parametrize("start, end", [("<form id=aspnetForm>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"),
+                                        ("<form id=f><div class='page with-nav'>", "</div></form>")])
+def test_html_wrappers_around_a_page(start, end):
+    text = html_extract.main_text
+    body = "".join(f"<p>{'plain words of the text ' * 6}{i}</p>" for i in range(3))
+    parts = "<nav><a href=x>Home</a></nav>", "<div class=sidebar>More</div><footer>legal notes of the owner</footer>"
+    want = text(f"<div>{body}</div>")
+    assert text(f"<body>{start}{parts[0]}<div>{body}</div>{parts[1]}{end}</body>") == want
+    assert text(f"<body>{start}{parts[0]}<div><p>short</p></div>{parts[1]}{end}</body>") == "short"
+    # text outside leaves wrappers what they are
+    assert text(f"<body><div>{body}</div>{start}<p>{'something else here ' * 9}</p>{end}</body>") == want
+
+
+def test_html_forms_stay_furniture():
+    text = html_extract.main_text
+    assert text("<body><form id=login><p>Name and word</p><button>Go</button></form></body>") == ""
+    long = "reader says so " * 20
+    assert text(f"<body><p>short</p><div class='post-comments'><p>{long}</p></div></body>") == "short"
+    assert text(f"<body><p>short</p><form class=comment-form><p>{long}</p></form></body>") == "short"
+
+
+def test_html_lone_quotes():
+    assert html_extract.main_text("<p class=x' id=y>one two</p><p>three</p>") == "one two three"
+
+
+def test_html_deep_pages_take_linear_time():
+    n = 100_000
+    assert html_extract.main_text("<div>" * n + "</q>" * n + "a b") == "a b"
+    assert html_extract.main_text("<q>" + "<div>" * n + "a b" + "</q>" * n) == "a b"
+    assert len(html_extract.closed_tags("<div>" * n + "</q>" * n + "</div>" * n)) == n
+
+
 def test_html_query_columns(spark):
     rows = [(None, "u", "<p>a b</p>", 1), (1, None, None, 2), (1, None, None, 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
