@@ -11,9 +11,12 @@ products, and the blocks' best are merged. A bound that does not prune sends eve
 Equal vectors are one vector with the k + 1 smallest of their ids, which is all that any query can return; copies are
 reduced map-side and by salted keys first. Pivots and summaries are bounded and come to the driver.
 
-Null vectors, vectors with null or non-finite components or of another length than the most frequent one (ties: the
-longer), and rows without an id take no part. Equal rows count once. If an id has several vectors, each is a row; the
-query's own rows, those with its id, are no candidates. Empty tables give an empty result. Components must fit 2^31.
+Scores are exact: where the norms keep every partial sum below 2^53, blocks are multiplied as doubles, else as 64-bit
+integers. Scores that may not fit 64 bits are an error.
+
+Vectors of different lengths are compared as if the shorter one went on with zeros. Null vectors, empty vectors, vectors
+with null or non-finite components, and rows without an id take no part. Equal rows count once. If an id has several vectors, each
+is a row; the query's own rows, those with its id, are no candidates. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ GROUPS = 16
 QUERY_BLOCK = 1_000
 DATA_BLOCK = 4_000
 SALTS = 64
+CELLS = 512_000  # numbers of a matrix inside a task
+EXACT = 2.0**53  # doubles hold all integers up to it
+LARGEST = 2.0**62
 
 
 def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,15 +51,48 @@ def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x = np.array(v, np.float64)
             if len(x) and np.isfinite(x).all():
+                if np.abs(x).max() * SCALE >= LARGEST:
+                    raise ValueError("a component does not fit 64-bit integers")
                 ids.append(i)
                 packed.append(np.floor(SCALE * x).astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())],
                                          names=["id", "vector"])
 
 
+def integers(column: pa.Array, dim: int) -> np.ndarray:
+    """Packed vectors as rows, with zeros at the end of shorter ones."""
+    values = [np.frombuffer(x, "<i8") for x in column.to_pylist()]
+    if all(len(x) == dim for x in values):
+        return np.concatenate(values).reshape(-1, dim) if values else np.zeros((0, dim), np.int64)
+    rows = np.zeros((len(values), dim), np.int64)
+    for row, x in zip(rows, values, strict=True):
+        row[:len(x)] = x
+    return rows
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Packed vectors as rows. Doubles hold integers, and sums of products, exactly up to 2^53."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, dim).astype(np.float64)
+    """The same in doubles, which bounds are computed with."""
+    return integers(column, dim).astype(np.float64)
+
+
+def pieces(batch: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+    """The rows, few enough at once for a matrix of bounded size."""
+    step = max(1, CELLS // dim)
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact integer scores, a row per query."""
+    def norm(x: np.ndarray) -> float:
+        return float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max())) * (1 + 1e-9)
+
+    bound = norm(queries) * norm(vectors)  # no partial sum is beyond it
+    if bound < EXACT:
+        return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
+    if bound >= 2 * LARGEST:
+        raise ValueError("scores may not fit 64-bit integers")
+    return queries @ vectors.T
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +103,8 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def placed(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in pieces(whole, pivots.shape[1]):
                 at, far = nearest(matrix(batch.column("vector"), pivots.shape[1]), pivots)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names]
                                                  + [pa.array(at.astype(np.int32)), pa.array(far)],
@@ -78,22 +117,23 @@ def group_values(centers: np.ndarray, radius: np.ndarray, pivots: np.ndarray, ce
                  k: int) -> np.ndarray:
     """For each group a score that its queries' k best reach; -inf if the summaries hold too few vectors."""
     p, size = pivots[cells], np.sqrt((pivots[cells] ** 2).sum(1))
-    low = centers @ p.T - np.sqrt((centers**2).sum(1))[:, None] * far - radius[:, None] * (size + far)
+    norm = np.sqrt((centers**2).sum(1))[:, None]
+    low = centers @ p.T - norm * far - radius[:, None] * (size + far)
+    low -= 1e-9 * (norm + radius[:, None]) * (size + far) + 1e-6  # what rounding may add
     if low.shape[1] <= k:
         return np.full(len(centers), -np.inf)
-    value = -np.sort(-low, axis=1)[:, k]
-    return value - np.abs(value) * 1e-9 - 1e-6
+    return -np.sort(-low, axis=1)[:, k]
 
 
 def sent(centers: np.ndarray, radius: np.ndarray, value: np.ndarray, groups: np.ndarray):
     """The groups that each vector may matter to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        norms = np.sqrt((centers**2).sum(1))
+        for batch in (x for whole in batches for x in pieces(whole, centers.shape[1])):
             x = matrix(batch.column("vector"), centers.shape[1])
-            most = x @ centers.T + np.sqrt((x**2).sum(1))[:, None] * radius
-            row, to = np.nonzero(most * (1 + np.sign(most) * 1e-9) + 1e-6 >= value)
+            size = np.sqrt((x**2).sum(1))[:, None]
+            most = x @ centers.T + size * radius + 1e-9 * size * (norms + radius) + 1e-6
+            row, to = np.nonzero(most >= value)
             kept = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(groups[to].astype(np.int32)), kept.column("ids"),
                                               kept.column("vector")], names=["cell", "ids", "vector"])
@@ -106,20 +146,29 @@ def best_of_block(dim: int, k: int):
     names = ["query_id", "vec_id", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, vectors = left.column("query_id").to_numpy(), matrix(right.column("vector"), dim)
+        queries, vectors = left.column("query_id").to_numpy(), integers(right.column("vector"), dim)
         out: list[list[np.ndarray]] = [[], [], []]
         if len(queries) and len(vectors):
             lists = right.column("ids").combine_chunks()
-            ids, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(vectors)), counts)
-            for q, row in zip(queries.tolist(), matrix(left.column("vector"), dim), strict=True):
-                scores = vectors @ row
+            ids, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            asked = integers(left.column("vector"), dim)
+            step = max(1, CELLS // len(vectors))
+            for first in range(0, len(queries), step):
+                scores = products(asked[first:first + step], vectors)
                 # k + 1 vectors: the query's own id may be all that one of them has
-                least = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k else -np.inf
-                near = (scores >= least)[owner] & (ids != q)
-                i, s = ids[near], scores[owner[near]]
-                order = np.lexsort((i, -s))[:k]
-                out[0].append(np.full(len(order), q)), out[1].append(i[order]), out[2].append(s[order])
+                near = scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None] if len(vectors) > k else scores == scores
+                row, at = np.nonzero(near)
+                copies = starts[at + 1] - starts[at]
+                place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                i, q = ids[np.repeat(starts[at], copies) + place], np.repeat(row, copies)
+                s = np.repeat(scores[row, at], copies)
+                other = i != queries[first + q]
+                i, q, s = i[other], q[other], s[other]
+                order = np.lexsort((i, -s, q))
+                i, q, s = i[order], q[order], s[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                for column, x in zip(out, (queries[first + q[best]], i[best], s[best]), strict=True):
+                    column.append(x)
         columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
         return pa.table(columns, names=names)
 
@@ -148,13 +197,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     rows = settle(packed(vectors), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    longest = rows.groupBy(F.length("vector").alias("bytes")).count().orderBy(F.desc("count"), F.desc("bytes")).first()
-    if longest is None:
+    asked = settle(packed(queries).distinct(), "asked")
+    longest = [df.agg(F.max(F.length("vector"))).first()[0] for df in (rows, asked)]
+    if None in longest:
         return empty
-    dim = longest["bytes"] // 8
-    fits = F.length("vector") == longest["bytes"]
-    unique = settle(distinct_vectors(rows.where(fits), k), "unique")
-    asked = settle(packed(queries).where(fits).distinct(), "asked")
+    dim = max(longest) // 8
+    query_rows, data_rows = (max(1, min(n, n * 1_024 // dim)) for n in (QUERY_BLOCK, DATA_BLOCK))
+    unique = settle(distinct_vectors(rows, k), "unique")
     picked = unique.orderBy(F.xxhash64("vector"), "vector").limit(PIVOTS).collect()
     pivots = matrix(pa.array([r["vector"] for r in picked], pa.binary()), dim)
     centers = pivots[:GROUPS]
@@ -175,7 +224,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
                                       "cell int, ids array<long>, vector binary"), "copies")
     loads = {r["cell"]: r["n"] for r in copies.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(
-        [(r["cell"], -(-r["n"] // QUERY_BLOCK), -(-loads.get(r["cell"], 0) // DATA_BLOCK)) for r in reach],
+        [(r["cell"], -(-r["n"] // query_rows), -(-loads.get(r["cell"], 0) // data_rows)) for r in reach],
         "cell int, query_blocks int, data_blocks int")  # a row a group
     data = copies.join(F.broadcast(plan), "cell").withColumns({
         "data_block": F.pmod(F.xxhash64("vector"), "data_blocks"),

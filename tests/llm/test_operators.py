@@ -354,7 +354,7 @@ def test_top_k(spark):
              (2001, [float("nan")] * 8, 0), (2002, [1.0], 0), (2003, [None] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids int")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()]
-    data = {i: np.floor(256 * np.array(v)) for i, v, _ in rows if i is not None and (i < 2000)}
+    data = {i: np.floor(256 * np.array((v + [0.0] * 8)[:8])) for i, v, _ in rows if i is not None and (i < 2000 or i == 2002)}
     want = []
     for q in data:
         if q % 50 == 0:
@@ -364,6 +364,30 @@ def test_top_k(spark):
     assert not topk.top_k(df.limit(0), df).collect() and not topk.top_k(df, df.limit(0)).collect()
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**18])
+def test_top_k_lengths_and_large_scores(spark, scale):
+    """Against Python integers: lengths from 1 to 9, scores up to 2^58, ties, a copied vector."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) * scale for x in rng.normal(0, 3, 1 + i % 9)]) for i in range(240)]
+    rows += [(300 + i, list(rows[7][1])) for i in range(20)] + [(400 + i, [0.0] * (1 + i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 0")).collect()]
+    data = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in data if i % 20 == 0):
+        best = sorted((-sum(x * y for x, y in zip(data[q], v, strict=False)), i) for i, v in data.items() if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+    assert scale == 1 or max(x[3] for x in got) > 2**53
+
+
+def test_top_k_refuses_scores_beyond_64_bits():
+    big = np.full((1, 4), 2**31, np.int64)
+    assert topk.products(big // 2, big // 2).tolist() == [[2**62]]
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.products(big * 2, big)
+
+
 def test_licenses(spark):
     mit = license_scan.TEXTS["MIT"]
     wrapped = textwrap.fill(mit, 70)
