@@ -4,8 +4,10 @@ Lattice. A text gets a leading space, as the vocabulary expects, and a space is
 between code points, arcs the pieces that fit; a code point that is no piece (U+2581 of the text itself included) is one
 arc made of its UTF-8 byte pieces. The vocabulary holds merge ranks, so the weight of rank r is (r + 2)^-`POWER`, times a
 constant per code point that changes no probability. A segmentation's probability is its pieces' product of weights,
-normalised. Pieces with a space after their first character (the runs of spaces) are not used, so a space or line feed
-ends a unit and units are drawn independently; units longer than `UNIT` code points are cut there.
+normalised. No piece holds a line feed, or a space behind another character (`Pieces` refuses a vocabulary that has such a
+piece). So no piece crosses the border of a unit, which is a line feed or a run of spaces with the word behind it, and drawing
+units independently draws from the lattice of the whole text. Units may have any length: sums of ways carry a binary exponent
+at each node, and a unit's lattice takes memory in proportion to its length.
 
 Draws. Forward filtering sums the weights of all ways to each node; backward sampling walks from a unit's end and picks
 each arc by its share. The random numbers are a hash of (seed, row key, unit, step), so a row's segmentation does not
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 from sturdytab.llm.common import bounded_batches, need, no_clash, slices
 
 POWER = 1.0
-UNIT = 64
 SEED = 17
 SPACE = "▁"
-PER_CODE_POINT = 100.0  # keeps products of a unit inside the range of doubles
+PER_CODE_POINT = 100.0  # keeps products of some dozens of code points inside the range of doubles
+PLAIN = 64  # code points of a unit whose sums need no exponents
+ADDED = 150_000  # code points of units put into lattices at once, or one unit
 BYTE_WEIGHT = 1e-6
 CACHED_ARCS = 2_500_000
-UNITS = re.compile(r"\n| [^ \n]*|[^ \n]+")
+UNITS = re.compile(r"\n| *[^ \n]+| +")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,7 +61,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def uniform(row: np.ndarray, unit: np.ndarray, step: int, seed: int) -> np.ndarray:
     h = mixed(row * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    h = mixed(h ^ (unit * np.uint64(64) + np.uint64(step)))
+    h = mixed(h ^ ((unit << np.uint64(32)) + np.uint64(step)))
     return ((h >> np.uint64(40)) * 2.0**-24).astype(np.float32)
 
 
@@ -73,8 +76,10 @@ class Pieces:
         for i, (piece, score, kind) in enumerate(vocabulary):
             if kind == 1:
                 self.bytes[int(piece[3:5], 16)] = i
-            if kind or SPACE in piece[1:]:
+            if kind:
                 continue
+            if "\n" in piece or SPACE in piece.lstrip(SPACE):
+                raise ValueError(f"piece {i} goes on behind a word: {piece!r}")
             h = 0
             for n, c in enumerate(piece, 1):
                 # a space is 32 in the lattice, so that U+2581 of a text is never taken for one
@@ -130,7 +135,7 @@ class Lattices(dict):
         self.steps = np.zeros(0, np.int8)  # nodes an arc goes back
         self.ids = np.zeros(0, np.int32)
         self.upto = np.zeros(0, np.float32)
-        self.depth = np.zeros(1, np.int8)  # code points between the unit's start and the node
+        self.depth = np.zeros(1, np.int32)  # code points between the unit's start and the node
 
     def add(self, units: list[str]) -> None:
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -144,12 +149,24 @@ class Lattices(dict):
         end, start, length = end[order], start[order], length[order]
         runs = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
         share, ways = weight[order], np.zeros(len(codes) + 1)
+        # beyond PLAIN code points the ways to a node are ways * 2^power; node d of a unit follows its node d - 1
+        power = np.zeros(len(codes) + 1, np.int64) if depth.max() >= PLAIN else None
         edges = np.searchsorted(depth[end], np.arange(depth.max() + 2))
         run_edges = np.searchsorted(runs, edges)
+        total = np.zeros(len(codes)) if power is not None else ways  # the sum that a node's shares are parts of
         for a, b, x, y in zip(edges, edges[1:], run_edges, run_edges[1:], strict=False):
-            share[a:b] *= np.where(depth[start[a:b]] > 0, ways[start[a:b] - 1], 1.0)
-            ways[end[runs[x:y]]] = np.add.reduceat(share[a:b], runs[x:y] - a)
-        share /= ways[end]
+            inner = depth[start[a:b]] > 0
+            share[a:b] *= np.where(inner, ways[start[a:b] - 1], 1.0)
+            nodes = end[runs[x:y]]
+            if power is None:
+                ways[nodes] = np.add.reduceat(share[a:b], runs[x:y] - a)
+                continue
+            before = np.where(depth[end[a:b]] > 0, power[end[a:b] - 1], 0)
+            share[a:b] = np.ldexp(share[a:b], np.where(inner, power[start[a:b] - 1], 0) - before)
+            total[nodes] = np.add.reduceat(share[a:b], runs[x:y] - a)
+            ways[nodes], more = np.frexp(total[nodes])
+            power[nodes] = before[runs[x:y] - a] + more
+        share /= total[end]
         upto = np.cumsum(share)
         sizes = np.diff(runs, append=len(end))
         upto -= np.repeat(upto[runs] - share[runs], sizes)
@@ -161,15 +178,20 @@ class Lattices(dict):
         self.steps = np.concatenate((self.steps, length.astype(np.int8)))
         self.ids = np.concatenate((self.ids, ids[order].astype(np.int32)))
         self.upto = np.concatenate((self.upto, upto.astype(np.float32)))
-        self.depth = np.concatenate((self.depth, (depth + 1).astype(np.int8)))
+        self.depth = np.concatenate((self.depth, (depth + 1).astype(np.int32)))
 
     def sample(self, units: list[str], row: np.ndarray, number: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all units one after another, pieces per unit); a piece -1 - c stands for code point c in bytes."""
         if len(self.ids) > CACHED_ARCS:
             self.reset()
-        new = list(set(units).difference(self))
-        for i in range(0, len(new), 15_000):
-            self.add(new[i:i + 15_000])
+        new = sorted(set(units).difference(self), key=len)
+        upto = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        i = 0
+        while i < len(new):
+            held = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, held + ADDED, "right")))
+            self.add(new[i:j])
+            i = j
         node = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         live, counts, drawn, step = np.arange(len(units)), np.zeros(len(units), np.int64), [], 0
         while len(live):
@@ -192,10 +214,7 @@ class Lattices(dict):
 
 
 def units_of(text: str) -> list[str]:
-    found = UNITS.findall(" " + text)
-    if max(map(len, found)) > UNIT:
-        found = [u[i:i + UNIT] for u in found for i in range(0, len(u), UNIT)]
-    return found
+    return UNITS.findall(" " + text)
 
 
 def in_bytes(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:

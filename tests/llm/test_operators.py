@@ -4,6 +4,7 @@ import itertools
 import math
 import textwrap
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -272,9 +273,12 @@ def test_pieces_round_trip(spark):
     assert not pieces.encode(df.limit(0), VOCABULARY).collect()
 
 
-def test_pieces_follow_the_lattice():
-    weights = {p: (2.0 - s) ** -pieces.POWER for p, s, k in VOCABULARY if k == 0}
-    unit, want = "▁ting", {}
+WEIGHTS = {p: (2.0 - s) ** -pieces.POWER for p, s, k in VOCABULARY if k == 0}
+
+
+@pytest.mark.parametrize("unit", ["▁ting", "▁▁▁at", "▁▁▁▁▁"])
+def test_pieces_follow_the_lattice(unit):
+    weights, want = WEIGHTS, {}
     for cuts in itertools.product([0, 1], repeat=len(unit) - 1):
         edges = [0, *(i for i, c in enumerate(cuts, 1) if c), len(unit)]
         parts = tuple(unit[a:b] for a, b in zip(edges, edges[1:], strict=False))
@@ -282,11 +286,53 @@ def test_pieces_follow_the_lattice():
             want[parts] = math.prod(weights[p] for p in parts)
     n, total = 100_000, sum(want.values())
     lattices = pieces.Lattices(pieces.Pieces(VOCABULARY))
-    ids, counts = lattices.sample([" ting"] * n, np.arange(n).astype(np.uint64), np.zeros(n, np.uint64), 5)
+    text = unit.replace("▁", " ")
+    assert pieces.units_of(text[1:]) == [text]
+    ids, counts = lattices.sample([text] * n, np.arange(n).astype(np.uint64), np.zeros(n, np.uint64), 5)
     got = Counter(tuple(VOCABULARY[i][0] for i in x) for x in np.split(ids, np.cumsum(counts)[:-1]))
     for parts, weight in want.items():
         share = weight / total
         assert abs(got[parts] / n - share) < 5 * math.sqrt(share / n) + 1e-4
+    assert set(got) <= set(want)
+
+
+def test_pieces_of_long_units_follow_the_lattice():
+    """Arc probabilities of every node against exact sums over all ways, in fractions; far beyond a double's range."""
+    exact = {p: Fraction(w) for p, w in WEIGHTS.items()}
+    units = ["   " + "international" * 40, " " + "antidisestablishment" * 3 + "arian" * 2, " short"]
+    lattices = pieces.Lattices(pieces.Pieces(VOCABULARY))
+    lattices.add(units)
+    for unit in units:
+        spelled, last = unit.replace(" ", "▁"), lattices[unit]
+        ways = [Fraction(1)]
+        for end in range(1, len(unit) + 1):
+            arcs = [(n, exact[spelled[end - n:end]]) for n in range(1, min(end, 16) + 1) if spelled[end - n:end] in exact]
+            sums = [ways[end - n] * w for n, w in arcs]
+            ways.append(sum(sums))
+            node = last - len(unit) + end
+            arc, sofar = lattices.first[node], Fraction(0)
+            for (n, _), part in zip(arcs, sums, strict=True):
+                assert lattices.steps[arc] == n
+                sofar += part
+                if n != arcs[-1][0]:
+                    assert abs(lattices.upto[arc] - float(sofar / ways[-1])) < 1e-5
+                arc += 1
+
+
+def test_pieces_cross_the_old_cut():
+    """A unit of 200 code points is drawn as a whole: pieces that cross place 64 occur, and all draws spell the unit."""
+    unit = " " + "tion" * 50
+    n = 2_000
+    lattices = pieces.Lattices(pieces.Pieces(VOCABULARY))
+    ids, counts = lattices.sample([unit] * n, np.arange(n).astype(np.uint64), np.zeros(n, np.uint64), 5)
+    draws = [[VOCABULARY[i][0] for i in x] for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert {"".join(d) for d in draws} == {unit.replace(" ", "▁")}
+    assert any(64 not in itertools.accumulate(map(len, d)) for d in draws)
+
+
+def test_pieces_refuse_a_piece_behind_a_word():
+    with pytest.raises(ValueError, match="behind a word"):
+        pieces.Pieces([("a▁b", -1.0, 0)])
 
 
 def test_toxicity(spark):
