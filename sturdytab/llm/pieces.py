@@ -36,6 +36,7 @@ SEED = 17
 SPACE = "▁"
 PER_CODE_POINT = 100.0  # keeps products of some dozens of code points inside the range of doubles
 PLAIN = 64  # code points of a unit whose sums need no exponents
+FEW = 8  # units that are walked one by one
 ADDED = 150_000  # code points of units put into lattices at once, or one unit
 BYTE_WEIGHT = 1e-6
 CACHED_ARCS = 2_500_000
@@ -59,9 +60,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def uniform(row: np.ndarray, unit: np.ndarray, step: int, seed: int) -> np.ndarray:
-    h = mixed(row * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    h = mixed(h ^ ((unit << np.uint64(32)) + np.uint64(step)))
+def uniform(row: np.ndarray, unit: np.ndarray, step: np.ndarray, seed: int) -> np.ndarray:
+    """Draws of some rows' units at one step, or of one unit at several steps."""
+    h = mixed(np.atleast_1d(row) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    h = mixed(h ^ ((unit << np.uint64(32)) + step))
     return ((h >> np.uint64(40)) * 2.0**-24).astype(np.float32)
 
 
@@ -194,8 +196,8 @@ class Lattices(dict):
             i = j
         node = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         live, counts, drawn, step = np.arange(len(units)), np.zeros(len(units), np.int64), [], 0
-        while len(live):
-            u = uniform(row[live], number[live], step, seed)
+        while len(live) > FEW:
+            u = uniform(row[live], number[live], np.uint64(step), seed)
             arc = self.first[node]
             behind = np.flatnonzero(self.upto[arc] <= u)
             while len(behind):
@@ -206,12 +208,35 @@ class Lattices(dict):
             on = self.depth[node] > back
             counts[live[~on]] = step + 1
             live, node, step = live[on], (node - back)[on], step + 1
+        rest = {}
+        for who, end in zip(live.tolist(), node.tolist(), strict=True):
+            rest[who] = self.walk(end, row[who], number[who], step, seed)
+            counts[who] = step + len(rest[who])
         ends = np.cumsum(counts)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for k, (who, ids) in enumerate(drawn):
             out[ends[who] - 1 - k] = ids
+        for who, ids in rest.items():
+            out[ends[who] - counts[who]:ends[who] - step] = ids[::-1]
         return out, counts
 
+    def walk(self, node: int, row: np.uint64, number: np.uint64, step: int, seed: int) -> list[int]:
+        """One unit's pieces from a node back to its start, last piece first; the draws are those of `sample`."""
+        found, draws, left = [], iter(()), self.depth[node]
+        while left > 0:
+            u = next(draws, None)
+            if u is None:
+                ahead = np.arange(step, step + min(int(left), 4096), dtype=np.uint64)
+                draws, step = iter(uniform(row, number, ahead, seed)), step + len(ahead)
+                continue
+            arc = self.first[node]
+            while self.upto[arc] <= u:
+                arc += 1
+            found.append(int(self.ids[arc]))
+            back = int(self.steps[arc])
+            node, left = node - back, left - back
+        return found
+
 
 def units_of(text: str) -> list[str]:
     return UNITS.findall(" " + text)

@@ -330,6 +330,17 @@ def test_pieces_cross_the_old_cut():
     assert any(64 not in itertools.accumulate(map(len, d)) for d in draws)
 
 
+def test_pieces_walked_alone_are_those_drawn_together():
+    units = [" " + "inter" * k for k in range(1, 30)]
+    lattices = pieces.Lattices(pieces.Pieces(VOCABULARY))
+    rows, numbers = np.arange(len(units)).astype(np.uint64), np.full(len(units), 3, np.uint64)
+    ids, counts = lattices.sample(units, rows, numbers, 5)
+    for k, drawn in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+        alone, n = lattices.sample(units[k:k + 1], rows[k:k + 1], numbers[k:k + 1], 5)
+        assert alone.tolist() == drawn.tolist() == lattices.walk(lattices[units[k]], rows[k], numbers[k], 0, 5)[::-1]
+        assert n.tolist() == [len(drawn)]
+
+
 def test_pieces_refuse_a_piece_behind_a_word():
     with pytest.raises(ValueError, match="behind a word"):
         pieces.Pieces([("a▁b", -1.0, 0)])
