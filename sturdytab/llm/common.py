@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 1_000_000  # text handled at once inside a task; a single longer text is handled alone
+FILTER_WORDS = 1 << 20  # 64-bit words of a key filter, so at most as many rows are broadcast
 ARROW_ROWS, ARROW_BYTES = 1_000, 4_000_000  # what Spark hands to a Python worker at once
 
 
@@ -39,6 +41,17 @@ def no_clash(carried: list[str], made: list[str]) -> None:
         raise ValueError(f"carried columns have the names of results: {', '.join(both)}")
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows with `maybe`, false only where no row of `keys` has the same columns (nulls are equal). A Bloom filter of one hash,
+    whose size is fixed: with more keys it lets more rows through, and a join behind it decides."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(64 * FILTER_WORDS))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    met = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 64")).join(F.broadcast(words), "word", "left")
+    return met.withColumn("maybe", F.expr("coalesce(shiftright(bits, cast(slot % 64 as int)) & 1L, 0L) = 1L")).select(
+        *rows.columns, "maybe")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most `limit` bytes of text each (one row at least)."""
     for batch in batches:

@@ -14,7 +14,7 @@ Classical MinHash bands on whole documents would miss short items in long docume
 falls with the document's length; containment keeps the item's own size in the bound instead.
 
 All work is DataFrame expressions. Signatures are broadcast while they are at most `BROADCAST_HASHES` rows, and joined
-by shuffle beyond. A null or empty text has no shingle and holds nothing; an item without words is in no document.
+by shuffle beyond. Only texts that pass a filter of the ids found are shuffled to be counted. A null or empty text has no shingle and holds nothing; an item without words is in no document.
 Rows with a null id take part, a null id counting as one id. Rows that share ids are judged alone and the largest
 containment of each pair of ids is returned. Empty tables give an empty result. Other columns are ignored.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import need
+from sturdytab.llm.common import maybe_among, need
 from sturdytab.session import settle
 
 WIDTH = 5
@@ -90,11 +90,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     met = sketched.select("id", "room", "bound", F.explode_outer("hashes").alias("hash"))
     met = met.where("hash <= bound").select("id", "room", "hash")
     pairs = met.join(F.broadcast(minima) if small else minima, "hash").where("room >= needed")
-    pairs = pairs.groupBy("id", "item_key").agg(F.lit(1).alias("one")).select("id", "item_key")
+    pairs = settle(pairs.groupBy("id", "item_key").agg(F.lit(1).alias("one")).select("id", "item_key"), "pairs")
 
     wanted = signed.select("item_key", "item", "n_shingles", "needed", F.col("shingles").alias("item_shingles"))
     found = pairs.withColumnRenamed("id", "pair_id").join(F.broadcast(wanted) if small else wanted, "item_key")
-    checked = texts.join(found, F.col("id").eqNullSafe(F.col("pair_id"))).withColumn("words", words_of(F.col("text")))
+    asked = maybe_among(texts, pairs, "id").where("maybe").select("id", "text")
+    checked = asked.join(found, F.col("id").eqNullSafe(F.col("pair_id"))).withColumn("words", words_of(F.col("text")))
     shared = F.size(F.array_intersect(shingles(F.col("words"), width), F.col("item_shingles")))
     checked = checked.select("id", "item", "n_shingles", "needed", shared.alias("n_shared"))
     best = checked.groupBy("id", "item").agg(

@@ -8,7 +8,7 @@ count as one document and get the same result. A null text has no words. Texts s
 How it runs. A task hashes its documents with numpy. Per chunk of documents only the first window of each hash is
 shuffled, as (bucket, packed arrays): a passage that every document holds costs one entry a chunk, not one a row. Each
 bucket finds hashes with several entries and deals the windows that are not the first, packed again, by document. One
-row a document then meets the texts in a join.
+row a document then meets the texts in a join, to which only texts that pass a filter of these documents are shuffled.
 
 Exactness. Windows are equal if the 64-bit hash and the bucket, which comes from a second polynomial, agree. With b
 windows in each of n buckets the chance of any false match is below n * b^2 / 2^65, 1e-5 for 10^8 windows.
@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import bounded_batches, need, no_clash, partitions, raw_texts, slices
+from sturdytab.llm.common import bounded_batches, maybe_among, need, no_clash, partitions, raw_texts, slices
+from sturdytab.session import settle
 
 WINDOW = 20
 CHUNK_WORDS = 600_000
@@ -277,10 +278,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     packed = texts.select("id", "text").mapInArrow(windows_of(buckets, window), PACKED_DDL)
     later = packed.groupBy("bucket").applyInArrow(later_windows(buckets), PACKED_DDL)
-    later = later.groupBy("bucket").applyInArrow(per_document, LATER_DDL).withColumnRenamed("starts", "later")
+    later = settle(later.groupBy("bucket").applyInArrow(per_document, LATER_DDL).select(
+        F.col("id").alias("at"), "sum", F.col("starts").alias("later")), "later")
     place = F.coalesce(F.col("id"), F.lit(NO_ID))
-    met = texts.withColumns({"at": place, "sum": F.coalesce(F.crc32("text"), F.lit(0).cast("long"))}).join(
-        later.withColumnRenamed("id", "at"), ["at", "sum"], "left").drop("at", "sum")
+    placed = maybe_among(texts.withColumns({"at": place, "sum": F.coalesce(F.crc32("text"), F.lit(0).cast("long"))}),
+                         later, "at", "sum")
+    met = placed.where("maybe").join(later, ["at", "sum"], "left").drop("at", "sum", "maybe").unionByName(
+        placed.where("not maybe").drop("at", "sum", "maybe").withColumn("later", F.lit(None).cast("array<int>")))
     names = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
              ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))), ("kept_text", pa.string())]
     ddl = "id long, n_words long, n_removed long, spans array<struct<first:int,after:int>>, kept_text string"

@@ -9,9 +9,11 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sturdytab.llm import (
     chat,
+    common,
     decontaminate,
     html_extract,
     language,
@@ -258,6 +260,20 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(df, bench.limit(0)).collect()
 
 
+def test_key_filter(spark, monkeypatch):
+    """No key is missed, nulls included, also where the filter is full; few others pass where it is not."""
+    rows = spark.range(5000).selectExpr("nullif(id, 9) as id", "id % 7 as other", "'x' as word")
+    keys = rows.where("id is null or id % 50 = 0").select("id", "other")
+    for words in (1, common.FILTER_WORDS):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        got = common.maybe_among(rows.drop("word").withColumn("text", F.lit("t")), keys, "id", "other")
+        assert got.columns == ["id", "other", "text", "maybe"] and got.count() == 5000
+        passed = {r.id for r in got.where("maybe").collect()}
+        assert {None, *range(0, 5000, 50)} <= passed
+    assert len(passed) < 110
+    assert not common.maybe_among(rows, keys.limit(0), "id", "other").where("maybe").count()
+
+
 VOCABULARY = pieces.load_vocabulary(pieces.DEFAULT_MODEL)
 
 
