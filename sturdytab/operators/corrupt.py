@@ -395,3 +395,23 @@ def corruption_check(clean: LabelledTable, corrupted: LabelledTable) -> DataFram
         total(F.when(changed > 0, 1).otherwise(0)).alias("rows_changed"),
         total(F.when(~F.col("bt").eqNullSafe(F.col("at")), 1).otherwise(0)).alias("labels_changed"),
     )
+
+
+def class_ratio_check(clean: LabelledTable, corrupted: LabelledTable) -> DataFrame:
+    """The class ratio that a corruption achieved: known classes, rows of the largest and smallest, and their ratio.
+
+    One row for the clean table and one for the corrupted, or one per severity where it has several. A class that lost all
+    its rows is no longer a class; a table without known labels has no row.
+    """
+    by = ["severity"] if "severity" in corrupted.keys else []
+    out = None
+    for state, table, groups in (("clean", clean, []), ("corrupted", corrupted, by)):
+        label = F.col(f"`{table.target}`").alias("label")
+        sizes = table.df.where(label.isNotNull()).groupBy(*groups, label).agg(F.count("*").alias("n"))
+        kept = [F.col(g) for g in groups] or [F.lit(None).cast(corrupted.type_of(g)).alias(g) for g in by]
+        row = sizes.groupBy(*groups).agg(
+            F.count("*").alias("classes"), F.max("n").alias("largest"), F.min("n").alias("smallest")).where(
+            "classes > 0").select(F.lit(state).alias("state"), *kept, "classes", "largest", "smallest",
+                                  (F.col("largest") / F.col("smallest")).alias("ratio"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -304,6 +304,30 @@ def corruption_check(spark, sf):
     return out
 
 
+def ratio_sql(on, kind, table: SqlTable):
+    base, target = DATASETS[on][0], DATASETS[on][3]
+    states = [f"""select '{kind}' as corruption, '{state}' as state, cast(count(*) as bigint) as classes,
+      cast(max(n) as bigint) as largest, cast(min(n) as bigint) as smallest, max(n)::double / min(n) as ratio
+      from (select count(*) as n from {rows} where {target} is not null group by {target})"""
+              for state, rows in (("clean", base), ("corrupted", table.last))]
+    return f"select * from (with {', '.join(table.ctes)} {' union all '.join(states)})"
+
+
+@query("corruption_class_ratios", " union all ".join([
+    ratio_sql("orders", "imbalance", SqlTable("orders").imbalance(5.0, 97, 0)),
+    ratio_sql("orders", "label_noise", SqlTable("orders").label_noise(0.1, 64, "round")),
+    ratio_sql("orders", "duplicates", SqlTable("orders").duplicates(0.1, 86, "round")),
+]))
+def corruption_class_ratios(spark, sf):
+    """Rows of the largest and the smallest class, and their ratio, before and after each corruption that moves it."""
+    clean = dataset(spark, sf, "orders")
+    out = None
+    for kind, severity in (("imbalance", 5.0), ("label_noise", 0.1), ("duplicates", 0.1)):
+        one = C.class_ratio_check(clean, C.corrupt(clean, kind, severity, 42)).select(F.lit(kind).alias("corruption"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- sampling primitives ------------------------------------------------------------------------
 
 @query("smallest_hashes_orders", f"""select o_orderkey, o_orderstatus from

@@ -10,6 +10,7 @@ from functools import partial
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F, types as T
 
+from sturdytab.operators.categories import category_dictionary, category_indexes, dictionary_sizes
 from sturdytab.learn.models import LIGHT, FittedModel, fit_features, fit_model
 from sturdytab.operators.corrupt import CONDITIONS, CORRUPTIONS, RATES
 from sturdytab.operators.split import group_split, train_test
@@ -123,6 +124,25 @@ def one_hot_documents(spark, sf):
         F.size(vector).alias("width"))
 
 
+@query("one_hot_wide_customer", """with n as (select c_name, dense_rank() over (order by c_name) - 1 as i from
+    (select distinct c_name from customer)), s as (select c_mktsegment, dense_rank() over (order by c_mktsegment) - 1 as i
+    from (select distinct c_mktsegment from customer))
+  select c_custkey, cast(n.i as bigint) as name_position,
+    cast(s.i + (select count(*) from n) as bigint) as segment_position,
+    cast((select count(*) from n) + (select count(*) from s) as bigint) as width
+  from customer left join n using (c_name) left join s using (c_mktsegment)""")
+def one_hot_wide_customer(spark, sf):
+    """Sparse one-hot places of a column that has a value for every row, and of a narrow one, from a dictionary table."""
+    df = raw(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    columns = ["c_name", "c_mktsegment"]
+    dictionary = category_dictionary(df, columns)
+    names, segments = dictionary_sizes(dictionary, columns)
+    coded = category_indexes(df, dictionary, columns, df.count())
+    return coded.select("c_custkey", F.col("c_name_index").cast("bigint").alias("name_position"),
+                        (F.col("c_mktsegment_index") + names).cast("bigint").alias("segment_position"),
+                        F.lit(names + segments).cast("bigint").alias("width"))
+
+
 # ---- files --------------------------------------------------------------------------------------
 
 _SHOWN = """select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"""
