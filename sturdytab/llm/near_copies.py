@@ -1,10 +1,14 @@
-"""Near copies by exact shingle similarity.
+"""Near copies by SimHash fingerprints and exact shingle similarity.
 
 A text is the set of its shingles of `WIDTH` words (those of `simhash`, by their 64-bit hashes). Two texts are linked if
 the sets' Jaccard similarity is 0.8 or more; no words are the empty set, linked to one another only. Equal sets are one
 class and are judged once.
 
-Candidates share one of `BANDS` keys of `ROWS` MinHash values each, and the smaller set has 0.8 of the larger one's size. A pair
+The first candidates come from the SimHash operator: fingerprints of the same shingles, linked by its anchors at 4 or fewer differing
+bits. A text is compared with the first text of its fingerprint and with the first one of its fingerprint's component. These links come
+first, and what they join is not compared again.
+
+Most pairs near 0.8 differ in more bits than anchors can cover. So candidates also share one of `BANDS` keys of `ROWS` MinHash values each, and the smaller set has 0.8 of the larger one's size. A pair
 at 0.8 shares none with a chance below 1e-7 (14.8 are expected), one at 0.3 shares one in one case of 170; SimHash fingerprints of a
 pair at 0.8 differ in some 10 of 64 bits, too many to be looked up.
 Of the texts of a key the one whose keys have most texts leads: in a group of near copies that is the text that all were copied from, if
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sturdytab.llm.common import bounded_batches, need, raw_texts, slices, trimmed
 from sturdytab.llm.components import components
-from sturdytab.llm.simhash import SEED, shingle_hashes
+from sturdytab.llm.simhash import SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from sturdytab.operators.sampling import attach_by_key
 from sturdytab.session import settle
 
@@ -43,8 +47,8 @@ FLIPS, FACTORS = DRAWN[0][:, None], DRAWN[1][:, None] | np.uint32(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64))
+def shingle_set(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
 
 
 def key_of(shingles: np.ndarray) -> int:
@@ -67,20 +71,23 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def described(shingles: np.ndarray) -> np.ndarray:
-    """The number of shingles, then the bands."""
-    return np.concatenate((np.array([len(shingles)], np.int64), bands_of(shingles)))
+def described(shingles: np.ndarray, hashes: list[int]) -> np.ndarray:
+    """The number of shingles and the fingerprint, then the bands."""
+    return np.concatenate((np.array([len(shingles), fingerprint_of(hashes)], np.int64), bands_of(shingles)))
 
 
 def mapped(docs: DataFrame, make, column: str) -> DataFrame:
-    """(id, key, column) with an array of longs made of each text's shingles."""
+    """(id, key, column) with an array of longs made of each text's set of shingles and their hashes with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
+            keys, made = [], []
+            for text in raw_texts(batch.column("text")):
+                hashes = shingle_hashes(text, WIDTH)
+                shingles = shingle_set(hashes)
+                keys.append(key_of(shingles)), made.append(make(shingles, hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(map(key_of, sets), pa.int64()),
-                 pa.array(map(make, sets), pa.list_(pa.int64()))], names=["id", "key", column])
+                [batch.column("id"), pa.array(keys, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["id", "key", column])
 
     return docs.mapInArrow(trimmed(run), f"id long, key long, {column} array<long>")
 
@@ -108,7 +115,7 @@ def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
         classes.select("key", "first"), "key"), "asked")
     ids = asked.select(F.col("first").alias("asked_id")).distinct()
     some = mapped(texts.join(ids, F.col("id").eqNullSafe(F.col("asked_id")), "left_semi"),
-                  lambda s: s.view(np.int64), "value")
+                  lambda s, _: s.view(np.int64), "value")
     sets = settle(some.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(
         F.first("value").alias("value")), "sets")
     both = F.size(F.array_intersect("x", "y"))
@@ -124,6 +131,17 @@ def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     return settle(named.where(F.coalesce("high_root", "hi") != F.coalesce("low_root", "lo")).select("hi", "lo"), "apart")
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (hi, lo) of keys: each text with the first of its fingerprint, and with the first of the fingerprint that its own is
+    joined to by links of the SimHash operator."""
+    prints = classes.select("key", F.element_at("bands", 2).alias("fp"))
+    firsts = settle(prints.groupBy("fp").agg(F.min("key").alias("lo")), "fingerprints")
+    forest = components(fingerprint_links(firsts.select("fp")))
+    joined = settle(forest.join(firsts.withColumnRenamed("fp", "root"), "root").select(F.col("node").alias("fp"), "lo"), "joined")
+    pairs = prints.join(firsts.union(joined), "fp").where("key <> lo")
+    return settle(pairs.select(F.col("key").alias("hi"), "lo").distinct(), "print_pairs")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, component (the smallest id reachable over links, its own included)."""
     need(docs, id_col, text_col)
@@ -132,8 +150,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = settle(mapped(texts, described, "bands"), "keyed")
     classes = settle(keyed.groupBy("key").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "classes")
+    linked = similar(fingerprint_pairs(classes), classes, texts)
     at = classes.select("key", F.element_at("bands", 1).alias("n_shingles"),
-                        F.explode(F.slice("bands", 2, BANDS)).alias("band"))
+                        F.explode(F.slice("bands", 3, BANDS)).alias("band"))
     total = classes.count() * BANDS
     # no band is gathered in a task: its smallest key and its size are combined before they are shuffled, and joined
     shared = settle(at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -145,7 +164,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = at.where(F.col("key") != F.col("lead.key")).where(alike(F.col("n_shingles"), F.col("lead.n_shingles")))
     stars = settle(stars.groupBy(F.col("key").alias("hi"), F.col("lead.key").alias("lo"), "lead.met").count(), "stars")
     best = settle(stars.groupBy("hi").agg(F.max_by("lo", F.struct("count", "met", "lo")).alias("lo")), "best")
-    linked = similar(best, classes, texts)
+    linked = settle(linked.union(similar(apart(best, linked), classes, texts)), "linked")
     others = apart(stars.join(best, ["hi", "lo"], "left_anti").select("hi", "lo"), linked)
     linked = settle(linked.union(similar(others, classes, texts)), "linked")
 

@@ -58,7 +58,10 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> list[int]:
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """The 64-bit SimHash as a signed integer."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     if not hashes:
         return 0
     ones = np.zeros(64, np.int64)
