@@ -71,14 +71,19 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """The same task function, which hands freed memory back to the machine at its end: the worker that ran it lives on."""
+    """The same task function, which gives memory back at its end."""
 
     def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return then_trim

@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import bounded_batches, maybe_among, need, no_clash, partitions, raw_texts, slices
+from sturdytab.llm.common import bounded_batches, give_back, maybe_among, need, no_clash, partitions, raw_texts, slices, trimmed
 from sturdytab.session import settle
 
 WINDOW = 20
 CHUNK_WORDS = 600_000
 BUCKET_BYTES = 16_000_000  # text whose windows fill one bucket: about two and a half million
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so powers never vanish
+SHARES = 8  # parts of a bucket's keys that are sorted one after the other
 NO_ID = -(2**63)  # stands for a null doc_id while sorting
 
 
@@ -118,6 +119,14 @@ def unpack_row(row: dict) -> tuple[np.ndarray, ...]:
             np.repeat(np.frombuffer(row["sums"], np.uint32), counts), start)
 
 
+def table_rows(table: pa.Table) -> Iterator[dict]:
+    """Packed rows whose binaries stay where they are."""
+    for batch in table.to_batches():
+        columns = {n: batch.column(n) for n in PACKED.names if n != "bucket"}
+        for i in range(batch.num_rows):
+            yield {n: c[i].as_buffer() for n, c in columns.items()}
+
+
 def windows_of(buckets: int, width: int):
     """Map side: packed rows of the first window of each hash in a chunk, and of the later ones, which are decided."""
 
@@ -128,16 +137,20 @@ def windows_of(buckets: int, width: int):
         ids = np.array([x[0] for x in held], np.int64)
         sums = np.array([x[1] for x in held], np.int64)
         words = np.concatenate([x[2] for x in held])
-        doc = np.repeat(np.arange(len(held)), lengths - (width - 1))
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(len(doc)) + np.repeat((width - 1) * np.arange(len(held)), lengths - (width - 1))
+        small = np.int32 if len(words) < 2**31 else np.int64
+        doc = np.repeat(np.arange(len(held), dtype=small), lengths - (width - 1))
+        first = (np.cumsum(lengths) - lengths).astype(small)
+        place = np.arange(len(doc), dtype=small) + np.repeat(
+            (width - 1) * np.arange(len(held), dtype=small), lengths - (width - 1))
         start = place - first[doc]
         keys = rolling(words, width, BASES[0])[place]
-        bucket = (rolling(words, width, BASES[1])[place] >> np.uint64(17)) % np.uint64(buckets)
-        order = np.argsort(keys, kind="stable")
+        bucket = ((rolling(words, width, BASES[1])[place] >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
+        del words, place
+        order = np.argsort(keys, kind="stable").astype(small)
         new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
         ahead, behind = np.sort(order[new]), np.sort(order[~new])
-        rows = pack_rows(bucket[ahead].astype(np.int32), keys[ahead], doc[ahead], start[ahead], ids, sums)
+        del order, new
+        rows = pack_rows(bucket[ahead], keys[ahead], doc[ahead], start[ahead], ids, sums)
         if len(behind):  # dealt by document, so that no bucket gathers what a frequent window decides
             to = (doc[behind] % buckets).astype(np.int32)
             rows += pack_rows(to, None, doc[behind], start[behind], ids, sums)
@@ -157,6 +170,7 @@ def windows_of(buckets: int, width: int):
                 if n >= CHUNK_WORDS:
                     yield packed_batch(chunk_rows(held))
                     held, n = [], 0
+                    give_back()
         if held:
             yield packed_batch(chunk_rows(held))
 
@@ -170,10 +184,22 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
 def later_windows(buckets: int):
     """Reduce side, one bucket: the windows that are not the first of their hash, packed and dealt by document."""
 
+    def repeats(k: np.ndarray, place: list[np.ndarray]) -> list[np.ndarray]:
+        """Of windows with these keys those that are not the first of theirs."""
+        order = np.argsort(k, kind="stable")
+        same = np.diff(k[order]) == 0
+        o = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        k, (i, c, s) = k[o], (x[o] for x in place)
+        o = np.lexsort((s, c, i, k))
+        k, i, c, s = k[o], i[o], c[o], s[o]
+        fresh = np.concatenate(([True], k[1:] != k[:-1]))[:len(k)]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
+        later = (i != i[first]) | (c != c[first]) | (s != s[first])
+        return [i[later], c[later], s[later]]
+
     def run(table: pa.Table) -> pa.Table:
-        keys, found = [], []
-        decided = []
-        for row in table.to_pylist():
+        keys, found, decided = [], [], []
+        for row in table_rows(table):
             k, *place = unpack_row(row)
             if len(k):
                 keys.append(k), found.append(place)
@@ -181,22 +207,23 @@ def later_windows(buckets: int):
                 decided.append(place)
         if keys:
             k = np.concatenate(keys)
-            i, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(k, kind="stable")
-            same = k[order[1:]] == k[order[:-1]]
-            often = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            o = order[often]
-            o = o[np.lexsort((s[o], c[o], i[o], k[o]))]
-            if len(o):
-                fresh = np.concatenate(([True], k[o[1:]] != k[o[:-1]]))
-                first = o[np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))]
-                o = o[(i[o] != i[first]) | (c[o] != c[first]) | (s[o] != s[first])]
-                decided.append([i[o], c[o], s[o]])
-        if not decided:
+            keys.clear()
+            place = [np.concatenate(x) for x in zip(*found, strict=True)]
+            found.clear()
+            share = (k >> np.uint64(40)).astype(np.uint8) % SHARES  # a part of the keys at a time, whose sorting needs little
+            for number in range(SHARES):
+                these = np.flatnonzero(share == number)
+                if len(these):
+                    decided.append(repeats(k[these], [x[these] for x in place]))
+            del k, place, share
+        if not sum(len(d[0]) for d in decided):
             return PACKED.empty_table()
         i, c, s, doc, head = by_document(decided)
         to = (i.astype(np.uint64) * BASES[0] >> np.uint64(40)) % np.uint64(buckets)
-        return pa.Table.from_batches([packed_batch(pack_rows(to.astype(np.int32), None, doc, s, i[head], c[head]))])
+        out = pa.Table.from_batches([packed_batch(pack_rows(to.astype(np.int32), None, doc, s, i[head], c[head]))])
+        del i, c, s, doc, head, to, decided
+        give_back()
+        return out
 
     return run
 
@@ -212,7 +239,7 @@ def by_document(places: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
 
 def per_document(table: pa.Table) -> pa.Table:
     """One row a document: the starts of its windows that are not the first."""
-    i, c, s, _, head = by_document([unpack_row(row)[1:] for row in table.to_pylist()])
+    i, c, s, _, head = by_document([unpack_row(row)[1:] for row in table_rows(table)])
     lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(i)).astype(np.int32)), pa.array(s))
     return pa.table([pa.array(i[head]), pa.array(c[head].astype(np.int64)), lists], schema=LATER)
 
@@ -276,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    packed = texts.select("id", "text").mapInArrow(windows_of(buckets, window), PACKED_DDL)
+    packed = texts.select("id", "text").mapInArrow(trimmed(windows_of(buckets, window)), PACKED_DDL)
     later = packed.groupBy("bucket").applyInArrow(later_windows(buckets), PACKED_DDL)
     later = settle(later.groupBy("bucket").applyInArrow(per_document, LATER_DDL).select(
         F.col("id").alias("at"), "sum", F.col("starts").alias("later")), "later")
