@@ -3,8 +3,9 @@ spark.ml estimators."""
 
 from __future__ import annotations
 
+import threading
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -12,7 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sturdytab.learn.rbf import FourierFeatures
-from sturdytab.learn.trees import fit_trees
+from sturdytab.learn.trees import column_cuts, fit_trees
 from sturdytab.operators.meta import distinct_counts
 from sturdytab.operators.prep import class_list, fit_prep
 from sturdytab.operators.sampling import by_class
@@ -41,7 +42,7 @@ class Settings:
     categories: int = 100_000  # values a text feature may have; one with more is refused, by exact count
     seed: int = 42
     parallelism: int = 5  # models fitted side by side
-    cells: int = 8  # grid cells run side by side, each with its own cached training table
+    cells: int = 8  # grid cells run side by side at most, each with its own cached training table; fewer on few cores
 
 
 # Smaller models for trial runs over whole tables.
@@ -76,6 +77,14 @@ class FittedFeatures:
     kind: str  # type of the labels
     numeric: int  # numeric columns in front of the category indices
     sizes: list[int]  # categories of each text column
+    cuts: list | None = None  # bins of the numeric columns, found by the first model that asks
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False, compare=False)
+
+    def cuts_of(self, prepared: DataFrame) -> list:
+        with self.lock:
+            if self.cuts is None:
+                self.cuts = column_cuts(prepared, RAW, self.numeric)
+            return self.cuts
 
     def code(self, df: DataFrame) -> DataFrame:
         return by_class(df, self.target, {c: (float(i),) for i, c in enumerate(self.classes)}, [CODE], ["double"])
@@ -172,7 +181,7 @@ def fit_model(name: str, features: FittedFeatures, prepared: DataFrame, settings
         kind = TREES[name]
         size, depth = (settings.rounds, settings.round_depth) if kind == "boosted" else (settings.trees, settings.tree_depth)
         model = fit_trees(kind, prepared, CODE, RAW, features.numeric, features.sizes, len(features.classes), features.rows,
-                          size, depth, settings.seed, PREDICTION, settings.leaf_rows)
+                          size, depth, settings.seed, PREDICTION, settings.leaf_rows, features.cuts_of(prepared))
     else:
         model = estimator(name, len(features.classes), features.rows, settings).fit(prepared)
     seconds = time.monotonic() - start

@@ -41,6 +41,11 @@ def _side_by_side(spark: SparkSession, parallelism: int, task, items: list) -> l
         return pool.map(inheritable_thread_target(spark)(task), items)
 
 
+def _cells_at_once(spark: SparkSession, settings: Settings) -> int:
+    """As many cells as keep the cores busy, `cells` at most: each one more costs the driver threads, plans and memory."""
+    return max(1, min(settings.cells, -(-spark.sparkContext.defaultParallelism // settings.parallelism)))
+
+
 def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, models=MODELS, classes=None,
                   failures: list | None = None) -> tuple[list[dict], dict[str, FittedModel]]:
     """Scores of each model on the test rows. A model that fails does not stop the others."""
@@ -120,7 +125,7 @@ def _grid(train, test, conditions, settings, models, failures, journal=None):
         return rows, [(condition, name, error) for name, error in errors]
 
     open_cells = [c for c in conditions if (c[0], c[1]) not in finished]
-    done = _side_by_side(spark, settings.cells, cell, open_cells) if open_cells else []
+    done = _side_by_side(spark, _cells_at_once(spark, settings), cell, open_cells) if open_cells else []
     if failures is not None:
         failures += [f for _, errors in done for f in errors]
     known = [row for c in conditions for row in finished.get((c[0], c[1]), [])]
@@ -215,5 +220,5 @@ def probe_scores(table: LabelledTable, impurities: list[tuple[str, float]], seed
             raise RuntimeError(f"probe failed: {errors}")
         return [(r["model"], models.index(r["model"]), corruption, fold, r["macro_f1"]) for r in got]
 
-    done = _side_by_side(spark, settings.cells, probe, cells)
+    done = _side_by_side(spark, _cells_at_once(spark, settings), probe, cells)
     return spark.createDataFrame([row for rows in done for row in rows], PROBE_SCHEMA)

@@ -135,3 +135,40 @@ def test_a_small_table_is_its_own_reduced_source(spark):
     table = LabelledTable(made(spark, 2, 60), "y", ("id",), "t")
     out = E.run_reduced_source(table, table, 10_000, (42,), TINY, ["Decision Tree"])
     assert out.count() == 8 and out.where("condition = 'clean'").first()["train_rows"] == 60
+
+
+@pytest.mark.parametrize("rows", [50_000, 100])
+def test_a_forest_reaches_the_driver_only_as_a_folder(spark, monkeypatch, rows):
+    """Votes of trees read from files are those of the same trees as JSON, before and after saving, on one block and on several."""
+    df = made(spark, 2)
+    features = fit_features(LabelledTable(df, "y", ("id",)), TINY)
+    prepared = features.packed(df, 400).persist()
+    monkeypatch.setattr(T, "BLOCK_ROWS", rows)
+    small = fit_model("Random Forest", features, prepared, TINY)
+    monkeypatch.setattr(T, "INLINE", 20)
+    large = fit_model("Random Forest", features, prepared, TINY)
+    kept = [m.stages.stages[-1] for m in (small, large)]
+    whole, top = (json.loads(m.getOrDefault("model"))["rounds"][0] for m in kept)
+    assert [bool(m.getOrDefault("folder")) for m in kept] == [False, True]
+    assert len(whole) == 5 and sum(len(t["left"]) for t in top) < sum(len(t["left"]) for t in whole)
+    path = tempfile.mkdtemp(prefix="sturdytab-test-") + "/model"
+    large.save(path)
+    back = type(large).load(path)
+    assert back.stages.stages[-1].getOrDefault("folder").startswith(path)
+    answers = [sorted(m.predict(df).select("id", "prediction").collect()) for m in (small, large, back)]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 400
+
+
+def test_rows_alike_count_as_many():
+    draw = np.random.default_rng(7)
+    x = np.stack([draw.integers(0, 6, 900), draw.integers(0, 4, 900)], 1).astype(np.int32)
+    y = draw.integers(0, 3, 900).astype(float)
+    spec = spec_of("tree", [7, 5], 1, 3)
+    few, codes, counts = T.collapsed(x, y, np.ones(900, np.int64))
+    assert len(few) <= 72 and counts.sum() == 900
+    one, many = (T.whole_tree(a, T.row_values(b, np.zeros((len(b), 0)), spec, 0, 0, c)(0), spec, 0, 0)
+                 for a, b, c in ((few, codes, counts), (x, y, None)))
+    assert T.as_lists(one) == T.as_lists(many)
+    forest = spec | {"kind": "forest"}
+    drawn = [T.row_values(codes, np.zeros((len(codes), 0)), forest, 0, 0, counts)(k).sum() for k in range(200)]
+    assert abs(np.mean(drawn) - 900) < 10 and 20 < np.std(drawn) < 40
