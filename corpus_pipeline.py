@@ -56,9 +56,8 @@ def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentation of each text, and whether it decodes to the very text."""
     need(docs, *COLUMNS)
     vocabulary = pieces.load_vocabulary(pieces.DEFAULT_MODEL)
-    both = pieces.decode(pieces.encode(docs, vocabulary, carry=("text", "lang", "source")), vocabulary)
-    return both.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    drawn = pieces.encode(docs, vocabulary, carry=("lang", "source"), check="lossless")
+    return drawn.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [

@@ -14,7 +14,8 @@ each arc by its share. The random numbers are a hash of (seed, row key, unit, st
 depend on partitioning, order or retries, and equal units differ from place to place. Lattices of seen units are kept.
 
 Decoding joins the pieces, writes U+2581 pieces as spaces, byte pieces as bytes, and drops the leading space: any text
-comes back exactly. An empty text has no pieces; a null text has null pieces and comes back null. A null key counts as
+comes back exactly. `encode` does so itself if asked for a check, so that neither text nor pieces go to a second Python worker.
+An empty text has no pieces; a null text has null pieces and comes back null. A null key counts as
 key -1. Rows with equal key and text get equal segmentations. An empty table gives an empty result. Unpaired surrogates
 cannot occur in a DataFrame's strings.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sturdytab.llm.common import bounded_batches, need, no_clash, slices
+from sturdytab.llm.common import bounded_batches, need, no_clash, slices, trimmed
 
 POWER = 1.0
 SEED = 17
@@ -37,7 +38,8 @@ SPACE = "▁"
 PER_CODE_POINT = 100.0  # keeps products of some dozens of code points inside the range of doubles
 PLAIN = 64  # code points of a unit whose sums need no exponents
 FEW = 8  # units that are walked one by one
-ADDED = 150_000  # code points of units put into lattices at once, or one unit
+ADDED = 40_000  # code points of units put into lattices at once, or one unit
+SLICE_BYTES = 250_000  # text whose units are drawn at once: a draw takes some dozens of bytes for each of these
 BYTE_WEIGHT = 1e-6
 CACHED_ARCS = 2_500_000
 UNITS = re.compile(r"\n| *[^ \n]+| +")
@@ -262,16 +264,19 @@ def in_bytes(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> tuple[np.nd
 
 
 def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: str = "doc_id", text_col: str = "text",
-           seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: id, pieces (array of ids), then the carried columns."""
+           seed: int = SEED, carry: tuple[str, ...] = (), check: str | None = None) -> DataFrame:
+    """One row per row of `docs`: id, pieces (array of ids), then the carried columns. `check` names a last column: do the pieces
+    decode to the very text? A null text counts as whole."""
     need(docs, id_col, text_col, *carry)
     bounded_batches(docs.sparkSession)
-    no_clash([id_col, *carry], ["pieces"])
+    no_clash([id_col, *carry], ["pieces", *([check] if check else [])])
+    checked = check is not None
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's own size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(Pieces(shared.value))
-        for batch in slices(batches, "text"):
+        table = written(shared.value) if checked else []
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             keys = np.array([-1 if k is None else k for k in batch.column("key").to_pylist()], np.int64)
             split = [units_of(x) if x else [] for x in texts]
@@ -284,15 +289,25 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
             ids, counts = in_bytes(ids, sums[first + per_row] - sums[first], lattices.pieces)
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
                                mask=np.array([x is None for x in texts] + [False]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
-                names=["row", "pieces"])
+            columns = {"row": batch.column("row"), "pieces": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}
+            if checked:
+                ends = np.cumsum(counts)
+                columns["whole"] = pa.array([x is None or decoded(ids[a:b].tolist(), table) == x for x, a, b in
+                                             zip(texts, (ends - counts).tolist(), ends.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.struct(F.col(id_col), *(F.col(c) for c in carry)).alias("row"),
                        F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, pieces array<int>")
+    out = rows.mapInArrow(trimmed(run), f"row {rows.schema['row'].dataType.simpleString()}, pieces array<int>"
+                          + (", whole boolean" if checked else ""))
     return out.select(F.col("row").getField(id_col).alias(id_col), "pieces",
-                      *(F.col("row").getField(c).alias(c) for c in carry))
+                      *(F.col("row").getField(c).alias(c) for c in carry), *([F.col("whole").alias(check)] if checked else []))
+
+
+def written(vocabulary: list[tuple[str, float, int]]) -> list[bytes]:
+    """The bytes that each id stands for."""
+    return [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(SPACE, " ").encode()
+            for p, _, kind in vocabulary]
 
 
 def decoded(ids: list[int], table: list[bytes]) -> str:
@@ -308,8 +323,7 @@ def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], pieces_
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(SPACE, " ").encode()
-                 for p, _, kind in shared.value]
+        table = written(shared.value)
         for batch in batches:
             lists = batch.column("pieces")
             ids, null = lists.values.to_numpy(), lists.is_null().to_pylist()

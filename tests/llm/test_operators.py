@@ -289,6 +289,23 @@ def test_pieces_round_trip(spark):
     assert not pieces.encode(df.limit(0), VOCABULARY).collect()
 
 
+def test_pieces_are_checked_where_they_are_drawn(spark):
+    import corpus_pipeline
+
+    texts = ["Hello  world", "▁ a▁", "日本語 𝄞\n\n", " ", "x" * 1000, "", None, LONG]
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    plain = {r.doc_id: r.pieces for r in pieces.encode(df, VOCABULARY).collect()}
+    checked = pieces.encode(df, VOCABULARY, carry=("lang",), check="ok")
+    assert checked.columns == ["doc_id", "pieces", "lang", "ok"]
+    assert {r.doc_id: r.pieces for r in checked.collect()} == plain and all(r.ok for r in checked.collect())
+    out = corpus_pipeline.in_pieces(spark, df, "")
+    assert all(r.lossless for r in out.collect())
+    # one Python worker a task, and the text is not sent back
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 WEIGHTS = {p: (2.0 - s) ** -pieces.POWER for p, s, k in VOCABULARY if k == 0}
 
 
