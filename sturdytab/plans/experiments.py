@@ -9,6 +9,7 @@ grid takes finished cells from it and runs the others. A cell with an error is n
 
 from __future__ import annotations
 
+import gc
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -42,8 +43,15 @@ def _side_by_side(spark: SparkSession, parallelism: int, task, items: list) -> l
 
 
 def _cells_at_once(spark: SparkSession, settings: Settings) -> int:
-    """As many cells as keep the cores busy, `cells` at most: each one more costs the driver threads, plans and memory."""
-    return max(1, min(settings.cells, -(-spark.sparkContext.defaultParallelism // settings.parallelism)))
+    """As many cells as have a core for each of their fits, `cells` at most: each one more costs the driver threads, plans and memory."""
+    return max(1, min(settings.cells, spark.sparkContext.defaultParallelism // settings.parallelism))
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Collect what a finished cell left on the driver. Spark drops its shuffle files and broadcasts only then, and the driver's
+    heap, which else grows to its limit with the jobs of a grid, goes back to what is in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, models=MODELS, classes=None,
@@ -74,6 +82,7 @@ def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, mod
     finally:
         prepared.unpersist()
         held.unpersist()
+        _let_go(spark)
     if failures is not None:
         failures += [(name, error) for name, _, _, error in done if error]
     return [row for _, row, _, _ in done if row], {name: fitted for name, _, fitted, _ in done if fitted}

@@ -88,6 +88,31 @@ def test_many_blocks_learn_as_one_does(spark, monkeypatch, name, classes):
         assert one.stages.stages[-1].getOrDefault("model") == many.stages.stages[-1].getOrDefault("model")
 
 
+def test_a_narrow_table_of_many_rows_is_one_block(spark):
+    """Boosting 120,000 different rows takes no Spark job a level, as it did beyond 50,000; wide tables have smaller blocks."""
+    assert [T.block_rows(c) for c in (0, 4, 10, 20, 500)] == [200_000, 200_000, 100_000, 50_000, 50_000]
+    rows = spark.range(120_000, numPartitions=3).select(
+        (F.col("id") % 2 * 1.0).alias("y"), F.array((F.col("id") % 400 * 1.0), (F.col("id") / 400).cast("int") * 1.0).alias("raw"))
+    cuts = [[float(i) for i in range(399)], [float(i) for i in range(299)]]
+    before = spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+    model = T.fit_trees("boosted", rows, "y", "raw", 2, [], 2, 120_000, 4, 6, 1, "p", cuts=cuts)
+    assert spark.sparkContext._jsc.sc().statusStore().jobsList(None).size() - before < 12
+    assert len(json.loads(model.getOrDefault("model"))["rounds"]) == 4
+    blocks = T.block_frame(rows, "y", "raw", cuts, 1, 3, T.block_rows(2)).collect()
+    assert [b.n for b in blocks] == [120_000]
+
+
+def test_a_grid_lets_go_of_finished_cells(spark, monkeypatch):
+    """What a cell left on the driver is collected at its end; a cell needs a core for each of its fits."""
+    calls = []
+    monkeypatch.setattr(E, "_let_go", calls.append)
+    table = LabelledTable(made(spark, 2, 60), "y", ("id",), "t")
+    assert E.run_single(table, table, [("missing", 0.1)], (1, 2), TINY, ["Decision Tree"]).count() == 2 and len(calls) == 2
+    cores = spark.sparkContext.defaultParallelism
+    at_once = [E._cells_at_once(spark, dataclasses.replace(TINY, cells=8, parallelism=p)) for p in (cores, cores + 1, max(1, cores - 1))]
+    assert at_once == [1, 1, 2 if cores == 2 else 1]
+
+
 def test_boosting_lowers_the_loss_every_round():
     draw = np.random.default_rng(5)
     x = np.stack([draw.integers(0, 30, 300), draw.integers(0, 4, 300)], 1).astype(np.int32)
