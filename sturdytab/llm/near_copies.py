@@ -13,9 +13,15 @@ at 0.8 shares none with a chance below 1e-7 (14.8 are expected), one at 0.3 shar
 pair at 0.8 differ in some 10 of 64 bits, too many to be looked up.
 Of the texts of a key the one whose keys have most texts leads: in a group of near copies that is the text that all were copied from, if
 it is there. First each text is compared with one other, of the leads of its keys that with which it shares most. Then with the leads
-of its other keys, as far as they are not yet in one component with it; then, key by key, the texts that are not yet in one
-component with each other. So a large group of near copies costs a few comparisons a text, and no candidate pair that could
-join two components is left out. Every comparison is exact.
+of its other keys, as far as they are not yet in one component with it. So a large group of near copies costs a few comparisons a text.
+
+What is left are texts that meet under a lead and are not yet in one component with each other. A family a little below 0.8, say texts
+with one long passage in common, has as many such pairs as the square of its size, so they are not compared one by one. What each
+text shares with the lead bounds what two can share within it; where that is too little they must have shingles outside the lead
+in common, else differ from the lead in like shingles. How many they need follows from their sizes, and is at least one. So only
+texts with such a shingle in common meet, and of these only at one with enough behind it in the order of ascending counts:
+of the shingles that both have, the first one has all others behind it. No candidate pair that could join two components is left out, and every
+comparison is exact.
 
 Rows with a null id take part; a component's id is its smallest non-null id, null if it has none. Repeated rows give
 repeated results. An empty table gives an empty result.
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sturdytab.llm.common import bounded_batches, need, raw_texts, slices, trimmed
@@ -92,11 +98,11 @@ def mapped(docs: DataFrame, make, column: str) -> DataFrame:
     return docs.mapInArrow(trimmed(run), f"id long, key long, {column} array<long>")
 
 
-def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+def beside(pairs: DataFrame, values: DataFrame, *carry: str) -> DataFrame:
     """The pairs (hi, lo) with x, the value of hi, and y, that of lo, from (key, value). A text compared with many is copied to
     several tasks."""
     blocks = settle(pairs.groupBy("lo").count().select("lo", F.ceil(F.col("count") / CROWD).alias("blocks")), "blocks")
-    dealt = pairs.join(blocks, "lo").select("hi", "lo", F.pmod(F.xxhash64("hi"), "blocks").alias("part"))
+    dealt = pairs.join(blocks, "lo").select("hi", "lo", *carry, F.pmod(F.xxhash64("hi"), "blocks").alias("part"))
     ones = values.select(F.col("key").alias("hi"), F.col("value").alias("x"))
     others = values.select(F.col("key").alias("lo"), F.col("value").alias("y")).join(blocks, "lo").select(
         "lo", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
@@ -108,16 +114,20 @@ def alike(x, y):
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (hi, lo) of keys, in any order, those whose sets have a similarity of 0.8 or more, hi > lo. Only their
-    shingles are made again."""
+def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, value): the sets of the pairs' texts. Only their shingles are made again."""
     asked = settle(pairs.select(F.col("hi").alias("key")).union(pairs.select("lo")).distinct().join(
         classes.select("key", "first"), "key"), "asked")
     ids = asked.select(F.col("first").alias("asked_id")).distinct()
     some = mapped(texts.join(ids, F.col("id").eqNullSafe(F.col("asked_id")), "left_semi"),
                   lambda s, _: s.view(np.int64), "value")
-    sets = settle(some.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(
+    return settle(some.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(
         F.first("value").alias("value")), "sets")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (hi, lo) of keys, in any order, those whose sets have a similarity of 0.8 or more, hi > lo."""
+    sets = sets_of(pairs, classes, texts)
     both = F.size(F.array_intersect("x", "y"))
     return settle(beside(pairs, sets).where(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select(
         F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")), "linked")
@@ -142,6 +152,53 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return settle(pairs.select(F.col("key").alias("hi"), "lo").distinct(), "print_pairs")
 
 
+def needed(x, y):
+    """Shingles that sets of these sizes share at least at a similarity of 0.8."""
+    return F.floor((4 * (x + y) + 8) / 9)
+
+
+def sharing(rows: DataFrame, behind) -> DataFrame:
+    """Pairs (hi, lo) of keys that have an element in common, under the same lead and from different roots; from (lead, key, root, size,
+    common, elements, least). At one of these elements both need as many from there on, in the order of ascending counts, as
+    `behind` says for two rows; `least` is the fewest that it can say for a row."""
+    able = rows.where(F.size("elements") >= F.col("least"))
+    each = settle(able.select("lead", "key", "root", "size", "common", "lead_size", "least", F.size("elements").alias("length"),
+                              F.explode("elements").alias("element")), "elements")
+    at = ["lead", "element"]
+    counts = settle(each.groupBy(*at).agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed")).where("n > 1"), "counts")
+    counted = attach_by_key(each, counts, at, "n", each.count())
+    place = F.row_number().over(Window.partitionBy("lead", "key").orderBy(F.coalesce("n", F.lit(1)), "element"))
+    placed = counted.withColumn("left", F.col("length") - place + 1)
+    one = settle(placed.where("mixed and left >= least").select(*at, "lead_size", "key", "root", "size", "common", "left"), "placed")
+    two = one.select(*at, *[F.col(c).alias(f"{c}_2") for c in ("key", "root", "size", "common", "left")])
+    pairs = one.join(two, at).where("key > key_2 and root <> root_2").where(alike(F.col("size"), F.col("size_2"))).where(behind)
+    return pairs.select(F.col("key").alias("hi"), F.col("key_2").alias("lo"))
+
+
+def met_leads(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """What each text hi of (hi, lo, root) has in common with its lead lo, has beyond it and lacks, by the sets (key, value)."""
+    met = beside(members, sets, "root").select(
+        F.col("lo").alias("lead"), F.col("hi").alias("key"), "root", F.size("x").alias("size"), F.size("y").alias("lead_size"),
+        F.array_except("x", "y").alias("outside"), F.array_except("y", "x").alias("missing"))
+    return settle(met.withColumn("common", F.col("size") - F.size("outside")), "met_leads")
+
+
+def meeting(met: DataFrame) -> DataFrame:
+    """Pairs (hi, lo) of texts with the same lead that can have a similarity of 0.8, of different components `root`. Each text must
+    have been compared with its lead, or be in one component with it."""
+    wanted, both = needed(F.col("size"), F.col("size_2")), F.least("common", "common_2")
+    left = F.least("left", "left_2")
+    # too little within the lead: the rest lies outside
+    outer = met.withColumn("elements", F.col("outside")).withColumn(
+        "least", F.greatest(F.lit(1), F.ceil(4 * F.col("size") / 5) - F.col("common")))
+    beyond = sharing(outer, (wanted > both) & (left >= wanted - both))
+    # enough within the lead: of the shingles in which each differs from it, so many are the same
+    inner = met.where("5 * common >= 4 * size").withColumn("elements", F.concat("outside", "missing")).withColumn(
+        "least", F.greatest(F.lit(1), needed(F.col("size"), F.col("lead_size")) - F.col("common")))
+    within = sharing(inner, (wanted <= both) & (left >= wanted - F.col("common") - F.col("common_2") + F.col("lead_size")))
+    return beyond.union(within).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, component (the smallest id reachable over links, its own included)."""
     need(docs, id_col, text_col)
@@ -169,19 +226,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = settle(linked.union(similar(others, classes, texts)), "linked")
 
     roots = components(linked).withColumnRenamed("node", "key")
-    rooted = at.select("band", "key", "n_shingles").join(roots, "key", "left").select(
-        "band", "key", "n_shingles", F.coalesce("root", "key").alias("root"))
+    rooted = at.select("band", "key", "lead").join(roots, "key", "left").select(
+        "band", "key", "lead", F.coalesce("root", "key").alias("root"))
     rooted = settle(rooted, "band_roots")
     unlike = settle(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.count("*").alias("n")).where(
         "low < top").select("band", "n"), "unlike")
     mixed = attach_by_key(rooted, unlike, "band", "n", total).where("n is not null")
-    # sets of alike sizes lie in the same or the next step of the logarithm
-    step = F.floor(F.log(1.26, F.col("n_shingles"))).cast("int")
-    mixed = settle(mixed.select("band", "key", "root", "n_shingles", step.alias("step")), "mixed")
-    beyond = mixed.select("band", F.col("key").alias("with"), F.col("root").alias("other"), F.col("n_shingles").alias("size"),
-                          F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    across = mixed.join(beyond, ["band", "step"]).where("root < other").where(alike(F.col("n_shingles"), F.col("size")))
-    rest = across.select(F.greatest("key", "with").alias("hi"), F.least("key", "with").alias("lo")).distinct()
+    members = settle(mixed.where(F.col("key") != F.col("lead.key")).select(
+        F.col("key").alias("hi"), F.col("lead.key").alias("lo"), "root").distinct(), "members")
+    rest = meeting(met_leads(members, sets_of(members, classes, texts)))
     seen = stars.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
     rest = settle(rest.join(seen, ["hi", "lo"], "left_anti"), "rest")
     forest = components(linked.union(similar(rest, classes, texts)))
