@@ -17,6 +17,7 @@ from sturdytab.learn.trees import column_cuts, fit_trees
 from sturdytab.operators.meta import distinct_counts
 from sturdytab.operators.prep import class_list, fit_prep
 from sturdytab.operators.sampling import by_class
+from sturdytab.session import settle
 from sturdytab.table import LabelledTable
 
 # The model list; its order decides ties.
@@ -95,8 +96,14 @@ class FittedFeatures:
         return out.select(CODE, FEATURES, FOURIER, RAW)
 
     def packed(self, df: DataFrame, rows: int) -> DataFrame:
-        """The same in as few partitions as the rows need."""
-        return self.prepared(df).coalesce(max(1, -(-rows // PARTITION_ROWS)))
+        """The same in as few partitions as the rows need, read from files: an iterative fit sends the lineage of its rows to the
+        executors once an iteration, and the driver keeps it for a while. Fourier features, by far the widest column, are not
+        written but made by the fit that asks for them."""
+        fourier, parts = self.stages.stages[-1], max(1, -(-rows // PARTITION_ROWS))
+        narrow = PipelineModel(stages=self.stages.stages[:-1]).transform(self.code(df))
+        names = dict.fromkeys([CODE, FEATURES, RAW, *fourier.getInputCols()])
+        return fourier.transform(settle(narrow.select(*names).coalesce(parts), "prepared").coalesce(parts)).select(
+            CODE, FEATURES, FOURIER, RAW)
 
 
 def fit_features(table: LabelledTable, settings: Settings, classes: list | None = None) -> FittedFeatures:

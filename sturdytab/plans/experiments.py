@@ -1,6 +1,6 @@
 """Train-and-score grids: clean, single corruptions, combined corruptions, several seeds, fold probes.
 
-A corrupted training table is prepared once, cached, and shared by all models; the models of one condition are
+A corrupted training table is prepared once, written, and shared by all models; the models of one condition are
 fitted side by side from a few driver threads. Only score rows come back to the driver.
 
 A grid may keep a journal, a folder of its own: each cell's rows are written there when the cell is done, and a later run of the same
@@ -64,8 +64,8 @@ def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, mod
     unknown = set(c for c in counts if c is not None) - set(features.classes)
     if unknown:
         raise ValueError(f"labels not seen in training: {sorted(unknown)}")
-    prepared = features.packed(train.df, features.rows).persist()
-    held = features.packed(test, sum(counts.values())).persist()
+    prepared = features.packed(train.df, features.rows)
+    held = features.packed(test, sum(counts.values()))
 
     def one(name):
         try:
@@ -80,8 +80,6 @@ def fit_and_score(train: LabelledTable, test: DataFrame, settings: Settings, mod
     try:
         done = _side_by_side(spark, settings.parallelism, one, list(models))
     finally:
-        prepared.unpersist()
-        held.unpersist()
         _let_go(spark)
     if failures is not None:
         failures += [(name, error) for name, _, _, error in done if error]

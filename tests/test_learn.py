@@ -28,6 +28,17 @@ def test_every_model_learns(spark, table):
     assert all(r["accuracy"] > 0.9 for r in rows), rows
 
 
+def test_packed_rows_are_read_from_files(spark, table):
+    """The rows of a fit carry no lineage of the training table; Fourier features are made only by who asks for them."""
+    features = fit_features(table, TINY)
+    packed = features.packed(table.df, 240)
+    columns = ["label_code", vector_to_array("model_features"), vector_to_array("fourier_features"), "column_values"]
+    assert packed.inputFiles() and packed.rdd.getNumPartitions() == 1
+    assert sorted(packed.select(*columns).collect()) == sorted(features.prepared(table.df).select(*columns).collect())
+    plan = packed.select("label_code", "model_features")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "Python" not in plan and "Range" not in plan
+
+
 def test_three_classes_and_failure_isolation(spark):
     df = spark.range(120).select("id", (F.col("id") % 3 * 1.0).alias("v"), (F.col("id") % 3).cast("int").alias("y"))
     failures = []
