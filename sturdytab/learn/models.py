@@ -13,7 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sturdytab.learn.rbf import FourierFeatures
-from sturdytab.learn.trees import column_cuts, fit_trees
+from sturdytab.learn.trees import blocks_for, column_cuts, fit_trees, row_blocks
 from sturdytab.operators.meta import distinct_counts
 from sturdytab.operators.prep import class_list, fit_prep
 from sturdytab.operators.sampling import by_class
@@ -79,6 +79,7 @@ class FittedFeatures:
     numeric: int  # numeric columns in front of the category indices
     sizes: list[int]  # categories of each text column
     cuts: list | None = None  # bins of the numeric columns, found by the first model that asks
+    blocks: dict = field(default_factory=dict, repr=False, compare=False)  # binned rows by the size of their blocks, made likewise
     lock: threading.Lock = field(default_factory=threading.Lock, repr=False, compare=False)
 
     def cuts_of(self, prepared: DataFrame) -> list:
@@ -87,6 +88,13 @@ class FittedFeatures:
                 self.cuts = column_cuts(prepared, RAW, self.numeric)
             return self.cuts
 
+    def blocks_of(self, prepared: DataFrame) -> DataFrame:
+        cuts, size = self.cuts_of(prepared), blocks_for(self.rows, self.numeric + len(self.sizes))
+        with self.lock:
+            if size not in self.blocks:
+                self.blocks[size] = row_blocks(prepared, CODE, RAW, cuts, *size)
+            return self.blocks[size]
+
     def code(self, df: DataFrame) -> DataFrame:
         return by_class(df, self.target, {c: (float(i),) for i, c in enumerate(self.classes)}, [CODE], ["double"])
 
@@ -188,7 +196,7 @@ def fit_model(name: str, features: FittedFeatures, prepared: DataFrame, settings
         kind = TREES[name]
         size, depth = (settings.rounds, settings.round_depth) if kind == "boosted" else (settings.trees, settings.tree_depth)
         model = fit_trees(kind, prepared, CODE, RAW, features.numeric, features.sizes, len(features.classes), features.rows,
-                          size, depth, settings.seed, PREDICTION, settings.leaf_rows, features.cuts_of(prepared))
+                          size, depth, settings.seed, PREDICTION, settings.leaf_rows, features.cuts_of(prepared), features.blocks_of(prepared))
     else:
         model = estimator(name, len(features.classes), features.rows, settings).fit(prepared)
     seconds = time.monotonic() - start
