@@ -6,7 +6,7 @@ import math
 from typing import Iterator, Tuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,30 +19,36 @@ from pyspark.sql import functions as F
 def fourier_udf(numeric_width: int, sizes: list[int], outputs: int, gamma: float, seed: int):
     """Arrow-batched map of (numeric array, category index array) to cosine features.
 
-    One-hot columns never become dense: each category index picks its row of the weight matrix, which every task
+    A batch stays one matrix from Arrow to Arrow: an object a row would cost several times what the features do. One-hot columns never become dense: each category index picks its row of the weight matrix, which every task
     makes once from the seed. The function carries all it needs, so executors do not import this package.
     """
     offsets = [int(x) for x in np.cumsum([numeric_width, *sizes])[:-1]]
     width = numeric_width + sum(sizes)
 
-    @F.pandas_udf("array<double>")
-    def project(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def project(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         rng = np.random.default_rng(seed)
         weights = rng.normal(0.0, math.sqrt(2 * gamma), (width, outputs))
         shift = rng.uniform(0.0, 2 * math.pi, outputs)
         for numbers, codes in batches:
-            if not len(numbers):
-                yield pd.Series([], dtype=object)
+            rows = len(numbers)
+            if not rows:
+                yield pa.array([], pa.list_(pa.float64()))
                 continue
-            total = np.tile(shift, (len(numbers), 1))
+            total = np.tile(shift, (rows, 1))
             if numeric_width:
-                total += np.stack(numbers.to_numpy()) @ weights[:numeric_width]
+                total += numbers.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) @ weights[:numeric_width]
             if sizes:
-                index = np.stack(codes.to_numpy()).astype(int)
+                index = codes.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(int)
                 for j, size in enumerate(sizes):
                     known = index[:, j] < size  # an unseen category adds nothing
-                    total[known] += weights[offsets[j] + index[known, j]]
-            yield pd.Series(list(math.sqrt(2.0 / outputs) * np.cos(total)))
+                    if known.all():
+                        total += weights[offsets[j] + index[:, j]]
+                    else:
+                        total[known] += weights[offsets[j] + index[known, j]]
+            np.cos(total, out=total)
+            total *= math.sqrt(2.0 / outputs)
+            yield pa.ListArray.from_arrays(np.arange(0, rows * outputs + 1, outputs, dtype=np.int32), total.ravel())
 
     return project
 
